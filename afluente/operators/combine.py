@@ -47,6 +47,27 @@ def type_census(frames: Iterable[DataFrame]) -> dict[str, set[T.DataType]]:
     return seen
 
 
+def census_table(frames: Sequence[DataFrame]) -> DataFrame:
+    """(column, types, filled) over all frames: the types met and the cells that are not null."""
+
+    def counted(frame: DataFrame) -> DataFrame:
+        columns = [
+            F.struct(
+                F.lit(f.name).alias("column"),
+                F.lit(f.dataType.simpleString()).alias("type"),
+                F.count(named(f.name)).alias("filled"),
+            )
+            for f in frame.schema
+        ]
+        return frame.agg(F.array(*columns).alias("columns")).select(F.inline("columns"))
+
+    counts = counted(frames[0])
+    for frame in frames[1:]:
+        counts = counts.unionAll(counted(frame))
+    types = F.array_join(F.array_sort(F.collect_set("type")), ",")
+    return counts.groupBy("column").agg(types.alias("types"), F.sum("filled").alias("filled"))
+
+
 def harmonize(frames: Sequence[DataFrame]) -> list[DataFrame]:
     """The frames with every column in the common type of its namesakes."""
     targets = {name: common_type(types) for name, types in type_census(frames).items()}
@@ -68,6 +89,7 @@ def union_frames(frames: Sequence[DataFrame]) -> DataFrame:
     for frame in frames:
         for f in frame.schema:
             schema.setdefault(f.name, f.dataType)
+    _check_case(frames[0], list(schema))
 
     def widened(frame: DataFrame) -> DataFrame:
         own = set(frame.columns)
@@ -81,6 +103,17 @@ def union_frames(frames: Sequence[DataFrame]) -> DataFrame:
     return combined
 
 
+def _check_case(df: DataFrame, names: Sequence[str]) -> None:
+    """Column names that differ only in letter case need a session that tells them apart."""
+    if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
+        return
+    spelled: dict[str, str] = {}
+    for name in names:
+        other = spelled.setdefault(name.lower(), name)
+        if other != name:
+            raise ValueError(f"set spark.sql.caseSensitive to keep columns {other!r} and {name!r} apart")
+
+
 def combine(frames: Mapping[str, DataFrame], origin: str = C.ORIGIN) -> DataFrame:
     """Tagged, harmonised union of named tables."""
     tagged = [add_origin(frame, name, column=origin) for name, frame in frames.items()]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from afluente import constants as C
 from afluente.functions.casts import text_to_datetime, text_to_float, text_to_integer
-from afluente.functions.text import is_visible, normalize_name
+from afluente.functions.text import is_visible, named, normalize_name
 
 # Profiled types, from the most specific one.
 INTEGER, FLOAT, DATETIME, TEXT = "Int64", "Float64", "Datetime", "String"
@@ -50,28 +50,34 @@ def null_ratio(value: Column) -> Column:
     return F.avg(value.isNull().cast("double"))
 
 
-def unpivot_text(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """One row per cell of a table as (keys…, column_no, column, value) with text values."""
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("column_no"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-            for i, c in enumerate(df.columns)
-        ]
-    )
-    return df.select(*keys, F.inline(cells))
-
-
-def column_fingerprints(cells: DataFrame, source: list[str]) -> DataFrame:
-    """One row per source column of an unpivoted table: normalised name, type, null ratio."""
-    return (
-        cells.groupBy(*source, "column_no", "column")
-        .agg(profile_column(F.col("value")).alias("type"), null_ratio(F.col("value")).alias("null_ratio"))
-        .withColumn("normalized", normalize_name(F.col("column")))
+def table_fingerprints(df: DataFrame, path: str) -> DataFrame:
+    """One row per column of a table, all cells taken as text; the table is read once and not shuffled."""
+    columns = [
+        F.struct(
+            F.lit(i).alias("column_no"),
+            F.lit(name).alias("column"),
+            profile_column(named(name).cast("string")).alias("type"),
+            null_ratio(named(name)).alias("null_ratio"),
+        )
+        for i, name in enumerate(df.columns)
+    ]
+    found = df.agg(F.array(*columns).alias("columns")).select(F.inline("columns"))
+    return found.select(
+        F.lit(path).alias("path"),
+        F.lit(path).alias("file"),
+        F.lit(0).alias("rank"),
+        F.lit(None).cast("string").alias("sheet"),
+        F.lit(0).alias("sheet_no"),
+        "column_no",
+        "column",
+        normalize_name(F.col("column")).alias("normalized"),
+        "type",
+        "null_ratio",
     )
 
 
 def layout_fingerprints(layout: DataFrame) -> DataFrame:
-    """The same from the sampled rows kept in a layout; each source is worked out on its own row."""
+    """One row per column of each source, from the rows sampled in its layout; nothing is shuffled."""
     sample = F.slice("rows", F.col("header_line") + 2, F.lit(C.HEAD_ROWS))
     columns = layout.where(F.col("status") == "ok").select(
         "path", "file", "rank", "sheet", "sheet_no", sample.alias("sample"), F.posexplode("names").alias("column_no", "column")

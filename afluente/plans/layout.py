@@ -24,7 +24,9 @@ ROW_ORDER = ("__rank", "__path", "__sheet_no", "__block", "__line")
 
 def source_heads(folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES) -> DataFrame:
     """First rows of every file and sheet of the folder."""
-    return delimited_heads(folder, small_file_bytes).unionByName(workbook_heads(workbook_files(folder)))
+    books = workbook_files(folder)
+    found = [delimited_heads(folder, small_file_bytes), None if books is None else workbook_heads(books)]
+    return _all_of(folder, found)
 
 
 def source_grid(folder: Folder, sheets: SheetRule, small_file_bytes: int = SMALL_FILE_BYTES) -> DataFrame:
@@ -32,8 +34,19 @@ def source_grid(folder: Folder, sheets: SheetRule, small_file_bytes: int = SMALL
     names = frozenset(sheets.names)
     include = names if names and sheets.mode == "include" else None
     exclude = names if sheets.mode == "exclude" else frozenset()
-    books = workbook_grid(workbook_files(folder), include, exclude)
-    return delimited_grid(folder, small_file_bytes).unionByName(books)
+    books = workbook_files(folder)
+    found = [
+        delimited_grid(folder, small_file_bytes),
+        None if books is None else workbook_grid(books, include, exclude),
+    ]
+    return _all_of(folder, found)
+
+
+def _all_of(folder: Folder, found: list[DataFrame | None]) -> DataFrame:
+    frames = [frame for frame in found if frame is not None]
+    if not frames:
+        raise FileNotFoundError(f"no supported file in {folder.location}")
+    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
 
 
 def read_layout(

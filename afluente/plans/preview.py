@@ -1,4 +1,4 @@
-"""First data rows of one source."""
+"""First data rows of the sources of a layout."""
 
 from __future__ import annotations
 
@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from afluente.operators.headers import positional_rename
 
 
+def preview_rows(layout: DataFrame, rows: int = 50) -> DataFrame:
+    """(path, sheet, line, cells) below the header of every source. Only the heads were sampled."""
+    body = F.slice("rows", F.col("header_line") + 2, F.lit(rows))
+    return layout.where(F.col("status") == "ok").select("path", "sheet", F.posexplode(body).alias("line", "cells"))
+
+
 def preview(layout: DataFrame, path: str, sheet: str | None = None, rows: int = 50) -> DataFrame | None:
-    """Rows below the header under its names; None for a source without any. Only the head was sampled."""
+    """The rows of one source under its column names; None for a source without any."""
     source = layout.where((F.col("path") == path) & F.col("sheet").eqNullSafe(F.lit(sheet)))
     found = source.where(F.col("status") == "ok").select("names").first()
     if found is None:
         return None
-    body = F.slice("rows", F.col("header_line") + 2, F.lit(rows))
-    return (
-        source.select(F.posexplode(body).alias("line", "cells"))
-        .orderBy("line")
-        .select(*positional_rename(F.col("cells"), found["names"]))
-    )
+    return preview_rows(source, rows).orderBy("line").select(*positional_rename(F.col("cells"), found["names"]))

@@ -40,6 +40,15 @@ def block_size(spark: SparkSession) -> int:
     return int(digits) * units[text[len(digits):] or "b"]
 
 
+def session_like(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session on the same context with the same settings but for the given ones."""
+    child = spark.newSession()
+    for key, value in {**spark.conf.getAll, **settings}.items():
+        if key in settings or spark.conf.isModifiable(key):
+            child.conf.set(key, value)
+    return child
+
+
 def one_block_per_task(spark: SparkSession, bytes_per_block: int) -> SparkSession:
     """A session whose file scans put exactly one block into each task.
 
@@ -48,10 +57,9 @@ def one_block_per_task(spark: SparkSession, bytes_per_block: int) -> SparkSessio
     boundaries then depend on the file alone, so (block, row in task) is the
     same in every run and after every retry.
     """
-    child = spark.newSession()
-    for key, value in spark.conf.getAll.items():
-        if spark.conf.isModifiable(key):
-            child.conf.set(key, value)
-    child.conf.set(_SPLIT_BYTES, str(bytes_per_block))
-    child.conf.set(_OPEN_COST, str(bytes_per_block))
-    return child
+    return session_like(spark, {_SPLIT_BYTES: str(bytes_per_block), _OPEN_COST: str(bytes_per_block)})
+
+
+def case_keeping(spark: SparkSession) -> SparkSession:
+    """A session in which ``Valor`` and ``valor`` are two columns, as they are in the inputs."""
+    return session_like(spark, {"spark.sql.caseSensitive": "true"})

@@ -11,14 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from afluente import constants as C
 from afluente.functions.text import blank_to_null, decode_latin1, plain_path, split_cells
 from afluente.session import block_size, one_block_per_task
-from afluente.sources.folder import Folder, extension_rank, file_name, files, globs
+from afluente.sources.folder import Folder, extension_rank, file_name, files, load_matching
 
 # Files up to this size are read whole; it equals Spark's own cost of opening a file.
 SMALL_FILE_BYTES = 4 << 20
@@ -35,54 +34,44 @@ def _text(content: Column) -> Column:
     return F.btrim(text, F.lit("\r\n"))
 
 
-def _small_files(folder: Folder, small_file_bytes: int) -> DataFrame:
-    return files(folder, C.DELIMITED_EXTENSIONS).where(F.col("length") <= small_file_bytes)
+def _small_files(folder: Folder, small_file_bytes: int) -> DataFrame | None:
+    found = files(folder, C.DELIMITED_EXTENSIONS)
+    return None if found is None else found.where(F.col("length") <= small_file_bytes)
 
 
 def _big_file_lines(folder: Folder, small_file_bytes: int, bytes_per_block: int) -> DataFrame | None:
-    """Non-blank lines of the big files as (path, length, block, value), or None without any file."""
-    reader = one_block_per_task(folder.spark, bytes_per_block).read
-    frames = []
-    for pattern in globs(folder, C.DELIMITED_EXTENSIONS):
-        try:
-            frames.append(reader.text(pattern))
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-    lines = None
-    for frame in frames:
-        part = frame.where(
-            (F.col("_metadata.file_size") > small_file_bytes) & (F.length("value") > 0)
-        ).select(
-            F.col("_metadata.file_path").alias("uri"),
-            F.col("_metadata.file_size").alias("length"),
-            F.col("_metadata.file_block_start").alias("block"),
-            "value",
-        )
-        lines = part if lines is None else lines.unionAll(part)
-    return lines
-
-
-def delimited_lines(folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES) -> DataFrame:
+    """Non-blank lines of the big files as (uri, length, block, value)."""
+    reader = one_block_per_task(folder.spark, bytes_per_block).read.format("text")
+    columns = [
+        F.col("_metadata.file_path").alias("uri"),
+        F.col("_metadata.file_size").alias("length"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("value"),
+    ]
+    found = load_matching(reader, folder, C.DELIMITED_EXTENSIONS, columns)
+    return None if found is None else found.where((F.col("length") > small_file_bytes) & (F.length("value") > 0))
+
+
+def delimited_lines(folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES) -> DataFrame | None:
     """Every non-blank line as (path, block, line, value), in file order by (block, line)."""
-    small = _small_files(folder, small_file_bytes).select(
+    whole = _small_files(folder, small_file_bytes)
+    blocks = _big_file_lines(folder, small_file_bytes, block_size(folder.spark))
+    if whole is None or blocks is None:
+        return None
+    small = whole.select(
         "path",
         F.lit(0).cast("bigint").alias("block"),
         F.posexplode(F.split(_text(F.col("content")), _LINE_ENDS, -1)).alias("line", "value"),
-    )
-    small = small.where(F.length("value") > 0).withColumn("line", F.col("line").cast("bigint"))
-    big = _big_file_lines(folder, small_file_bytes, block_size(folder.spark))
-    if big is None:
-        return small
-    numbered = big.withColumn("line", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_TASK)))
-    return small.unionAll(
-        numbered.select(plain_path(F.col("uri")).alias("path"), "block", "line", decode_latin1(F.col("value")).alias("value"))
-    )
+    ).where(F.length("value") > 0)
+    numbered = blocks.withColumn("line", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_TASK)))
+    big = numbered.select(plain_path(F.col("uri")), "block", "line", decode_latin1(F.col("value")))
+    return small.withColumn("line", F.col("line").cast("bigint")).unionAll(big)
 
 
-def delimited_grid(folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES) -> DataFrame:
+def delimited_grid(folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES) -> DataFrame | None:
     """(path, sheet_no, block, line, cells) of all delimited files."""
-    return delimited_lines(folder, small_file_bytes).select(
+    lines = delimited_lines(folder, small_file_bytes)
+    return None if lines is None else lines.select(
         "path",
         F.lit(0).alias("sheet_no"),
         "block",
@@ -116,23 +105,22 @@ def rectangular(rows: Column) -> Column:
     )
 
 
-def delimited_heads(folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES) -> DataFrame:
-    """First lines of each file: (path, file, rank, sheet, sheet_no, length, rows)."""
+def delimited_heads(folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES) -> DataFrame | None:
+    """First lines of each file: (path, file, rank, sheet, sheet_no, length, rows, error)."""
+    whole = _small_files(folder, small_file_bytes)
+    blocks = _big_file_lines(folder, small_file_bytes, _WHOLE_FILE)
+    if whole is None or blocks is None:
+        return None
     lines = F.split(_text(F.col("content")), _LINE_ENDS, C.HEAD_ROWS + 1)
-    small = _small_files(folder, small_file_bytes).select(
-        "path", "length", F.filter(F.slice(lines, 1, C.HEAD_ROWS), lambda v: F.length(v) > 0).alias("lines")
-    )
+    visible = F.filter(F.slice(lines, 1, C.HEAD_ROWS), lambda v: F.length(v) > 0)
+    small = whole.select("path", "length", visible.alias("lines"))
     # One task per big file: it stops after the first batch instead of reading the file.
-    big = _big_file_lines(folder, small_file_bytes, _WHOLE_FILE)
-    heads = small
-    if big is not None:
-        first = big.select("uri", "length", decode_latin1(F.col("value")).alias("value")).mapInArrow(
-            _first_lines, "uri string, length bigint, lines array<string>"
-        )
-        heads = small.unionAll(first.select(plain_path(F.col("uri")).alias("path"), "length", "lines"))
+    big = blocks.select("uri", "length", decode_latin1(F.col("value")).alias("value")).mapInArrow(
+        _first_lines, "uri string, length bigint, lines array<string>"
+    )
     name = file_name(F.col("path"))
     cells = F.transform("lines", lambda line: split_cells(line, folder.separator))
-    return heads.select(
+    return small.unionAll(big.select(plain_path(F.col("uri")), "length", "lines")).select(
         "path",
         name.alias("file"),
         extension_rank(name).alias("rank"),

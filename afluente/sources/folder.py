@@ -5,14 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from afluente import constants as C
 from afluente.functions.text import any_case_glob, plain_path
-
-FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-
+from afluente.session import case_keeping
 
 @dataclass(frozen=True)
 class Folder:
@@ -26,7 +24,7 @@ class Folder:
 def open_folder(spark: SparkSession, location: str, separator: str = ";") -> Folder:
     if not separator:
         raise ValueError("the separator must not be empty")
-    return Folder(spark, location.rstrip("/"), separator)
+    return Folder(case_keeping(spark), location.rstrip("/"), separator)
 
 
 def globs(folder: Folder, extensions: tuple[str, ...]) -> list[str]:
@@ -64,32 +62,39 @@ def route(name: Column) -> Column:
     )
 
 
-def files(folder: Folder, extensions: tuple[str, ...]) -> DataFrame:
-    """The matching files as (path, length, content); unused columns are never read."""
-    spark = folder.spark
-    frames = []
+def load_matching(
+    reader: DataFrameReader, folder: Folder, extensions: tuple[str, ...], columns: list[Column]
+) -> DataFrame | None:
+    """``columns`` of all files with one of the extensions; None without any file."""
+    found = None
     for pattern in globs(folder, extensions):
         try:
-            frames.append(spark.read.format("binaryFile").load(pattern))
+            part = reader.load(pattern).select(*columns)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-    if not frames:
-        return spark.createDataFrame([], "path string, length bigint, content binary")
-    frames = [f.select(plain_path(F.col("_metadata.file_path")).alias("path"), "length", "content") for f in frames]
-    found = frames[0]
-    for frame in frames[1:]:
-        found = found.unionAll(frame)
+            continue
+        found = part if found is None else found.unionAll(part)
     return found
 
 
+def files(folder: Folder, extensions: tuple[str, ...]) -> DataFrame | None:
+    """The matching files as (path, length, content), if any; unused columns are never read."""
+    path = plain_path(F.col("_metadata.file_path")).alias("path")
+    reader = folder.spark.read.format("binaryFile")
+    return load_matching(reader, folder, extensions, [path, F.col("length"), F.col("content")])
+
+
 def list_sources(folder: Folder) -> DataFrame:
     """Supported files with their kind; only names and sizes are read.
 
     Spark's listing leaves out files of zero bytes: they hold no rows.
     """
+    found = files(folder, C.EXTENSIONS)
+    if found is None:
+        return folder.spark.createDataFrame([], "path string, file string, rank int, route string, length bigint")
     name = file_name(F.col("path"))
-    return files(folder, C.EXTENSIONS).select(
+    return found.select(
         "path",
         name.alias("file"),
         extension_rank(name).alias("rank"),

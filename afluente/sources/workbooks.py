@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from afluente import constants as C
-from afluente.functions.text import blank_to_null
 from afluente.sources.delimited import rectangular
 from afluente.sources.folder import Folder, extension_rank, file_name, files
 
@@ -216,7 +215,7 @@ def _reader(include: frozenset[str] | None, exclude: frozenset[str]):
     return read
 
 
-def workbook_files(folder: Folder) -> DataFrame:
+def workbook_files(folder: Folder) -> DataFrame | None:
     return files(folder, C.WORKBOOK_EXTENSIONS)
 
 

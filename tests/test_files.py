@@ -11,7 +11,7 @@ from afluente.sources.delimited import delimited_grid, delimited_lines
 from afluente.sources.folder import list_sources
 from afluente.sources.sheets import SheetRule, distinct_sheets
 from afluente.sources.workbooks import list_sheets, workbook_files
-from tests.workbook_bytes import workbook_bytes
+from workloads.workbook_bytes import workbook_bytes
 
 TITLED = "Relatório de vendas\n\nCódigo;Nome;Valor\n1;Ana;10\n2;Bia;20\n3;Caio;30\n4;Davi;40\n5;Eva;50\n"
 
@@ -40,8 +40,9 @@ def test_lists_and_routes_files_in_any_case(spark, folder_of):
 def test_empty_folder(spark, folder_of):
     folder = open_folder(spark, folder_of({"note.pdf": b"q"}))
     assert list_sources(folder).count() == 0
-    assert delimited_lines(folder).count() == 0
-    assert read_layout(folder).count() == 0
+    assert delimited_lines(folder) is None
+    with pytest.raises(FileNotFoundError):
+        read_layout(folder)
 
 
 def test_separator_must_be_given(spark):
@@ -117,6 +118,10 @@ def test_analysis_groups_by_name_and_type(spark, folder_of):
     shown = [r["group_id"] for r in result.settings.orderBy("display").collect()]
     assert shown == ["cnpj:numeric", "valor:numeric", "valor:String", "dia:Datetime", "dia:String", "cnpjcliente:numeric"]
     assert result.mapping().count() == 9
+    # names that differ only in letter case stay apart
+    out = consolidate(open_folder(spark, place, ","), result.mapping(), layout=result.layout).consolidated
+    assert out.columns == ["CNPJ", "valor", "dia", "cnpj_cliente", "Valor", "Origem"]
+    assert rows(out.where("Origem = 'c.csv'").select("cnpj_cliente", "Valor")) == [("15", "abc"), ("16", "def")]
 
 
 def paths_of(layout):
