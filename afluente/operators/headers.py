@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from afluente import constants as C
+from afluente.functions.columns import computed
 from afluente.functions.text import is_visible, strip
 
 # Weights of the header score.
@@ -90,9 +91,10 @@ def unique_names(names: Column) -> Column:
 
 def detect_layout(heads: DataFrame) -> DataFrame:
     """Header row, column names and status of each source."""
-    found = heads.withColumn("header_line", header_line(F.col("rows")))
+    found = computed(heads, header_line=header_line(F.col("rows")))
     header = F.coalesce(F.get("rows", F.col("header_line")), F.array().cast("array<string>"))
-    found = found.withColumn("names", header_names(header)).withColumn("names", unique_names(F.col("names")))
+    found = computed(found, _raw=header_names(header))
+    found = computed(found, names=unique_names(F.col("_raw"))).drop("_raw")
     clash = F.size(F.array_distinct("names")) < F.size("names")
     status = (
         F.when(F.col("error").isNotNull(), "error")
@@ -101,7 +103,7 @@ def detect_layout(heads: DataFrame) -> DataFrame:
         .otherwise("ok")
     )
     detail = F.coalesce("error", F.when(clash, F.lit("column names are not unique")))
-    return found.withColumn("status", status).withColumn("error", detail)
+    return computed(found, status=status, _detail=detail).withColumn("error", F.col("_detail")).drop("_detail")
 
 
 def numbered_grid(grid: DataFrame, source: list[str], line: str = "line", rows: int = C.HEAD_ROWS) -> DataFrame:

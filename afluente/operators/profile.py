@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from afluente import constants as C
 from afluente.functions.casts import text_to_datetime, text_to_float, text_to_integer
+from afluente.functions.columns import computed
 from afluente.functions.text import is_visible, named, normalize_name
 
 # Profiled types, from the most specific one.
@@ -78,23 +79,18 @@ def table_fingerprints(df: DataFrame, path: str) -> DataFrame:
 
 def layout_fingerprints(layout: DataFrame) -> DataFrame:
     """One row per column of each source, from the rows sampled in its layout; nothing is shuffled."""
-    sample = F.slice("rows", F.col("header_line") + 2, F.lit(C.HEAD_ROWS))
     columns = layout.where(F.col("status") == "ok").select(
-        "path", "file", "rank", "sheet", "sheet_no", sample.alias("sample"), F.posexplode("names").alias("column_no", "column")
+        "path", "file", "rank", "sheet", "sheet_no", "rows", "header_line", F.posexplode("names").alias("column_no", "column")
     )
-    values = F.transform("sample", lambda r: F.get(r, F.col("column_no")))
-    return columns.withColumn("values", values).select(
-        "path",
-        "file",
-        "rank",
-        "sheet",
-        "sheet_no",
-        "column_no",
-        "column",
-        normalize_name(F.col("column")).alias("normalized"),
-        profile_values(F.col("values")).alias("type"),
-        null_share(F.col("values")).alias("null_ratio"),
+    sample = F.slice("rows", F.col("header_line") + 2, F.lit(C.HEAD_ROWS))
+    found = computed(columns, values=F.transform(sample, lambda r: F.get(r, F.col("column_no"))))
+    found = computed(
+        found,
+        normalized=normalize_name(F.col("column")),
+        type=profile_values(F.col("values")),
+        null_ratio=null_share(F.col("values")),
     )
+    return found.drop("rows", "header_line", "values")
 
 
 def type_class(kind: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from afluente import constants as C
+from afluente.functions.columns import computed
 from afluente.functions.text import blank_to_null, decode_latin1, plain_path, split_cells
 from afluente.session import block_size, one_block_per_task
 from afluente.sources.folder import Folder, extension_rank, file_name, files, load_matching
@@ -97,12 +98,15 @@ def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def rectangular(rows: Column) -> Column:
-    """Rows padded with null to the width of the widest one; empty cells become null."""
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    return F.transform(
-        rows, lambda r: F.transform(F.sequence(F.lit(0), width - 1), lambda i: blank_to_null(F.get(r, i)))
-    )
+def rectangular(df: DataFrame, rows: Column) -> DataFrame:
+    """``df`` with ``rows`` padded with null to the width of the widest row; empty cells become null."""
+    wide = computed(computed(df, _rows=rows), _width=F.array_max(F.transform("_rows", lambda r: F.size(r))))
+
+    def padded(row: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda i: blank_to_null(F.get(row, i)))
+
+    filled = F.when(F.size("_rows") > 0, F.transform("_rows", padded)).otherwise(F.col("_rows"))
+    return computed(wide, rows=filled).drop("_rows", "_width")
 
 
 def delimited_heads(folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES) -> DataFrame | None:
@@ -120,13 +124,14 @@ def delimited_heads(folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES) ->
     )
     name = file_name(F.col("path"))
     cells = F.transform("lines", lambda line: split_cells(line, folder.separator))
-    return small.unionAll(big.select(plain_path(F.col("uri")), "length", "lines")).select(
+    heads = rectangular(small.unionAll(big.select(plain_path(F.col("uri")), "length", "lines")), cells)
+    return heads.select(
         "path",
         name.alias("file"),
         extension_rank(name).alias("rank"),
         F.lit(None).cast("string").alias("sheet"),
         F.lit(0).alias("sheet_no"),
         "length",
-        F.when(F.size("lines") > 0, rectangular(cells)).otherwise(cells).alias("rows"),
+        "rows",
         F.lit(None).cast("string").alias("error"),
     )

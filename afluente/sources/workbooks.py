@@ -228,6 +228,7 @@ def list_sheets(workbooks: DataFrame) -> DataFrame:
 def workbook_heads(workbooks: DataFrame) -> DataFrame:
     """First rows of every sheet, in the form that delimited files have too."""
     found = workbooks.select("path", "length", "content").mapInArrow(_read_heads, HEADS_SCHEMA)
+    found = rectangular(found.withColumnRenamed("rows", "ragged"), F.col("ragged"))
     name = file_name(F.col("path"))
     return found.select(
         "path",
@@ -236,7 +237,7 @@ def workbook_heads(workbooks: DataFrame) -> DataFrame:
         "sheet",
         "sheet_no",
         "length",
-        F.when(F.size("rows") > 0, rectangular(F.col("rows"))).otherwise(F.col("rows")).alias("rows"),
+        "rows",
         "error",
     )
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from afluente import constants as C
+from afluente.functions.columns import computed
 from afluente.functions.text import blank_to_null
 from afluente.operators.headers import (
     detect_layout,
@@ -37,17 +38,18 @@ def _grid(t) -> DataFrame:
 
 def _heads(t) -> DataFrame:
     """First lines of each document, taken from its own row."""
-    lines = F.filter(F.split("text", "\n", -1), lambda v: F.length(v) > 0)
-    cells = F.transform(F.slice(lines, 1, C.HEAD_ROWS), lambda v: F.split(v, " ", -1))
+    texts = computed(t.documents, lines=F.filter(F.split("text", "\n", -1), lambda v: F.length(v) > 0))
+    cells = F.transform(F.slice("lines", 1, C.HEAD_ROWS), lambda v: F.split(v, " ", -1))
     path = F.col("doc_id").cast("string")
-    return t.documents.select(
+    return rectangular(texts, cells).select(
         "doc_id",
+        "lines",
         path.alias("path"),
         path.alias("file"),
         F.lit(0).alias("rank"),
         F.lit(None).cast("string").alias("sheet"),
         F.lit(0).alias("sheet_no"),
-        F.when(F.size(cells) > 0, rectangular(cells)).otherwise(cells).alias("rows"),
+        "rows",
         F.lit(None).cast("string").alias("error"),
     )
 
@@ -77,7 +79,7 @@ moves AS (SELECT *, list_reduce(list_concat([0::DOUBLE], list_transform(range(sa
 scored AS (SELECT *, CASE WHEN len(found) = 0 THEN -100::DOUBLE ELSE
     (uniques::DOUBLE / len(found)) * 3::DOUBLE + (texts::DOUBLE / len(found)) * 3::DOUBLE
     - (numerics::DOUBLE / len(found)) * 5::DOUBLE - (nulls::DOUBLE / width) * 2::DOUBLE END + transition AS score FROM moves),
-best AS (SELECT doc_id, coalesce(first(line ORDER BY score DESC, line) FILTER (WHERE score IS NOT NULL), 0) AS header_line
+best AS (SELECT doc_id, coalesce(first(line ORDER BY score DESC, line) FILTER (WHERE below IS NOT NULL), 0) AS header_line
     FROM scored GROUP BY doc_id),
 headers AS (SELECT h.doc_id, h.lines, h."rows", coalesce(header_line, 0)::INTEGER AS header_line,
     list_transform(h."rows"[coalesce(header_line, 0) + 1], lambda c, i: coalesce(c, 'column_' || (i - 1))) AS names
@@ -110,7 +112,8 @@ def _(t):
 )
 def _(t):
     rows = F.col("rows")
-    pairs = _heads(t).where(F.size(rows) > 1).select("doc_id", "rows", F.posexplode(F.slice(rows, F.lit(2), F.size(rows) - 1)).alias("line", "below"))
+    below = F.posexplode(F.slice(rows, F.lit(2), F.size(rows) - 1)).alias("line", "below")
+    pairs = _heads(t).where(F.size(rows) > 1).select("doc_id", "rows", below)
     cells = F.get("rows", F.col("line"))
     counted = pairs.select("doc_id", "line", cells.alias("cells"), same_kind_count(cells, F.col("below")).alias("same"))
     return counted.select("doc_id", "line", "same", F.round(transition_score(F.col("same"), F.size("cells")), 9).alias("transition"))
@@ -127,7 +130,8 @@ def _(t):
 )
 def _(t):
     """The same from a grid whose rows lie apart."""
-    heads = grid_heads(_grid(t), ["doc_id"]).withColumn("rows", rectangular(F.col("rows")))
+    heads = grid_heads(_grid(t), ["doc_id"]).withColumnRenamed("rows", "ragged")
+    heads = rectangular(heads, F.col("ragged"))
     return detect_layout(heads.withColumn("error", F.lit(None).cast("string"))).select("doc_id", "header_line")
 
 
@@ -150,11 +154,9 @@ def _(t):
         unnest(lines) AS texto FROM layout) WHERE line > header_line""",
 )
 def _(t):
-    # header and lines come from one row of the table, so nothing is joined or shuffled
-    lines = F.filter(F.split("text", "\n", -1), lambda v: F.length(v) > 0)
-    layout = detect_layout(_heads(t).withColumn("text", F.lit(None))).select("doc_id", "header_line")
-    rows = t.documents.select("doc_id", F.posexplode(lines).alias("line", "texto"))
-    return drop_preamble(rows.join(layout, "doc_id")).select("doc_id", "line", "texto")
+    # header and lines are on one row of the table, so nothing is joined or shuffled
+    rows = _layout(t).select("doc_id", "header_line", F.posexplode("lines").alias("line", "texto"))
+    return drop_preamble(rows).select("doc_id", "line", "texto")
 
 
 @query(
@@ -205,8 +207,5 @@ def _(t):
     f"""WITH {_GRID} SELECT doc_id, status, CASE WHEN status = 'ok' THEN len(lines) - header_line - 1 ELSE 0 END AS linhas FROM layout""",
 )
 def _(t):
-    lines = F.size(F.filter(F.split("text", "\n", -1), lambda v: F.length(v) > 0))
-    sources = _layout(t).select("doc_id", "status", "header_line")
-    counts = t.documents.select("doc_id", lines.alias("todas"))
-    rows = F.when(F.col("status") == "ok", F.col("todas") - F.col("header_line") - 1).otherwise(0)
-    return sources.join(counts, "doc_id", "left").select("doc_id", "status", rows.alias("linhas"))
+    rows = F.when(F.col("status") == "ok", F.size("lines") - F.col("header_line") - 1).otherwise(0)
+    return _layout(t).select("doc_id", "status", rows.alias("linhas"))
