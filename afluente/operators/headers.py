@@ -78,23 +78,41 @@ def header_names(cells: Column) -> Column:
     )
 
 
-def unique_names(names: Column) -> Column:
-    """Names that occur more than once all get ``_1``, ``_2``, … in order."""
+def with_unique_names(df: DataFrame, names: Column, output: str = "names") -> DataFrame:
+    """Names that occur more than once all get ``_1``, ``_2``, … in order.
 
-    def numbered(name: Column, i: Column) -> Column:
-        alike = F.size(F.filter(names, lambda n: n == name))
-        so_far = F.size(F.filter(F.slice(names, F.lit(1), i + 1), lambda n: n == name))
-        return F.when(alike > 1, F.concat(name, F.lit("_"), so_far.cast("string"))).otherwise(name)
+    The names are sorted so that equal ones form runs; each run numbers itself,
+    and the original order is restored.
+    """
+    entries = F.transform(names, lambda n, i: F.struct(n.alias("name"), i.alias("at")))
+    df = computed(df, _sorted=F.array_sort(entries))
 
-    return F.transform(names, numbered)
+    def name_at(position: Column) -> Column:
+        return F.get("_sorted", position)["name"]
+
+    positions = F.when(F.size("_sorted") > 0, F.sequence(F.lit(0), F.size("_sorted") - 1)).otherwise(
+        F.array().cast("array<int>")
+    )
+    df = computed(df, _starts=F.filter(positions, lambda k: (k == 0) | (name_at(k) != name_at(k - 1))))
+
+    def run(start: Column, number: Column) -> Column:
+        length = F.coalesce(F.get("_starts", number + 1), F.size("_sorted")) - start
+
+        def numbered(entry: Column, place: Column) -> Column:
+            suffixed = F.concat(entry["name"], F.lit("_"), (place + 1).cast("string"))
+            return F.struct(entry["at"].alias("at"), F.when(length > 1, suffixed).otherwise(entry["name"]).alias("name"))
+
+        return F.transform(F.slice("_sorted", start + 1, length), numbered)
+
+    restored = F.array_sort(F.flatten(F.transform("_starts", run)))
+    return computed(df, **{output: F.transform(restored, lambda e: e["name"])}).drop("_sorted", "_starts")
 
 
 def detect_layout(heads: DataFrame) -> DataFrame:
     """Header row, column names and status of each source."""
     found = computed(heads, header_line=header_line(F.col("rows")))
     header = F.coalesce(F.get("rows", F.col("header_line")), F.array().cast("array<string>"))
-    found = computed(found, _raw=header_names(header))
-    found = computed(found, names=unique_names(F.col("_raw"))).drop("_raw")
+    found = with_unique_names(found, header_names(header))
     clash = F.size(F.array_distinct("names")) < F.size("names")
     status = (
         F.when(F.col("error").isNotNull(), "error")

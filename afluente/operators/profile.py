@@ -79,18 +79,23 @@ def table_fingerprints(df: DataFrame, path: str) -> DataFrame:
 
 def layout_fingerprints(layout: DataFrame) -> DataFrame:
     """One row per column of each source, from the rows sampled in its layout; nothing is shuffled."""
-    columns = layout.where(F.col("status") == "ok").select(
-        "path", "file", "rank", "sheet", "sheet_no", "rows", "header_line", F.posexplode("names").alias("column_no", "column")
-    )
     sample = F.slice("rows", F.col("header_line") + 2, F.lit(C.HEAD_ROWS))
-    found = computed(columns, values=F.transform(sample, lambda r: F.get(r, F.col("column_no"))))
+    usable = computed(layout.where(F.col("status") == "ok"), sample=sample)
+    # each column takes its own cells along, not the whole sample
+    columns = F.transform(
+        "names",
+        lambda name, i: F.struct(
+            i.alias("column_no"), name.alias("column"), F.transform("sample", lambda r: F.get(r, i)).alias("values")
+        ),
+    )
+    found = usable.select("path", "file", "rank", "sheet", "sheet_no", F.inline(columns))
     found = computed(
         found,
         normalized=normalize_name(F.col("column")),
         type=profile_values(F.col("values")),
         null_ratio=null_share(F.col("values")),
     )
-    return found.drop("rows", "header_line", "values")
+    return found.drop("values")
 
 
 def type_class(kind: Column) -> Column:

@@ -16,7 +16,7 @@ from afluente.operators.headers import (
     row_stats,
     same_kind_count,
     transition_score,
-    unique_names,
+    with_unique_names,
 )
 from afluente.operators.profile import layout_fingerprints
 from afluente.plans.preview import preview_rows
@@ -144,8 +144,8 @@ def _(t):
 @query("unique_headers", f"WITH {_GRID} SELECT doc_id, posicao, unico FROM named")
 def _(t):
     header = F.coalesce(F.get("rows", F.col("header_line")), F.array().cast("array<string>"))
-    named = _layout(t).select("doc_id", header_names(header).alias("nomes"))
-    return named.select("doc_id", F.posexplode(unique_names(F.col("nomes"))).alias("posicao", "unico"))
+    named = with_unique_names(_layout(t).select("doc_id", "rows", "header_line"), header_names(header), "unicos")
+    return named.select("doc_id", F.posexplode("unicos").alias("posicao", "unico"))
 
 
 @query(
