@@ -28,10 +28,6 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def strip(value: Column) -> Column:
-    return F.regexp_replace(value, rf"^{SPACES}+|{SPACES}+\z", "")
-
-
 def is_visible(value: Column) -> Column:
     """True for a cell that holds something other than white space."""
     return value.isNotNull() & value.rlike(f"[^{_SPACE_SET}]")

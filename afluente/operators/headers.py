@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from afluente import constants as C
 from afluente.functions.columns import computed
-from afluente.functions.text import is_visible, strip
+from afluente.functions.text import SPACES, is_visible
 
 # Weights of the header score.
 UNIQUE_WEIGHT = 3.0
@@ -19,6 +19,9 @@ SAME_KIND_PENALTY = 0.2
 TRANSITION_WEIGHT = 5.0
 ALL_NULL_SCORE = -100.0
 
+# Fixed value: a cell that is a number to the header score, white space around it aside.
+NUMERIC_CELL = rf"^{SPACES}*\p{{N}}+{SPACES}*\z"
+
 
 def row_stats(cells: Column) -> Column:
     """Counts of null, visible, numeric and distinct cells in one row."""
@@ -27,7 +30,7 @@ def row_stats(cells: Column) -> Column:
         F.size(cells).alias("width"),
         (F.size(cells) - F.size(filled)).alias("nulls"),
         F.size(F.filter(filled, is_visible)).alias("texts"),
-        F.size(F.filter(filled, lambda c: strip(c).rlike(r"^\p{N}+\z"))).alias("numerics"),
+        F.size(F.filter(filled, lambda c: c.rlike(NUMERIC_CELL))).alias("numerics"),
         F.size(F.array_distinct(filled)).alias("uniques"),
     )
 

@@ -28,6 +28,7 @@ from afluente.operators.summary import SummaryRule, summary_table
 from afluente.plans.layout import (
     ROW_ORDER,
     audit_sources,
+    bytes_per_block,
     join_layout,
     mapped_cells,
     present_columns,
@@ -115,7 +116,7 @@ def consolidate(
     if not projection.columns:
         raise ValueError("no source column matches the mapping")
 
-    grid = source_grid(folder, sheets, small_file_bytes)
+    grid = source_grid(folder, sheets, small_file_bytes, bytes_per_block(folder, projection))
     rows = join_layout(grid, projection, broadcast_limit)
     kept_names = [c for c in projection.columns if c.name != origin]
     text = mapped_cells(projection)

@@ -29,14 +29,16 @@ def source_heads(folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES) -> Da
     return _all_of(folder, found)
 
 
-def source_grid(folder: Folder, sheets: SheetRule, small_file_bytes: int = SMALL_FILE_BYTES) -> DataFrame:
+def source_grid(
+    folder: Folder, sheets: SheetRule, small_file_bytes: int = SMALL_FILE_BYTES, bytes_per_block: int | None = None
+) -> DataFrame:
     """All rows of every file and wanted sheet of the folder."""
     names = frozenset(sheets.names)
     include = names if names and sheets.mode == "include" else None
     exclude = names if sheets.mode == "exclude" else frozenset()
     books = workbook_files(folder)
     found = [
-        delimited_grid(folder, small_file_bytes),
+        delimited_grid(folder, small_file_bytes, bytes_per_block),
         None if books is None else workbook_grid(books, include, exclude),
     ]
     return _all_of(folder, found)
@@ -79,7 +81,8 @@ class Projection:
 
     sources: DataFrame
     columns: tuple[FinalColumn, ...]
-    bytes_per_lookup: int
+    lookup_bytes: int
+    source_bytes: int
 
 
 def project_layout(layout: DataFrame, mapping: DataFrame | None) -> Projection:
@@ -93,7 +96,7 @@ def project_layout(layout: DataFrame, mapping: DataFrame | None) -> Projection:
     )
     sources = written(
         layout.select(
-            "path", "sheet_no", "rank", "header_line", "length", "status", "error",
+            "uri", "path", "sheet_no", "rank", "header_line", "length", "status", "error",
             origin_text(F.col("file"), F.col("sheet")).alias("origin"),
         ).join(entries, ["path", "sheet_no"], "left")
     )
@@ -116,9 +119,15 @@ def project_layout(layout: DataFrame, mapping: DataFrame | None) -> Projection:
         FinalColumn(row.final_name, row.type, row.copies) for row in sorted(schema, key=lambda row: row["first"])
     )
     cells = sum(c.copies for c in final)
-    size = F.sum(F.length("path") + F.length("origin") + F.lit(8 * (cells + 16)))
-    total = sources.where(F.col("entries").isNotNull()).agg(size.alias("size")).first()["size"]
-    return Projection(sources, final, total or 0)
+    size = F.sum(F.length("uri") + F.length("path") + F.length("origin") + F.lit(8 * (cells + 16)))
+    totals = sources.where(F.col("entries").isNotNull()).agg(size.alias("lookup"), F.sum("length").alias("read")).first()
+    return Projection(sources, final, totals["lookup"] or 0, totals["read"] or 0)
+
+
+def bytes_per_block(folder: Folder, projection: Projection) -> int:
+    """Split size of this run: small enough to occupy all cores, and fixed from here on."""
+    share = projection.source_bytes // (2 * folder.spark.sparkContext.defaultParallelism)
+    return min(block_size(folder.spark), max(SMALL_FILE_BYTES, share))
 
 
 def position_name(column: int, copy: int) -> str:
@@ -133,6 +142,7 @@ def _lookup(projection: Projection) -> DataFrame:
         return F.get(mine, F.lit(copy))["column_no"]
 
     return projection.sources.where(F.col("entries").isNotNull()).select(
+        "uri",
         "path",
         "sheet_no",
         "rank",
@@ -155,14 +165,14 @@ def join_layout(grid: DataFrame, projection: Projection, broadcast_limit: int =
     large share of all rows is spread over as many tasks as it has stretches.
     """
     lookup = _lookup(projection)
-    if projection.bytes_per_lookup <= broadcast_limit:
-        joined = grid.join(F.broadcast(lookup), ["path", "sheet_no"])
+    if projection.lookup_bytes <= broadcast_limit:
+        joined = grid.join(F.broadcast(lookup), ["uri", "sheet_no"])
     else:
         stretch = block_size(grid.sparkSession)
         last = F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / stretch)
         spread = lookup.withColumn("stretch", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
         cut = grid.withColumn("stretch", F.floor(F.col("block") / stretch))
-        joined = cut.join(spread, ["path", "sheet_no", "stretch"])
+        joined = cut.join(spread, ["uri", "sheet_no", "stretch"])
     return joined.where(~((F.col("block") == 0) & (F.col("line") <= F.col("header_line"))))
 
 

@@ -31,8 +31,10 @@ _LINE_ENDS = "[\r\n]+"
 
 def _text(content: Column) -> Column:
     """File content without the mark and line ends that enclose it."""
-    text = F.regexp_replace(decode_latin1(content), f"^{_BYTE_ORDER_MARK}", "")
-    return F.btrim(text, F.lit("\r\n"))
+    text = decode_latin1(content)
+    marked = text.startswith(_BYTE_ORDER_MARK)
+    unmarked = F.when(marked, F.substr(text, F.lit(len(_BYTE_ORDER_MARK) + 1))).otherwise(text)
+    return F.btrim(unmarked, F.lit("\r\n"))
 
 
 def _small_files(folder: Folder, small_file_bytes: int) -> DataFrame | None:
@@ -53,27 +55,31 @@ def _big_file_lines(folder: Folder, small_file_bytes: int, bytes_per_block: int)
     return None if found is None else found.where((F.col("length") > small_file_bytes) & (F.length("value") > 0))
 
 
-def delimited_lines(folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES) -> DataFrame | None:
-    """Every non-blank line as (path, block, line, value), in file order by (block, line)."""
+def delimited_lines(
+    folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES, bytes_per_block: int | None = None
+) -> DataFrame | None:
+    """Every non-blank line as (uri, block, line, value), in file order by (block, line)."""
     whole = _small_files(folder, small_file_bytes)
-    blocks = _big_file_lines(folder, small_file_bytes, block_size(folder.spark))
+    blocks = _big_file_lines(folder, small_file_bytes, bytes_per_block or block_size(folder.spark))
     if whole is None or blocks is None:
         return None
     small = whole.select(
-        "path",
+        "uri",
         F.lit(0).cast("bigint").alias("block"),
         F.posexplode(F.split(_text(F.col("content")), _LINE_ENDS, -1)).alias("line", "value"),
     ).where(F.length("value") > 0)
     numbered = blocks.withColumn("line", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_TASK)))
-    big = numbered.select(plain_path(F.col("uri")), "block", "line", decode_latin1(F.col("value")))
+    big = numbered.select("uri", "block", "line", decode_latin1(F.col("value")))
     return small.withColumn("line", F.col("line").cast("bigint")).unionAll(big)
 
 
-def delimited_grid(folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES) -> DataFrame | None:
-    """(path, sheet_no, block, line, cells) of all delimited files."""
-    lines = delimited_lines(folder, small_file_bytes)
+def delimited_grid(
+    folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES, bytes_per_block: int | None = None
+) -> DataFrame | None:
+    """(uri, sheet_no, block, line, cells) of all delimited files."""
+    lines = delimited_lines(folder, small_file_bytes, bytes_per_block)
     return None if lines is None else lines.select(
-        "path",
+        "uri",
         F.lit(0).alias("sheet_no"),
         "block",
         "line",
@@ -110,23 +116,24 @@ def rectangular(df: DataFrame, rows: Column) -> DataFrame:
 
 
 def delimited_heads(folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES) -> DataFrame | None:
-    """First lines of each file: (path, file, rank, sheet, sheet_no, length, rows, error)."""
+    """First lines of each file: (uri, path, file, rank, sheet, sheet_no, length, rows, error)."""
     whole = _small_files(folder, small_file_bytes)
     blocks = _big_file_lines(folder, small_file_bytes, _WHOLE_FILE)
     if whole is None or blocks is None:
         return None
     lines = F.split(_text(F.col("content")), _LINE_ENDS, C.HEAD_ROWS + 1)
     visible = F.filter(F.slice(lines, 1, C.HEAD_ROWS), lambda v: F.length(v) > 0)
-    small = whole.select("path", "length", visible.alias("lines"))
+    small = whole.select("uri", "length", visible.alias("lines"))
     # One task per big file: it stops after the first batch instead of reading the file.
     big = blocks.select("uri", "length", decode_latin1(F.col("value")).alias("value")).mapInArrow(
         _first_lines, "uri string, length bigint, lines array<string>"
     )
-    name = file_name(F.col("path"))
+    path = plain_path(F.col("uri"))
+    name = file_name(path)
     cells = F.transform("lines", lambda line: split_cells(line, folder.separator))
-    heads = rectangular(small.unionAll(big.select(plain_path(F.col("uri")), "length", "lines")), cells)
-    return heads.select(
-        "path",
+    return rectangular(small.unionAll(big), cells).select(
+        "uri",
+        path.alias("path"),
         name.alias("file"),
         extension_rank(name).alias("rank"),
         F.lit(None).cast("string").alias("sheet"),

@@ -79,10 +79,10 @@ def load_matching(
 
 
 def files(folder: Folder, extensions: tuple[str, ...]) -> DataFrame | None:
-    """The matching files as (path, length, content), if any; unused columns are never read."""
-    path = plain_path(F.col("_metadata.file_path")).alias("path")
+    """The matching files as (uri, length, content), if any; unused columns are never read."""
+    uri = F.col("_metadata.file_path").alias("uri")
     reader = folder.spark.read.format("binaryFile")
-    return load_matching(reader, folder, extensions, [path, F.col("length"), F.col("content")])
+    return load_matching(reader, folder, extensions, [uri, F.col("length"), F.col("content")])
 
 
 def list_sources(folder: Folder) -> DataFrame:
@@ -93,9 +93,10 @@ def list_sources(folder: Folder) -> DataFrame:
     found = files(folder, C.EXTENSIONS)
     if found is None:
         return folder.spark.createDataFrame([], "path string, file string, rank int, route string, length bigint")
-    name = file_name(F.col("path"))
+    path = plain_path(F.col("uri"))
+    name = file_name(path)
     return found.select(
-        "path",
+        path.alias("path"),
         name.alias("file"),
         extension_rank(name).alias("rank"),
         route(name).alias("route"),

@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from afluente import constants as C
+from afluente.functions.text import plain_path
 from afluente.sources.delimited import rectangular
 from afluente.sources.folder import Folder, extension_rank, file_name, files
 
-SHEETS_SCHEMA = "path string, length bigint, sheet string, sheet_no int, error string"
-ROWS_SCHEMA = "path string, sheet_no int, line bigint, cells array<string>"
-HEADS_SCHEMA = "path string, length bigint, sheet string, sheet_no int, rows array<array<string>>, error string"
+SHEETS_SCHEMA = "uri string, length bigint, sheet string, sheet_no int, error string"
+ROWS_SCHEMA = "uri string, sheet_no int, line bigint, cells array<string>"
+HEADS_SCHEMA = "uri string, length bigint, sheet string, sheet_no int, rows array<array<string>>, error string"
 
 _ROWS_PER_BATCH = 4096
 _XML = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -139,8 +140,8 @@ def _open_rows(content: bytes) -> Iterator[tuple[int, str, Iterator[list]]]:
 
 def _workbooks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
     for batch in batches:
-        for path, length, content in zip(batch["path"], batch["length"], batch["content"]):
-            yield path.as_py(), length.as_py(), content.as_py()
+        for uri, length, content in zip(batch["uri"], batch["length"], batch["content"]):
+            yield uri.as_py(), length.as_py(), content.as_py()
 
 
 def _as_batch(rows: list[tuple], fields: list[pa.Field]) -> pa.RecordBatch:
@@ -150,7 +151,7 @@ def _as_batch(rows: list[tuple], fields: list[pa.Field]) -> pa.RecordBatch:
 
 _TEXTS = pa.list_(pa.string())
 _SHEET_FIELDS = [
-    pa.field("path", pa.string()),
+    pa.field("uri", pa.string()),
     pa.field("length", pa.int64()),
     pa.field("sheet", pa.string()),
     pa.field("sheet_no", pa.int32()),
@@ -159,33 +160,33 @@ _ERROR = pa.field("error", pa.string())
 
 
 def _list_sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for path, length, content in _workbooks(batches):
+    for uri, length, content in _workbooks(batches):
         try:
             with zipfile.ZipFile(io.BytesIO(content)) as book:
-                found = [(path, length, name, number, None) for number, (name, _) in enumerate(_sheets(book))]
+                found = [(uri, length, name, number, None) for number, (name, _) in enumerate(_sheets(book))]
         except Exception as error:  # an unreadable workbook is reported, and the run goes on
-            found = [(path, length, None, 0, f"{type(error).__name__}: {error}")]
+            found = [(uri, length, None, 0, f"{type(error).__name__}: {error}")]
         if found:
             yield _as_batch(found, [*_SHEET_FIELDS, _ERROR])
 
 
 def _read_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fields = [*_SHEET_FIELDS, pa.field("rows", pa.list_(_TEXTS)), _ERROR]
-    for path, length, content in _workbooks(batches):
+    for uri, length, content in _workbooks(batches):
         found = []
         try:
             for number, name, rows in _open_rows(content):
                 head = [row for _, row in zip(range(C.HEAD_ROWS), rows)]
-                found.append((path, length, name, number, head, None))
+                found.append((uri, length, name, number, head, None))
         except Exception as error:
-            found.append((path, length, None, len(found), [], f"{type(error).__name__}: {error}"))
+            found.append((uri, length, None, len(found), [], f"{type(error).__name__}: {error}"))
         if found:
             yield _as_batch(found, fields)
 
 
 def _reader(include: frozenset[str] | None, exclude: frozenset[str]):
     fields = [
-        pa.field("path", pa.string()),
+        pa.field("uri", pa.string()),
         pa.field("sheet_no", pa.int32()),
         pa.field("line", pa.int64()),
         pa.field("cells", _TEXTS),
@@ -193,7 +194,7 @@ def _reader(include: frozenset[str] | None, exclude: frozenset[str]):
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[tuple] = []
-        for path, _, content in _workbooks(batches):
+        for uri, _, content in _workbooks(batches):
             line = 0
             try:
                 for number, name, rows in _open_rows(content):
@@ -201,7 +202,7 @@ def _reader(include: frozenset[str] | None, exclude: frozenset[str]):
                         continue
                     line = 0
                     for line, cells in enumerate(rows):
-                        pending.append((path, number, line, cells))
+                        pending.append((uri, number, line, cells))
                         if len(pending) == _ROWS_PER_BATCH:
                             yield _as_batch(pending, fields)
                             pending = []
@@ -220,18 +221,21 @@ def workbook_files(folder: Folder) -> DataFrame | None:
 
 
 def list_sheets(workbooks: DataFrame) -> DataFrame:
-    """(path, file, sheet, sheet_no, error) from workbooks given as (path, length, content)."""
-    found = workbooks.select("path", "length", "content").mapInArrow(_list_sheets, SHEETS_SCHEMA)
-    return found.select("path", file_name(F.col("path")).alias("file"), "sheet", "sheet_no", "error")
+    """(path, file, sheet, sheet_no, error) from workbooks given as (uri, length, content)."""
+    found = workbooks.select("uri", "length", "content").mapInArrow(_list_sheets, SHEETS_SCHEMA)
+    path = plain_path(F.col("uri"))
+    return found.select(path.alias("path"), file_name(path).alias("file"), "sheet", "sheet_no", "error")
 
 
 def workbook_heads(workbooks: DataFrame) -> DataFrame:
     """First rows of every sheet, in the form that delimited files have too."""
-    found = workbooks.select("path", "length", "content").mapInArrow(_read_heads, HEADS_SCHEMA)
+    found = workbooks.select("uri", "length", "content").mapInArrow(_read_heads, HEADS_SCHEMA)
     found = rectangular(found.withColumnRenamed("rows", "ragged"), F.col("ragged"))
-    name = file_name(F.col("path"))
+    path = plain_path(F.col("uri"))
+    name = file_name(path)
     return found.select(
-        "path",
+        "uri",
+        path.alias("path"),
         name.alias("file"),
         extension_rank(name).alias("rank"),
         "sheet",
@@ -245,9 +249,9 @@ def workbook_heads(workbooks: DataFrame) -> DataFrame:
 def workbook_grid(
     workbooks: DataFrame, include: frozenset[str] | None = None, exclude: frozenset[str] = frozenset()
 ) -> DataFrame:
-    """(path, sheet_no, block, line, cells) of the wanted sheets of all workbooks."""
-    found = workbooks.select("path", "length", "content").mapInArrow(_reader(include, exclude), ROWS_SCHEMA)
-    return found.select("path", "sheet_no", F.lit(0).cast("bigint").alias("block"), "line", "cells")
+    """(uri, sheet_no, block, line, cells) of the wanted sheets of all workbooks."""
+    found = workbooks.select("uri", "length", "content").mapInArrow(_reader(include, exclude), ROWS_SCHEMA)
+    return found.select("uri", "sheet_no", F.lit(0).cast("bigint").alias("block"), "line", "cells")
 
 
 def _ship_by_value() -> None:

@@ -204,7 +204,7 @@ def test_line_order_across_blocks(spark, folder_of):
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 10))
     try:
         folder = open_folder(spark, place)
-        grid = delimited_grid(folder, 1000).where("path like '%big.csv'")
+        grid = delimited_grid(folder, 1000).where("uri like '%big.csv'")
         assert grid.select("block").distinct().count() > 5
         for limit in (0, 1 << 20):
             out = consolidate(folder, duplicates=DuplicateRule(("grupo",)), small_file_bytes=1000, broadcast_limit=limit)

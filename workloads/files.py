@@ -195,7 +195,7 @@ def _book(rows: pd.DataFrame) -> pd.DataFrame:
         for segment, part in rows.sort_values("c_custkey").groupby("c_mktsegment", sort=True)
     }
     content = workbook_bytes.workbook_bytes(sheets)
-    return pd.DataFrame({"path": [f"/livros/{rows['book'].iloc[0]}.xlsx"], "length": [len(content)], "content": [content]})
+    return pd.DataFrame({"uri": [f"/livros/{rows['book'].iloc[0]}.xlsx"], "length": [len(content)], "content": [content]})
 
 
 def _books(t) -> DataFrame:
@@ -205,11 +205,11 @@ def _books(t) -> DataFrame:
     def build(group: pd.DataFrame) -> pd.DataFrame:
         return _book(group)
 
-    return rows.groupBy("book").applyInPandas(build, "path string, length bigint, content binary")
+    return rows.groupBy("book").applyInPandas(build, "uri string, length bigint, content binary")
 
 
-def _book_no():
-    return F.regexp_extract("path", "([0-9]+)[.]xlsx", 1).cast("bigint").alias("livro")
+def _book_no(path: str = "uri"):
+    return F.regexp_extract(path, "([0-9]+)[.]xlsx", 1).cast("bigint").alias("livro")
 
 
 _SHEETS_SQL = f"""SELECT livro, sheet, row_number() OVER (PARTITION BY livro ORDER BY sheet) - 1 AS sheet_no
@@ -218,7 +218,7 @@ _SHEETS_SQL = f"""SELECT livro, sheet, row_number() OVER (PARTITION BY livro ORD
 
 @query("list_sheets", _SHEETS_SQL)
 def _(t):
-    return list_sheets(_books(t)).select(_book_no(), "sheet", "sheet_no")
+    return list_sheets(_books(t)).select(_book_no("path"), "sheet", "sheet_no")
 
 
 @query(
@@ -273,3 +273,50 @@ def _(t):
     )
     gone = users.select(path, F.lit("gone").alias("sheet"), F.lit(True).alias("checked"))
     return reconcile_sheets(_inventory(t), choices.unionAll(gone))
+
+
+def _write_lineitem(t, place: str) -> None:
+    """The order lines as plain text under a header, as few big files."""
+    t.lineitem.selectExpr(
+        "l_orderkey AS `Pedido`",
+        "l_linenumber AS `Linha`",
+        "l_quantity AS `Quantidade`",
+        "l_extendedprice AS `Preço`",
+        "l_returnflag AS `Retorno`",
+        "CAST(l_shipdate AS DATE) AS `Envio`",
+    ).write.option("sep", "|").option("header", True).option("encoding", "ISO-8859-1").csv(place)
+
+
+def _lineitem_run(t):
+    folder = open_folder(t.spark, t.written("lineitem_csv", lambda p: _write_lineitem(t, p)), "|")
+    found = analyze_headers(folder)
+    types = folder.spark.createDataFrame(
+        [
+            ("pedido:numeric", C.TYPE_INTEGER),
+            ("linha:numeric", C.TYPE_INTEGER),
+            ("quantidade:numeric", C.TYPE_FLOAT),
+            ("preco:numeric", C.TYPE_FLOAT),
+            ("envio:Datetime", C.TYPE_DATE),
+        ],
+        "group_id string, type string",
+    )
+    return consolidate(
+        folder,
+        build_mapping(found.members, override_mapping(found.settings, types)),
+        [FilterRule("Envio", C.GREATER, "1993-01-01"), FilterRule("Retorno", C.NOT_EQUAL, "A")],
+        DuplicateRule(("Pedido", "Envio"), generate_report=False),
+        SummaryRule(("Retorno",), (Aggregation("Quantidade", C.COUNT), Aggregation("Envio", C.MAXIMUM))),
+        found.layout,
+    )
+
+
+@query(
+    "consolidate_big_files",
+    """SELECT "Retorno", count(*) AS "Quantidade_Contagem", max("Envio") AS "Envio_Máximo" FROM (
+        SELECT l_returnflag AS "Retorno", l_shipdate::DATE AS "Envio",
+               row_number() OVER (PARTITION BY l_orderkey, l_shipdate::DATE ORDER BY file_row_number) AS vez
+        FROM (SELECT *, row_number() OVER () AS file_row_number FROM lineitem)
+        WHERE l_shipdate::DATE > DATE '1993-01-01' AND l_returnflag <> 'A') WHERE vez = 1 GROUP BY "Retorno" """,
+)
+def _(t):
+    return _lineitem_run(t).summary

@@ -44,6 +44,7 @@ def _heads(t) -> DataFrame:
     return rectangular(texts, cells).select(
         "doc_id",
         "lines",
+        path.alias("uri"),
         path.alias("path"),
         path.alias("file"),
         F.lit(0).alias("rank"),
