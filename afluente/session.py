@@ -40,6 +40,12 @@ def block_size(spark: SparkSession) -> int:
     return int(digits) * units[text[len(digits):] or "b"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when it comes in fewer pieces than there are; heavy work per row follows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def session_like(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
     """A session on the same context with the same settings but for the given ones."""
     child = spark.newSession()

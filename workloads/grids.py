@@ -20,6 +20,7 @@ from afluente.operators.headers import (
 )
 from afluente.operators.profile import layout_fingerprints
 from afluente.plans.preview import preview_rows
+from afluente.session import spread
 from afluente.sources.delimited import rectangular
 from workloads.mappings import VISIBLE, normalized_sql, type_sql
 from workloads.registry import query
@@ -28,7 +29,7 @@ from workloads.registry import query
 def _lines(t) -> DataFrame:
     """All non-blank lines of all documents, numbered within their document."""
     lines = F.filter(F.split("text", "\n", -1), lambda v: F.length(v) > 0)
-    return t.documents.select("doc_id", F.posexplode(lines).alias("line", "texto"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(lines).alias("line", "texto"))
 
 
 def _grid(t) -> DataFrame:
@@ -38,7 +39,8 @@ def _grid(t) -> DataFrame:
 
 def _heads(t) -> DataFrame:
     """First lines of each document, taken from its own row."""
-    texts = computed(t.documents, lines=F.filter(F.split("text", "\n", -1), lambda v: F.length(v) > 0))
+    documents = spread(t.documents.select("doc_id", "text"))
+    texts = computed(documents, lines=F.filter(F.split("text", "\n", -1), lambda v: F.length(v) > 0))
     cells = F.transform(F.slice("lines", 1, C.HEAD_ROWS), lambda v: F.split(v, " ", -1))
     path = F.col("doc_id").cast("string")
     return rectangular(texts, cells).select(

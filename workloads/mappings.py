@@ -17,6 +17,7 @@ from afluente.operators.mapping import (
     split_groups,
 )
 from afluente.operators.profile import group_headers, table_fingerprints
+from afluente.session import spread
 from workloads.casts import DATETIME_SQL, FLOAT_SQL, INTEGER_SQL, NUMBERS
 from workloads.registry import query
 
@@ -47,8 +48,9 @@ def type_sql(visible: str, values: str) -> str:
         UNION ALL SELECT 'd' || doc_id, {normalized_sql('text')} FROM documents""",
 )
 def _(t):
+    # whole texts: heavy per row
     parts = t.part.select(F.concat(F.lit("p"), "p_partkey").alias("origem"), F.col("p_name").alias("texto"))
-    texts = t.documents.select(F.concat(F.lit("d"), "doc_id"), "text")
+    texts = spread(t.documents.select(F.concat(F.lit("d"), "doc_id"), "text"))
     return parts.unionAll(texts).select("origem", normalize_name(F.col("texto")).alias("nome"))
 
 
