@@ -9,12 +9,11 @@ from pyspark.sql import types as T
 from afluente import constants as C
 
 # The text forms accepted for each type.
-INTEGER_TEXT = r"^[+-]?[0-9]+\z"
 FLOAT_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 BOOLEAN_TEXT = r"^(?i:true|false)\z"
 DATE_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 DATETIME_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?)?\z"
-DAY_FIRST = r"^([0-9]{2})/([0-9]{2})/([0-9]{4})"
+DAY_FIRST_TEXT = r"^[0-9]{2}/[0-9]{2}/[0-9]{4}"
 
 SPARK_TYPES = {
     C.TYPE_TEXT: T.StringType(),
@@ -30,7 +29,12 @@ def _guarded(value: Column, pattern: str, target: str) -> Column:
 
 
 def text_to_integer(value: Column) -> Column:
-    return _guarded(value, INTEGER_TEXT, "bigint")
+    """Digits with an optional sign. The conversion itself is as strict, but for blanks around the number."""
+
+    def inked(character: Column) -> Column:
+        return (character > 32) & (character != 127)
+
+    return F.when(inked(F.ascii(value)) & inked(F.ascii(F.right(value, F.lit(1)))), value.try_cast("bigint"))
 
 
 def text_to_float(value: Column) -> Column:
@@ -41,16 +45,24 @@ def text_to_boolean(value: Column) -> Column:
     return _guarded(value, BOOLEAN_TEXT, "boolean")
 
 
-def _year_first(value: Column) -> Column:
-    return F.regexp_replace(value, DAY_FIRST, "$3-$2-$1")
+def _day(value: Column, pattern: str, target: str) -> Column:
+    """Year first, or day first with slashes; the usual form is tried first."""
+
+    def part(start: int, length: int) -> Column:
+        return F.substring(value, start, length)
+
+    turned = F.concat(part(7, 4), F.lit("-"), part(4, 2), F.lit("-"), part(1, 2), F.substr(value, F.lit(11)))
+    return F.when(value.rlike(pattern), value.try_cast(target)).when(
+        value.rlike(DAY_FIRST_TEXT), _guarded(turned, pattern, target)
+    )
 
 
 def text_to_date(value: Column) -> Column:
-    return _guarded(_year_first(value), DATE_TEXT, "date")
+    return _day(value, DATE_TEXT, "date")
 
 
 def text_to_datetime(value: Column) -> Column:
-    return _guarded(_year_first(value), DATETIME_TEXT, "timestamp_ntz")
+    return _day(value, DATETIME_TEXT, "timestamp_ntz")
 
 
 def lenient_cast(value: Column, source: T.DataType, target: T.DataType) -> Column:
