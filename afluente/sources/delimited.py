@@ -52,7 +52,7 @@ def _big_file_lines(folder: Folder, small_file_bytes: int, bytes_per_block: int)
         F.col("value"),
     ]
     found = load_matching(reader, folder, C.DELIMITED_EXTENSIONS, columns)
-    return None if found is None else found.where((F.col("length") > small_file_bytes) & (F.length("value") > 0))
+    return None if found is None else found.where((F.col("length") > small_file_bytes) & (F.col("value") != ""))
 
 
 def delimited_lines(
@@ -67,7 +67,7 @@ def delimited_lines(
         "uri",
         F.lit(0).cast("bigint").alias("block"),
         F.posexplode(F.split(_text(F.col("content")), _LINE_ENDS, -1)).alias("line", "value"),
-    ).where(F.length("value") > 0)
+    ).where(F.col("value") != "")
     numbered = blocks.withColumn("line", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_TASK)))
     big = numbered.select("uri", "block", "line", decode_latin1(F.col("value")))
     return small.withColumn("line", F.col("line").cast("bigint")).unionAll(big)
@@ -122,7 +122,7 @@ def delimited_heads(folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES) ->
     if whole is None or blocks is None:
         return None
     lines = F.split(_text(F.col("content")), _LINE_ENDS, C.HEAD_ROWS + 1)
-    visible = F.filter(F.slice(lines, 1, C.HEAD_ROWS), lambda v: F.length(v) > 0)
+    visible = F.filter(F.slice(lines, 1, C.HEAD_ROWS), lambda v: v != "")
     small = whole.select("uri", "length", visible.alias("lines"))
     # One task per big file: it stops after the first batch instead of reading the file.
     big = blocks.select("uri", "length", decode_latin1(F.col("value")).alias("value")).mapInArrow(

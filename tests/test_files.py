@@ -304,3 +304,25 @@ def test_sheet_choices(spark, folder_of):
     layout = read_layout(folder, choices=choices)
     out = consolidate(folder, layout=layout).consolidated
     assert {r["Origem"] for r in out.select("Origem").distinct().collect()} == {"a.xlsx (Fev)", "b.xlsx (Jan)"}
+
+
+def test_plan_does_not_grow_with_the_folder(spark, folder_of):
+    def plan_lines(count):
+        place = folder_of({f"f{i}.csv": f"id;nome\n{i};a\n{i};b\n" for i in range(count)})
+        out = consolidate(open_folder(spark, place), duplicates=DuplicateRule(("id",)))
+        assert out.consolidated.count() == count
+        return len(out.consolidated._jdf.queryExecution().executedPlan().toString().splitlines())
+
+    assert plan_lines(2) == plan_lines(60)
+
+
+def test_data_is_joined_without_a_shuffle(spark, folder_of):
+    place = folder_of({"a.csv": "id;nome\n1;a\n2;b\n"})
+    plan = consolidate(open_folder(spark, place)).consolidated._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_head_of_a_big_file(spark, folder_of):
+    place = folder_of({"big.csv": "id;nome\n" + "".join(f"{i};x\n" for i in range(50_000))})
+    layout = read_layout(open_folder(spark, place), small_file_bytes=1000).first()
+    assert (layout["names"], len(layout["rows"]), layout["status"]) == (["id", "nome"], 20, "ok")
