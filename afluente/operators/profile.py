@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,22 +13,37 @@ from afluente.functions.text import is_visible, named, normalize_name
 
 # Profiled types, from the most specific one.
 INTEGER, FLOAT, DATETIME, TEXT = "Int64", "Float64", "Datetime", "String"
-_TESTS = ((INTEGER, text_to_integer), (FLOAT, text_to_float), (DATETIME, text_to_datetime))
+
+# One bit per kind of cell, so that the kinds met in a column add up by OR.
+_NO_KIND, _INTEGER, _FLOAT, _DATETIME, _TEXT = 0, 1, 2, 4, 8
 
 NUMERIC_CLASS = "numeric"
 
 
-def profile_values(values: Column) -> Column:
-    """Type of an array of cells: the first type that all visible cells fit."""
-    visible = F.filter(values, is_visible)
-    kind = F.when(F.size(visible) == 0, TEXT)
-    for name, convert in _TESTS:
-        kind = kind.when(F.forall(visible, _fits(convert)), name)
-    return kind.otherwise(TEXT)
+def _cell_kind(value: Column) -> Column:
+    """Most specific kind that one cell fits; white space fits none."""
+    return (
+        F.when(~is_visible(value), F.lit(_NO_KIND))
+        .when(text_to_integer(value).isNotNull(), F.lit(_INTEGER))
+        .when(text_to_float(value).isNotNull(), F.lit(_FLOAT))
+        .when(text_to_datetime(value).isNotNull(), F.lit(_DATETIME))
+        .otherwise(F.lit(_TEXT))
+    )
+
+
+def _type_of(kinds: Column) -> Column:
+    """Type that all cells of the given kinds fit."""
+    return (
+        F.when(kinds == _INTEGER, INTEGER)
+        .when(kinds.isin(_FLOAT, _FLOAT | _INTEGER), FLOAT)
+        .when(kinds == _DATETIME, DATETIME)
+        .otherwise(TEXT)
+    )
 
 
-def _fits(convert: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda value: convert(value).isNotNull()
+def _kinds_of(values: Column) -> Column:
+    """Kinds met in an array of cells."""
+    return F.aggregate(values, F.lit(_NO_KIND), lambda kinds, v: kinds.bitwiseOR(_cell_kind(v)))
 
 
 def null_share(values: Column) -> Column:
@@ -39,12 +52,8 @@ def null_share(values: Column) -> Column:
 
 
 def profile_column(value: Column) -> Column:
-    """The same profile as one aggregate over a text column."""
-    visible = is_visible(value)
-    kind = F.when(F.count_if(visible) == 0, TEXT)
-    for name, convert in _TESTS:
-        kind = kind.when(F.bool_and(F.when(visible, _fits(convert)(value))), name)
-    return kind.otherwise(TEXT)
+    """Type of a text column, as one aggregate."""
+    return _type_of(F.coalesce(F.bit_or(_cell_kind(value)), F.lit(_NO_KIND)))
 
 
 def null_ratio(value: Column) -> Column:
@@ -92,10 +101,10 @@ def layout_fingerprints(layout: DataFrame) -> DataFrame:
     found = computed(
         found,
         normalized=normalize_name(F.col("column")),
-        type=profile_values(F.col("values")),
+        kinds=_kinds_of(F.col("values")),
         null_ratio=null_share(F.col("values")),
     )
-    return found.drop("values")
+    return found.withColumn("type", _type_of(F.col("kinds"))).drop("values", "kinds")
 
 
 def type_class(kind: Column) -> Column:
