@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -17,7 +19,10 @@ from afluente.sources.workbooks import list_sheets, workbook_grid
 from workloads import workbook_bytes
 from workloads.registry import query
 
-cloudpickle.register_pickle_by_value(workbook_bytes)
+# The book writer travels with the job, so executors need no copy of this package.
+for _module in (workbook_bytes, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(_module)
+
 
 def _write_by_nation(t, place: str) -> None:
     """One folder per nation: its customers as .csv, each row twice, and its suppliers as .txt below a title."""
