@@ -74,7 +74,7 @@ def main() -> int:
     oracles = contract.oracle_sql()
     failed = 0
     for name, build in contract.queries().items():
-        if sys.argv[2:] and name not in sys.argv[2:]:
+        if name not in oracles or (sys.argv[2:] and name not in sys.argv[2:]):
             continue
         started = time.time()
         try:

@@ -6,7 +6,7 @@ import __spark_entry__ as contract
 from tests.oracle import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = contract.QUERIES, contract.ORACLES
 
 
 @pytest.fixture(scope="module")
