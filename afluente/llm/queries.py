@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from afluente.llm.digest import fingerprint_documents
+from afluente.llm.pieces import summarise_encoding
+from afluente.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +27,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query
 def op10_document_digest(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_documents(table(spark, folder, "documents"))
+
+
+@query
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return summarise_encoding(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
