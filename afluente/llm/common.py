@@ -72,14 +72,13 @@ def id_bounds(rows: DataFrame, count: int) -> list[int]:
     return sorted(set(found or []))
 
 
-def in_id_order(rows: DataFrame, count: int, with_next: bool = False) -> DataFrame:
-    """The rows dealt out by ranges of ``doc_id`` and sorted by all columns within each range.
+def in_id_order(rows: DataFrame, bounds: list[int], with_next: bool = False) -> DataFrame:
+    """The rows dealt out by ranges of ``doc_id`` between ``bounds`` and sorted by all columns within each range.
 
     Column ``part`` numbers the ranges. With ``with_next`` a range also gets, marked ``tail``, the rows of the first
     id of the next range (the last range: of the first range), so that each row can be seen with its follower. Null
     ids come first. Only the range bounds, one id per partition, pass through the driver.
     """
-    bounds = id_bounds(rows, count)
     columns, last = rows.columns, len(bounds)
     first = rows.agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("low")).first()["low"] if with_next else None
     nobody, lowest = first is None, first[1] if first is not None else None

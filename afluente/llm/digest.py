@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from afluente.llm.common import in_id_order, partitions_of, slices, small_batches, text_bytes, texts_of
+from afluente.llm.common import id_bounds, in_id_order, partitions_of, slices, small_batches, text_bytes, texts_of
 
 WINDOW = 64  # bytes of a feature, and windows that compete with each other
 POPULAR = 16  # a window that wins this many of its competitions is a feature
@@ -189,7 +189,7 @@ def fingerprint_documents(documents: DataFrame, counts: np.ndarray | None = None
     small_batches(spark)
     rows = texts_of(documents)
     ranks = rarity_ranks(score_counts(rows) if counts is None else counts)
-    ordered = in_id_order(rows, partitions or partitions_of(spark), with_next=True)
+    ordered = in_id_order(rows, id_bounds(rows, partitions or partitions_of(spark)), with_next=True)
 
     def run(batches):
         held: tuple | None = None  # id, text and digest of the row before

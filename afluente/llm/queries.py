@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from afluente.llm.digest import fingerprint_documents
+from afluente.llm.lines import drop_repeated_lines
 from afluente.llm.pieces import summarise_encoding
 from afluente.llm.simhash import near_duplicates
+from afluente.llm.tokenfiles import token_checksums, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +40,36 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return summarise_encoding(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op5_line_dedup"] = """
+WITH cut AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), line AS (
+    SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS place FROM cut
+), keyed AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM line
+), shared AS (
+    SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+    SELECT k.*, coalesce(k.doc_id < s.last, false) AS dropped FROM keyed k LEFT JOIN shared s USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@query
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = write_token_files(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_checksums(files)
