@@ -15,6 +15,7 @@ from afluente.llm.lines import drop_repeated_lines
 from afluente.llm.pieces import summarise_encoding
 from afluente.llm.quality import score_quality, train
 from afluente.llm.simhash import near_duplicates
+from afluente.llm.suffixes import remove_repeats
 from afluente.llm.tokenfiles import token_checksums, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +96,9 @@ def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     conversations = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     return read_conversations(format_conversations(conversations.unionByName(more)))
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = remove_repeats(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
