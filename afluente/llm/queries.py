@@ -12,6 +12,8 @@ from afluente.llm.chat import format_conversations, read_conversations
 from afluente.llm.decontaminate import contaminated
 from afluente.llm.digest import fingerprint_documents
 from afluente.llm.lines import drop_repeated_lines
+from afluente.llm.pii import KINDS, find_pii, spans_as_text
+from afluente.llm.pii import train as train_pii
 from afluente.llm.pieces import summarise_encoding
 from afluente.llm.quality import score_quality, train
 from afluente.llm.simhash import near_duplicates
@@ -102,3 +104,11 @@ def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     left = remove_repeats(table(spark, folder, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    found = find_pii(documents, train_pii(documents))
+    counts = [f"n_{k}" for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(spans_as_text("base"), 256).alias("base_sha256"), spans_as_text("spans").alias("spans"))
