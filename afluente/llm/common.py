@@ -72,20 +72,22 @@ def id_bounds(rows: DataFrame, count: int) -> list[int]:
     return sorted(set(found or []))
 
 
-def in_id_order(rows: DataFrame, bounds: list[int], with_next: bool = False) -> DataFrame:
+def in_id_order(rows: DataFrame, bounds: list[int], with_next: bool = False, made=None, schema: str | None = None) -> DataFrame:
     """The rows dealt out by ranges of ``doc_id`` between ``bounds`` and sorted by all columns within each range.
 
     Column ``part`` numbers the ranges. With ``with_next`` a range also gets, marked ``tail``, the rows of the first
     id of the next range (the last range: of the first range), so that each row can be seen with its follower. Null
-    ids come first. Only the range bounds, one id per partition, pass through the driver.
+    ids come first. ``made`` turns batches of the rows into batches of ``schema`` before they are dealt out, in the same
+    Python worker, which halves the workers that a task needs. Only the range bounds, one id per partition, pass through the driver.
     """
-    columns, last = rows.columns, len(bounds)
+    schema = schema or ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
+    columns, last = [name.split()[0].strip("`") for name in schema.split(", ")], len(bounds)
     first = rows.agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("low")).first()["low"] if with_next else None
     nobody, lowest = first is None, first[1] if first is not None else None
     edges = np.array(bounds, dtype=np.int64)
 
     def deal(batches):
-        for batch in batches:
+        for batch in made(batches) if made else batches:
             ids = batch.column("doc_id")
             empty = ids.is_null().to_numpy(zero_copy_only=False)
             values = ids.fill_null(0).to_numpy(zero_copy_only=False)
@@ -105,6 +107,5 @@ def in_id_order(rows: DataFrame, bounds: list[int], with_next: bool = False) ->
                             [*columns, "part", "tail"],
                         )
 
-    kinds = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
-    dealt = rows.mapInArrow(deal, f"{kinds}, part int, tail boolean")
+    dealt = rows.mapInArrow(deal, f"{schema}, part int, tail boolean")
     return dealt.repartitionById(last + 1, F.col("part")).sortWithinPartitions("part", "tail", *columns)

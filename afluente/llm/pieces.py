@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -189,7 +190,7 @@ class CheckedIds:
         library = merger.library
         # After a line end nothing is added, so the library's leading space sign can be told apart.
         self.lead = library.encode("\n")
-        self.table = ChunkIds(self.encode)
+        self.table = ChunkIds(self.encode, decimal=True)
 
     def encode(self, chunks: list[str]) -> list[np.ndarray]:
         found = self.merger.encode(chunks)
@@ -241,6 +242,7 @@ def _over(documents: DataFrame, model: str, schema: str, names: list[str], resul
     small_batches(documents.sparkSession)
 
     def run(batches):
+        gc.collect()  # what the task before has left in this worker
         checked = None
         for batch in slices(batches, limit=2 << 20):
             if checked is None:

@@ -14,8 +14,9 @@ from afluente.llm.common import slices, small_batches, spans, text_bytes
 
 LENGTH = 50
 GRAM = 12  # bytes of the anchor that decides where a string is compared
-BLOCK_BYTES = 8 << 20  # text bytes of a map-side block
-BUCKET_BYTES = 16 << 20  # segment bytes that a bucket should have
+BLOCK_BYTES = 3 << 20  # text bytes of a map-side block
+BUCKET_BYTES = 6 << 20  # segment bytes that a bucket should have
+GROUP_BYTES = 2 << 20  # segment bytes that are sorted at once; about 120 times as much memory is used
 SPREAD = 3.5  # segment bytes per text byte: each window of a segment brings LENGTH - 1 bytes beyond it
 WIDE = 512  # intervals above this are extended symbol by symbol, others element by element
 NOBODY = -(2**63)
@@ -159,6 +160,13 @@ def _segments(wanted: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.nd
     return first[keep], last[keep]
 
 
+def _groups(keys: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The segments in groups of about GROUP_BYTES; equal keys stay together, and no string has two keys."""
+    count = -(-int(sizes.sum()) // GROUP_BYTES)
+    group = (keys >> np.uint64(20)) % np.uint64(max(1, count))
+    return [np.flatnonzero(group == k) for k in range(count)]
+
+
 def _in_several(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Which rows have a key that rows of another document have too."""
     if not len(keys):
@@ -230,14 +238,16 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         here = owner[first]
         chosen = _in_several(hashed[anchor[first]], docs[here])
         gone = np.zeros(len(anchor), bool)
-        if chosen.any():
-            a, sizes = first[chosen], last[chosen] - first[chosen] + length
-            places = spans(a, sizes)
-            marked = places[repeated_windows(data[places], sizes, docs[here[chosen]], length)]
-            gone[marked] = True
-            if len(marked):
-                home = owner[marked]
-                yield _mark_rows(docs[home], tags[home], marked - bounds[:-1][home], 0, length)
+        some = np.flatnonzero(chosen)
+        for group in _groups(hashed[anchor[first[some]]], last[some] - first[some] + length):
+            own = some[group]
+            sizes = last[own] - first[own] + length
+            places = spans(first[own], sizes)
+            gone[places[repeated_windows(data[places], sizes, docs[here[own]], length)]] = True
+        marked = np.flatnonzero(gone)
+        if len(marked):
+            home = owner[marked]
+            yield _mark_rows(docs[home], tags[home], marked - bounds[:-1][home], 0, length)
         first, last = _segments(inside & ~gone, anchor)
         if not len(first):
             return
@@ -299,12 +309,14 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             if own.any():
                 lengths = heads[k][4].astype(np.int64)
                 data.append(_unpack(blob, _KINDS, [5])[0][spans((np.cumsum(lengths) - lengths)[own], lengths[own])])
-        docs, tags, firsts, sizes = docs[chosen], tags[chosen], firsts[chosen], sizes[chosen].astype(np.int64)
-        marked = np.flatnonzero(repeated_windows(np.concatenate(data), sizes, docs, length))
-        if len(marked):
-            ends = np.cumsum(sizes)
-            home = np.searchsorted(ends, marked, side="right")
-            yield _mark_rows(docs[home], tags[home], firsts[home] + marked - (ends - sizes)[home], 0, length)
+        keys, docs, tags, firsts, sizes = keys[chosen], docs[chosen], tags[chosen], firsts[chosen], sizes[chosen].astype(np.int64)
+        data, starts = np.concatenate(data), np.cumsum(sizes) - sizes
+        for own in _groups(keys, sizes):
+            places = spans(starts[own], sizes[own])
+            marked = places[repeated_windows(data[places], sizes[own], docs[own], length)]
+            if len(marked):
+                home = np.searchsorted(starts, marked, side="right") - 1
+                yield _mark_rows(docs[home], tags[home], firsts[home] + marked - starts[home], 0, length)
 
     sent = rows.select("doc", "tag", "text").mapInArrow(by_blocks, "bucket int, doc long, tag long, blob binary")
     met = sent.repartitionById(int(buckets), F.col("bucket")).sortWithinPartitions("bucket")

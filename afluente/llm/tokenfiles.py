@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -43,47 +45,59 @@ class ByteEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.line_end = self._all(["\n"])[0]
+        # The signs that stand for bytes in the vocabulary: printable ones for themselves, others from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.signs = {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.space = self.signs[32]
+        self.blanks = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
         self.marks = {m: self._all([m])[0] for m in ".,"}
         self.table = ChunkIds(self._words)
 
-    def _all(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _lined(self, stems: list[str]) -> list[np.ndarray]:
-        """Ids of the stems, encoded as lines of one text, which is cheaper than many texts."""
-        out: list[np.ndarray] = []
-        mark = int(self.line_end[0])
-        for start in range(0, len(stems), 4096):
-            part = stems[start : start + 4096]
-            flat = self._all(["\n".join(s[1:] if s.startswith("\n") else " " + s for s in part)])[0]
-            cuts = np.flatnonzero(flat == mark)
-            if len(self.line_end) > 1 or len(cuts) != len(part) - 1:
-                out += self._all([s if s.startswith("\n") else " " + s for s in part])
-                continue
-            pieces = np.split(flat, cuts)
-            for k, (stem, ids) in enumerate(zip(part, pieces)):
-                own = ids[1:] if k else ids
-                out.append(np.concatenate([self.line_end, own]) if stem.startswith("\n") else own)
+    def _all(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _stems(self, stems: list[str]) -> list[list[int]]:
+        """Ids of the stems. Plain letters are one part of the pattern, so the library's model can take them at once."""
+        out: list[list[int]] = []
+        others: list[int] = []
+        tokenize, signs, space = self.library.model.tokenize, self.signs, self.space
+        for k, stem in enumerate(stems):
+            if stem.isalpha() and (stem.isascii() or max(stem) < "ɐ"):
+                seen = stem if stem.isascii() else stem.encode().decode("latin-1").translate(signs)
+                out.append([t.id for t in tokenize(space + seen)])
+            else:
+                others.append(k)
+                out.append([])
+        for k, ids in zip(others, self._all([stems[k] if stems[k][0] == "\n" else " " + stems[k] for k in others])):
+            out[k] = ids
         return out
 
-    def _words(self, words: list[str]) -> list[np.ndarray]:
+    def _words(self, words: list[str]) -> list[list[int]]:
         """Words follow a space, or their own line end. A last point or comma after a plain letter is a part of its own."""
-        stems = [w[:-1] if w[-1:] in self.marks and "A" <= w[-2:-1] < "ɐ" and w[-2].isalpha() else w for w in words]
+        marks = self.marks
+        stems = [w[:-1] if w[-1] in marks and "A" <= w[-2:-1] < "ɐ" and w[-2].isalpha() else w for w in words]
         index, table = self.table.index, self.table
         new = [s for s in dict.fromkeys(stems) if s not in index]
-        ids = dict(zip(new, self._lined(new)))
+        ids = dict(zip(new, self._stems(new)))
         out = []
         for word, stem in zip(words, stems):
             found = ids.get(stem)
             if found is None:
                 k = index[stem]
-                found = table.pool[table.starts[k] : table.starts[k] + table.lengths[k]]
-            out.append(found if word is stem else np.concatenate([found, self.marks[word[-1]]]))
+                found = table.pool[table.starts[k] : table.starts[k] + table.lengths[k]].tolist()
+            out.append(found if word is stem else found + marks[word[-1]])
         return out
 
+    def _as_one(self, text: str) -> bool:
+        """Whether the text has blanks other than single spaces and line ends between signs."""
+        if not text or text[0].isspace() or text[-1].isspace():
+            return True
+        return "  " in text or " \n" in text or "\n " in text or "\n\n" in text or self.blanks.search(text) is not None
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        whole = [not t or any(not w or w[-1].isspace() or w[w[0] == "\n"].isspace() for w in p) for t, p in zip(texts, parts)]
+        whole = [self._as_one(t) for t in texts]
         words = [w for p, as_one in zip(parts, whole) if not as_one for w in p]
         numbers = self.table.numbers(words)
         flat = self.table.ids(numbers)
@@ -92,7 +106,7 @@ class ByteEncoder:
         out, at = [], 0
         for p, as_one in zip(parts, whole):
             if as_one:
-                out.append(next(others))
+                out.append(np.array(next(others), np.int32))
             else:
                 out.append(flat[ends[at] + len(self.line_end) : ends[at + len(p)]])
                 at += len(p)
@@ -105,8 +119,10 @@ def train_dictionary(documents: DataFrame, tokenizer: str, width: int, sample: i
     It bears on the size of the files alone, never on what they hold. Tables too small to train on use the sampled ids
     themselves.
     """
-    texts = texts_of(documents).select(F.xxhash64("doc_id", "text").alias("place"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rows = texts.orderBy("place").limit(sample).select("text").collect()
+    texts = texts_of(documents)
+    ids = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).dropna().distinct().collect()
+    few = F.broadcast(documents.sparkSession.createDataFrame([tuple(i) for i in ids], "doc_id long"))  # sample rows at most
+    rows = texts.join(few, "doc_id").select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(sample).collect()
     kind = np.dtype(f"<u{width}")
     samples = [ids.astype(kind).tobytes() for ids in ByteEncoder(tokenizer).encode([r["text"] for r in rows])]
     samples = [s for s in samples if s]
@@ -152,6 +168,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, end_id: int | None,
     ending = np.array([] if end_id is None else [end_id], np.int32)
 
     def compress(batches):
+        gc.collect()  # what the task before has left in this worker
         encoder = None
         for batch in slices(batches, limit=2 << 20):
             encoder = encoder or ByteEncoder(tokenizer)
@@ -163,7 +180,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, end_id: int | None,
 
     rows = texts_of(documents)
     bounds = id_bounds(rows.select("doc_id"), partitions_of(spark))
-    ordered = in_id_order(rows.mapInArrow(compress, "doc_id long, n_ids long, frame binary"), bounds=bounds)
+    ordered = in_id_order(rows, bounds, made=compress, schema="doc_id long, n_ids long, frame binary")
 
     def write(batches):
         store, place = _store(folder)

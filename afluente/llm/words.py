@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -14,10 +14,11 @@ class ChunkIds:
     """Ids of chunks by their text; ``encode`` gives them for a list of new chunks.
 
     The table is emptied when it holds more than ``limit`` chunks, which bounds its memory and changes no result.
+    With ``decimal`` it also keeps every chunk's ids as text.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], limit: int = 400_000) -> None:
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray] | list[list[int]]], limit: int = 400_000, decimal: bool = False) -> None:
+        self.encode, self.limit, self.decimal = encode, limit, decimal
         self.clear()
 
     def clear(self) -> None:
@@ -35,12 +36,15 @@ class ChunkIds:
         self.pool = _room(self.pool, self.used + total)
         self.starts, self.lengths = _room(self.starts, first + len(chunks)), _room(self.lengths, first + len(chunks))
         if total:
-            self.pool[self.used : self.used + total] = np.concatenate(encoded)
+            lists = isinstance(encoded[0], list)
+            flat = np.fromiter(chain.from_iterable(encoded), np.int32, total) if lists else np.concatenate(encoded)
+            self.pool[self.used : self.used + total] = flat
         self.starts[first : first + len(chunks)] = self.used + np.cumsum(sizes) - sizes
         self.lengths[first : first + len(chunks)] = sizes
         self.used += total
         self.index.update(zip(chunks, range(first, first + len(chunks))))
-        self.texts.extend(",".join(map(str, ids.tolist())) for ids in encoded)
+        if self.decimal:
+            self.texts.extend(",".join(map(str, ids.tolist())) for ids in encoded)
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """The number of every chunk in the table, unknown chunks added first."""
