@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from afluente import constants as C
 
 # The text forms accepted for each type.
+INTEGER_TEXT = r"^[+-]?[0-9]+\z"
 FLOAT_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 BOOLEAN_TEXT = r"^(?i:true|false)\z"
 DATE_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
@@ -29,12 +30,8 @@ def _guarded(value: Column, pattern: str, target: str) -> Column:
 
 
 def text_to_integer(value: Column) -> Column:
-    """Digits with an optional sign. The conversion itself is as strict, but for blanks around the number."""
-
-    def inked(character: Column) -> Column:
-        return (character > 32) & (character != 127)
-
-    return F.when(inked(F.ascii(value)) & inked(F.ascii(F.right(value, F.lit(1)))), value.try_cast("bigint"))
+    """Digits with an optional sign. A failing conversion is dear, so the form is tested first."""
+    return _guarded(value, INTEGER_TEXT, "bigint")
 
 
 def text_to_float(value: Column) -> Column:
@@ -65,6 +62,20 @@ def text_to_datetime(value: Column) -> Column:
     return _day(value, DATETIME_TEXT, "timestamp_ntz")
 
 
+def fraction_to_text(value: Column) -> Column:
+    """A floating number in plain decimal form where Spark would write an exponent, with one decimal at least."""
+    size = F.abs(value)
+
+    def plain(kind: str) -> Column:
+        return F.regexp_replace(value.cast(kind).cast("string"), r"(\.[0-9]+?)0*\z", "$1")
+
+    return (
+        F.when((size >= 1e7) & (size < 1e27), plain("decimal(38,10)"))
+        .when((size < 1e-3) & (size >= 1e-15), plain("decimal(38,36)"))
+        .otherwise(value.cast("string"))
+    )
+
+
 def lenient_cast(value: Column, source: T.DataType, target: T.DataType) -> Column:
     """``value`` of type ``source`` as ``target``; null where it does not fit."""
     if source == target:
@@ -83,7 +94,7 @@ def lenient_cast(value: Column, source: T.DataType, target: T.DataType) -> Colum
         if isinstance(target, T.BooleanType):
             return text_to_boolean(value)
     if isinstance(target, T.StringType):
-        return value.cast(target)
+        return fraction_to_text(value) if isinstance(source, (T.DoubleType, T.FloatType)) else value.cast(target)
     return value.try_cast(target)
 
 

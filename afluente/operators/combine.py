@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -140,13 +142,14 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 def removed_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Every row that ``keep_first`` drops.
 
-    Rows meet their survivor on the unique ``order``, never on the key, so the
-    copies of one key spread over all tasks.
+    Rows meet their survivor on ``order``, never on the key, so the copies of
+    one key spread over all tasks. ``order`` must be unique over the rows; a
+    null in it is a value like any other.
     """
     kept = keep_first(df.select(*[named(c) for c in dict.fromkeys([*keys, *order])]), keys, order)
-    return df.join(kept.select(*[named(o) for o in order]), list(order), "left_anti").select(
-        *[named(c) for c in df.columns]
-    )
+    kept = kept.select(*[named(o).alias(f"__kept_{i}") for i, o in enumerate(order)])
+    same = reduce(and_, [named(o).eqNullSafe(kept[f"__kept_{i}"]) for i, o in enumerate(order)])
+    return df.join(kept, same, "left_anti")
 
 
 def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -118,11 +118,13 @@ def group_headers(fingerprints: DataFrame) -> DataFrame:
     name found in every file never gathers in one place.
     """
     kind = type_class(F.col("type"))
+    # A name of which nothing is left, as one in another script, stands for itself.
+    name = F.when(F.col("normalized") == "", F.lower("column")).otherwise(F.col("normalized"))
     return fingerprints.select(
-        F.concat_ws(":", "normalized", kind).alias("group_id"),
+        F.concat_ws(":", name, kind).alias("group_id"),
         F.lit(0).alias("tier"),
         F.array().cast("array<int>").alias("lead"),
-        "normalized",
+        name.alias("normalized"),
         kind.alias("type_class"),
         "column",
         "path",

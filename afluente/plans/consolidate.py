@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from afluente import constants as C
 from afluente.functions.casts import SPARK_TYPES, lenient_cast, typed_text
@@ -130,7 +131,7 @@ def consolidate(
         "__origin",
         *ROW_ORDER,
     )
-    types = {c.name: SPARK_TYPES[c.type] for c in projection.columns}
+    types = {c.name: SPARK_TYPES.get(c.type, StringType()) for c in projection.columns}
     compiled = compile_filter(filters, types, {n: F.col(f) for n, f in flags.items()})
     if compiled.predicate is not None:
         rows = rows.where(compiled.predicate)

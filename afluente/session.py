@@ -12,6 +12,7 @@ BROADCAST_LIMIT_BYTES = 256 << 20
 
 _SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
 _OPEN_COST = "spark.sql.files.openCostInBytes"
+_MOST_PARTITIONS = "spark.sql.files.maxPartitionNum"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,11 +60,13 @@ def one_block_per_task(spark: SparkSession, bytes_per_block: int) -> SparkSessio
     """A session whose file scans put exactly one block into each task.
 
     With the opening cost equal to the split size, Spark never packs two
-    blocks together and never shrinks blocks to fit the number of cores. Block
+    blocks together and never shrinks blocks to fit the number of cores. A
+    limit on the number of partitions would pack them again, so it is lifted. Block
     boundaries then depend on the file alone, so (block, row in task) is the
     same in every run and after every retry.
     """
-    return session_like(spark, {_SPLIT_BYTES: str(bytes_per_block), _OPEN_COST: str(bytes_per_block)})
+    size = str(bytes_per_block)
+    return session_like(spark, {_SPLIT_BYTES: size, _OPEN_COST: size, _MOST_PARTITIONS: str(2**31 - 1)})
 
 
 def case_keeping(spark: SparkSession) -> SparkSession:
