@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from afluente import Aggregation, DuplicateRule, FilterRule, SummaryRule, consolidate_tables, write_outputs
 from afluente import constants as C
+from afluente.functions.casts import fraction_to_text
 from afluente.functions.text import normalize_name
 from afluente.functions.types import common_type
 from afluente.operators.combine import (
@@ -340,3 +341,16 @@ def test_merging_takes_two_groups(spark):
 def test_mapping_rows_keep_their_order(spark):
     found = mapping_from_rows(spark, [("c", "p", None, "x", C.TYPE_TEXT, True), ("d", "p", None, "x", C.TYPE_DATE, True)])
     assert [r["entry"] for r in found.orderBy("entry").collect()] == [0, 1]
+
+
+def test_null_in_the_order_is_a_value_like_any_other(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (1, 2, "y"), (1, 3, "z")], "k int, o int, v string")
+    assert [r.v for r in keep_first(rows, ["k"], ["o"]).collect()] == ["x"]
+    assert sorted(r.v for r in removed_duplicates(rows, ["k"], ["o"]).collect()) == ["y", "z"]
+
+
+def test_fractions_become_plain_text(spark):
+    values = [12345678.5, 1e7, 0.00012, 1.5, -2e8, None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    found = [r[0] for r in rows.select(fraction_to_text(F.col("v"))).collect()]
+    assert found == ["12345678.5", "10000000.0", "0.00012", "1.5", "-200000000.0", None]
