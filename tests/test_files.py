@@ -326,3 +326,12 @@ def test_head_of_a_big_file(spark, folder_of):
     place = folder_of({"big.csv": "id;nome\n" + "".join(f"{i};x\n" for i in range(50_000))})
     layout = read_layout(open_folder(spark, place), small_file_bytes=1000).first()
     assert (layout["names"], len(layout["rows"]), layout["status"]) == (["id", "nome"], 20, "ok")
+
+
+@pytest.mark.parametrize("most", ["1", "3"])
+def test_no_file_is_lost_to_packing(spark, folder_of, most):
+    place = folder_of({f"f{k}.csv": "A;B\n" + "".join(f"{k};{n}\n" for n in range(5)) for k in range(6)})
+    packed = spark.newSession()
+    packed.conf.set("spark.sql.files.maxPartitionNum", most)
+    found = consolidate(open_folder(packed, place, ";"), small_file_bytes=0).consolidated
+    assert sorted((r["A"], r["B"]) for r in found.collect()) == sorted((str(k), str(n)) for k in range(6) for n in range(5))
