@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from afluente.llm.common import slices, small_batches, spans, text_bytes
+from afluente.session import session_like, shared_folder, written
 
 LENGTH = 50
-GRAM = 12  # bytes of the anchor that decides where a string is compared
+GRAM = 20  # bytes of the anchor that decides where a string is compared, a multiple of four
 BLOCK_BYTES = 3 << 20  # text bytes of a map-side block
-BUCKET_BYTES = 6 << 20  # segment bytes that a bucket should have
+BUCKET_BYTES = 12 << 20  # bytes of anchor hashes or of segments that a bucket should have
 GROUP_BYTES = 2 << 20  # segment bytes that are sorted at once; about 120 times as much memory is used
-SPREAD = 3.5  # segment bytes per text byte: each window of a segment brings LENGTH - 1 bytes beyond it
+ANCHORS = 0.07  # anchors per text byte, about 2 / (LENGTH - GRAM + 2)
+SEGMENT = 64  # bytes of a segment: its windows begin at about 15 places, the last brings LENGTH - 1 bytes more
+BLOB_ROWS = 32  # rows of an Arrow batch where a row may hold a whole block
 WIDE = 512  # intervals above this are extended symbol by symbol, others element by element
 NOBODY = -(2**63)
 
@@ -135,7 +139,10 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     one = data.astype(np.uint64)
     two = one[:-1] * np.uint64(257) + one[1:]
     four = two[:-2] * np.uint64(66_067) + two[2:]
-    hashed = (four[:n] * np.uint64(0x100000001B3) + four[4 : 4 + n]) * np.uint64(0x100000001B3) + four[8 : 8 + n]
+    hashed = four[:n].copy()
+    for k in range(4, GRAM, 4):
+        hashed *= np.uint64(0x100000001B3)
+        hashed += four[k : k + n]
     hashed = (hashed ^ hashed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
     hashed ^= hashed >> np.uint64(32)
     low = (hashed >> np.uint64(33)).astype(np.int64) << 32 | np.arange(n)
@@ -216,23 +223,140 @@ def _mark_rows(docs: np.ndarray, tags: np.ndarray, places: np.ndarray, bucket: i
     return _rows([bucket] * len(heads), docs[heads].tolist(), tags[heads].tolist(), blobs)
 
 
+_BLOCK_KINDS = ["<i8", "<i8", "<i8", "u1"]  # documents, tags, bounds, all bytes
+
+
+def _batch(**columns: tuple[list, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in columns.values()], list(columns))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``block`` (a name) and ``blob``: documents joined to blocks of about BLOCK_BYTES, saved so that names hold.
+
+    A row may be as large as a block, so the table is read in a session of few rows to an Arrow batch.
+    """
+    spark = rows.sparkSession
+
+    def join(batches):
+        gc.collect()
+        held, size = [], 0
+        for batch in slices(batches, limit=BLOCK_BYTES):
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size >= BLOCK_BYTES:
+                yield joined(held)
+                held, size = [], 0
+        if held:
+            yield joined(held)
+
+    def joined(held):
+        data, bounds = text_bytes(pa.concat_arrays([b.column("text").cast(pa.large_string()) for b in held]))
+        docs, tags = (np.concatenate([b.column(c).to_numpy() for b in held]).astype("<i8") for c in ("doc", "tag"))
+        return _batch(block=([uuid.uuid4().hex], pa.string()), blob=([_pack(docs, tags, bounds, data)], pa.binary()))
+
+    path = shared_folder(spark)
+    rows.select("doc", "tag", "text").mapInArrow(join, "block string, blob binary").write.parquet(path)
+    lean = session_like(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BLOB_ROWS)})
+    return lean.read.schema("block string, blob binary").parquet(path)
+
+
+def _cut(bounds: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Anchors and hashes of a block, the document each window starts in, and whether the window ends in it too."""
+    anchor, hashed = anchors(data, length)
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(anchor)]
+    return anchor, hashed, owner, np.arange(len(anchor)) + length <= bounds[1:][owner]
+
+
+def _by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """The buckets that keys belong to, and where in ``keys`` those of each are."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    heads = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    return [(int(bucket[order[a]]), order[a:b]) for a, b in zip(heads, np.append(heads[1:], len(order)))]
+
+
+def _shared_anchors(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
+    """``block`` and ``keys``: the hashes of its anchors that another block has too, in pieces. A block names each
+    of its hashes once, however often it has it, and only hashes travel."""
+
+    def listed(batches):
+        gc.collect()
+        for batch in batches:
+            for name, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist()):
+                bounds, data = _unpack(blob, _BLOCK_KINDS, [2, 3])
+                anchor, hashed, _, inside = _cut(bounds, data, length)
+                keys = np.unique(hashed[anchor[_segments(inside, anchor)[0]]]) if len(anchor) else np.zeros(0, np.uint64)
+                parts = _by_bucket(keys, buckets)
+                yield _batch(
+                    bucket=([k for k, _ in parts], pa.int32()),
+                    block=([name] * len(parts), pa.string()),
+                    keys=([keys[own].tobytes() for _, own in parts], pa.binary()),
+                )
+
+    def matched(batches):
+        gc.collect()
+        current, held = None, []
+        for batch in batches:
+            for bucket, block, keys in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "keys"))):
+                if bucket != current:
+                    yield from found(held)
+                    current, held = bucket, []
+                held.append((block, np.frombuffer(keys, "<u8")))
+        yield from found(held)
+
+    def found(held):
+        if len(held) < 2:
+            return
+        ordered = np.sort(np.concatenate([keys for _, keys in held]))
+        twice = ordered[1:][ordered[1:] == ordered[:-1]]
+        if not len(twice):
+            return
+        for block, keys in held:
+            both = keys[_among(keys, twice)]
+            if len(both):
+                yield _batch(block=([block], pa.string()), keys=([both.tobytes()], pa.binary()))
+
+    sent = blocks.mapInArrow(listed, "bucket int, block string, keys binary")
+    met = sent.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    return met.mapInArrow(matched, "block string, keys binary")
+
+
+def _among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted ones."""
+    if not len(ordered):
+        return np.zeros(len(keys), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)] == keys
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc``, ``tag`` and ``runs`` (pairs of first byte and end) of what repeats, in pieces, for the rows of
     ``_tagged``.
 
-    1. Blocks of documents: within a block the transform finds strings that an earlier document of the block has.
-    2. The other windows, cut where their anchor changes, go to the bucket of the anchor's hash; equal strings meet
-       there. Each block sends a string once, so a passage that a third of all documents share arrives once per block.
-    3. In a bucket, anchors of a single document are left out and the transform finds the rest.
+    1. Documents are joined to blocks, which are saved. Every window of ``length`` bytes has an anchor that depends on
+       its bytes alone, so strings can only be equal where anchors are. Blocks exchange the hashes of their anchors
+       and learn which of them another block has too.
+    2. Within a block the transform finds strings that an earlier document of the block has.
+    3. The other windows whose anchor another block has, cut where the anchor changes, go to the bucket of its hash;
+       equal strings meet there. Each block sends a string once, so a passage that a third of all documents share
+       arrives once per block. In a bucket the transform finds the rest.
     """
-    spark = rows.sparkSession
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4, -(-int(total * SPREAD) // BUCKET_BYTES))
+    blocks = _blocks(rows)
+    listing = max(4, -(-int(total * ANCHORS * 8) // BUCKET_BYTES))
+    shared = written(_shared_anchors(blocks, listing, length))
+    sent_bytes = (shared.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8 * SEGMENT
+    buckets = max(8, -(-sent_bytes // BUCKET_BYTES))
+
+    def by_blocks(batches):
+        gc.collect()
+        for batch in batches:
+            for blob, keys in zip(batch.column("blob").to_pylist(), batch.column("keys").to_pylist()):
+                docs, tags, bounds, data = _unpack(blob, _BLOCK_KINDS, range(4))
+                elsewhere = np.sort(np.frombuffer(b"".join(keys or ()), "<u8"))
+                yield from block(data, bounds, docs, tags, elsewhere)
 
-    def block(data, bounds, docs, tags):
-        anchor, hashed = anchors(data, length)
-        owner = np.repeat(np.arange(len(docs)), np.diff(bounds))[: len(anchor)]
-        inside = np.arange(len(anchor)) + length <= bounds[1:][owner]
+    def block(data, bounds, docs, tags, elsewhere):
+        anchor, hashed, owner, inside = _cut(bounds, data, length)
         first, last = _segments(inside, anchor)
         # A segment never spans two documents: no window inside a document reaches the next one.
         here = owner[first]
@@ -243,43 +367,25 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             own = some[group]
             sizes = last[own] - first[own] + length
             places = spans(first[own], sizes)
-            gone[places[repeated_windows(data[places], sizes, docs[here[own]], length)]] = True
+            found = repeated_windows(data[places], sizes, docs[here[own]], length)
+            gone[places[found]] = True
         marked = np.flatnonzero(gone)
         if len(marked):
             home = owner[marked]
             yield _mark_rows(docs[home], tags[home], marked - bounds[:-1][home], 0, length)
         first, last = _segments(inside & ~gone, anchor)
+        away = _among(hashed[anchor[first]], elsewhere)
+        first, last = first[away], last[away]
         if not len(first):
             return
         keys, here, sizes = hashed[anchor[first]], owner[first], last - first + length
-        bucket = (keys % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        heads = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         numbers, blobs = [], []
-        for a, b in zip(heads, np.append(heads[1:], len(order))):
-            own = order[a:b]
+        for bucket, own in _by_bucket(keys, buckets):
             there = bounds[:-1][here[own]]
             blobs.append(_pack(keys[own], docs[here[own]], tags[here[own]], (first[own] - there).astype(np.int64), sizes[own].astype(np.int32), data[spans(first[own], sizes[own])]))
-            numbers.append(int(bucket[own[0]]))
+            numbers.append(bucket)
         yield _rows(numbers, [None] * len(blobs), [None] * len(blobs), blobs)
 
-    def by_blocks(batches):
-        gc.collect()
-        held, size = [], 0
-        for batch in slices(batches, limit=BLOCK_BYTES):
-            held.append(batch)
-            size += batch.column("text").nbytes
-            if size >= BLOCK_BYTES:
-                yield from joined(held)
-                held, size = [], 0
-        if held:
-            yield from joined(held)
-
-    def joined(held):
-        texts = pa.concat_arrays([b.column("text").cast(pa.large_string()) for b in held])
-        docs, tags = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("doc", "tag"))
-        yield from block(*text_bytes(texts), docs, tags)
-
     def by_bucket(batches):
         gc.collect()
         current, blobs = None, []
@@ -318,9 +424,12 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 home = np.searchsorted(starts, marked, side="right") - 1
                 yield _mark_rows(docs[home], tags[home], firsts[home] + marked - starts[home], 0, length)
 
-    sent = rows.select("doc", "tag", "text").mapInArrow(by_blocks, "bucket int, doc long, tag long, blob binary")
-    met = sent.repartitionById(int(buckets), F.col("bucket")).sortWithinPartitions("bucket")
-    return met.mapInArrow(by_bucket, "bucket int, doc long, tag long, blob binary").select("doc", "tag", F.col("blob").alias("runs"))
+    pieces = max(4, -(-int(total) // (4 * BLOCK_BYTES)))  # some blocks to a task, whatever the cluster's settings
+    known = blocks.repartition(pieces, "block").join(shared.groupBy("block").agg(F.collect_list("keys").alias("keys")), "block", "left")
+    sent = known.select("blob", "keys").mapInArrow(by_blocks, "bucket int, doc long, tag long, blob binary")
+    met = sent.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    found = met.mapInArrow(by_bucket, "bucket int, doc long, tag long, blob binary")
+    return written(found.select("doc", "tag", F.col("blob").alias("runs")))
 
 
 def _tagged(documents: DataFrame) -> DataFrame:
