@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,6 +22,12 @@ def texts_of(documents: DataFrame) -> DataFrame:
     return documents.select(id_column.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+def fresh_worker() -> None:
+    """Give back what the task before has left in this Python worker."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep batches to Python small where the session still has the default of 10,000 rows."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 import struct
@@ -17,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from afluente.llm.common import id_bounds, in_id_order, partitions_of, slices, small_batches, texts_of
+from afluente.llm.common import fresh_worker, id_bounds, in_id_order, partitions_of, slices, small_batches, texts_of
 from afluente.llm.words import ChunkIds
 from afluente.session import shared_folder, written
 
@@ -168,7 +167,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, end_id: int | None,
     ending = np.array([] if end_id is None else [end_id], np.int32)
 
     def compress(batches):
-        gc.collect()  # what the task before has left in this worker
+        fresh_worker()
         encoder = None
         for batch in slices(batches, limit=2 << 20):
             encoder = encoder or ByteEncoder(tokenizer)
@@ -183,6 +182,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, end_id: int | None,
     ordered = in_id_order(rows, bounds, made=compress, schema="doc_id long, n_ids long, frame binary")
 
     def write(batches):
+        fresh_worker()
         store, place = _store(folder)
         number, held = 0, _File(label, width)
         for batch in batches:
@@ -249,6 +249,7 @@ def _read(files: TokenFiles, column: str, value, kind: pa.DataType) -> DataFrame
         return files.spark.createDataFrame([], f"doc_id long, start long, n_tokens long, {column}")
 
     def run(batches):
+        fresh_worker()
         expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
