@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 import numpy as np
@@ -11,14 +10,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from afluente.llm.common import slices, small_batches, spans, text_bytes
+from afluente.llm.common import fresh_worker, slices, small_batches, spans, text_bytes
 from afluente.session import session_like, shared_folder, written
 
 LENGTH = 50
 GRAM = 20  # bytes of the anchor that decides where a string is compared, a multiple of four
 BLOCK_BYTES = 3 << 20  # text bytes of a map-side block
-BUCKET_BYTES = 12 << 20  # bytes of anchor hashes or of segments that a bucket should have
-GROUP_BYTES = 2 << 20  # segment bytes that are sorted at once; about 120 times as much memory is used
+BUCKET_BYTES = 8 << 20  # bytes of anchor hashes or of segments that a bucket should have
+GROUP_BYTES = 1 << 20  # segment bytes that are sorted at once; about 120 times as much memory is used
 ANCHORS = 0.07  # anchors per text byte, about 2 / (LENGTH - GRAM + 2)
 SEGMENT = 64  # bytes of a segment: its windows begin at about 15 places, the last brings LENGTH - 1 bytes more
 BLOB_ROWS = 32  # rows of an Arrow batch where a row may hold a whole block
@@ -174,6 +173,45 @@ def _groups(keys: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return [np.flatnonzero(group == k) for k in range(count)]
 
 
+def _equal_segments(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For every segment a number that segments of the same bytes share."""
+    within = spans(np.zeros(len(sizes), np.int64), sizes)
+    weights = np.arange(1, int(sizes.max()) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    weights = (weights ^ weights >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
+    places, heads = spans(starts, sizes), np.cumsum(sizes) - sizes
+    digest = np.add.reduceat((data[places].astype(np.uint64) + np.uint64(1)) * weights[within], heads)
+    order = np.lexsort((digest, sizes))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (digest[order][1:] != digest[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
+    leader = np.empty(len(order), np.int64)
+    leader[order] = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+    # Equal digests are no proof: a segment that differs from its leader stays on its own.
+    same = np.logical_and.reduceat(data[places] == data[np.repeat(starts[leader], sizes) + within], heads)
+    return np.where(same, leader, np.arange(len(order)))
+
+
+def _marks(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """Places in ``data`` of the windows of the segments that ``repeated_windows`` finds.
+
+    Of segments of the same bytes, one of the smallest document and one of the next go to the transform. Any further
+    one has the windows of these two, and so what is found for the one of its rank holds for it.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    kind = _equal_segments(data, starts, sizes)
+    order = np.lexsort((docs, kind))
+    new_kind = np.diff(kind[order], prepend=-1) != 0
+    least = docs[order][np.flatnonzero(new_kind)[np.cumsum(new_kind) - 1]]
+    later = docs[order] != least
+    chosen = new_kind | np.concatenate([[False], later[1:] & ~later[:-1]]) & ~new_kind
+    sample = np.empty(len(order), np.int64)  # which chosen segment stands for this one
+    sample[order] = np.cumsum(chosen) - 1
+    few = order[chosen]
+    found = repeated_windows(data[spans(starts[few], sizes[few])], sizes[few], docs[few], length)
+    heads = np.cumsum(sizes[few]) - sizes[few]
+    return spans(starts, sizes)[found[spans(heads[sample], sizes)]]
+
+
 def _in_several(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Which rows have a key that rows of another document have too."""
     if not len(keys):
@@ -238,7 +276,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
 
     def join(batches):
-        gc.collect()
+        fresh_worker()
         held, size = [], 0
         for batch in slices(batches, limit=BLOCK_BYTES):
             held.append(batch)
@@ -280,7 +318,7 @@ def _shared_anchors(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
     of its hashes once, however often it has it, and only hashes travel."""
 
     def listed(batches):
-        gc.collect()
+        fresh_worker()
         for batch in batches:
             for name, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist()):
                 bounds, data = _unpack(blob, _BLOCK_KINDS, [2, 3])
@@ -294,7 +332,7 @@ def _shared_anchors(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
                 )
 
     def matched(batches):
-        gc.collect()
+        fresh_worker()
         current, held = None, []
         for batch in batches:
             for bucket, block, keys in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "keys"))):
@@ -348,7 +386,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = max(8, -(-sent_bytes // BUCKET_BYTES))
 
     def by_blocks(batches):
-        gc.collect()
+        fresh_worker()
         for batch in batches:
             for blob, keys in zip(batch.column("blob").to_pylist(), batch.column("keys").to_pylist()):
                 docs, tags, bounds, data = _unpack(blob, _BLOCK_KINDS, range(4))
@@ -365,10 +403,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         some = np.flatnonzero(chosen)
         for group in _groups(hashed[anchor[first[some]]], last[some] - first[some] + length):
             own = some[group]
-            sizes = last[own] - first[own] + length
-            places = spans(first[own], sizes)
-            found = repeated_windows(data[places], sizes, docs[here[own]], length)
-            gone[places[found]] = True
+            gone[_marks(data, first[own], last[own] - first[own] + length, docs[here[own]], length)] = True
         marked = np.flatnonzero(gone)
         if len(marked):
             home = owner[marked]
@@ -387,7 +422,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         yield _rows(numbers, [None] * len(blobs), [None] * len(blobs), blobs)
 
     def by_bucket(batches):
-        gc.collect()
+        fresh_worker()
         current, blobs = None, []
         for batch in batches:
             for bucket, doc, tag, blob in zip(*(batch.column(c).to_pylist() for c in _NAMES)):
@@ -418,8 +453,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         keys, docs, tags, firsts, sizes = keys[chosen], docs[chosen], tags[chosen], firsts[chosen], sizes[chosen].astype(np.int64)
         data, starts = np.concatenate(data), np.cumsum(sizes) - sizes
         for own in _groups(keys, sizes):
-            places = spans(starts[own], sizes[own])
-            marked = places[repeated_windows(data[places], sizes[own], docs[own], length)]
+            marked = _marks(data, starts[own], sizes[own], docs[own], length)
             if len(marked):
                 home = np.searchsorted(starts, marked, side="right") - 1
                 yield _mark_rows(docs[home], tags[home], firsts[home] + marked - starts[home], 0, length)
