@@ -251,14 +251,14 @@ def _rows(bucket: list, doc: list, tag: list, blob: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(blob, pa.binary())], _NAMES)
 
 
-def _mark_rows(docs: np.ndarray, tags: np.ndarray, places: np.ndarray, bucket: int, length: int) -> pa.RecordBatch:
-    """Repeated windows as one row of runs for each document."""
+def _mark_rows(docs: np.ndarray, tags: np.ndarray, places: np.ndarray, buckets: int, length: int) -> pa.RecordBatch:
+    """Repeated windows as one row of runs for each document, dealt out over the buckets by document."""
     order = np.lexsort((places, tags, docs))
     docs, tags, places = docs[order], tags[order], places[order]
     heads = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])])) if len(docs) else np.zeros(0, np.int64)
     ends = np.append(heads[1:], len(docs))
     blobs = [_runs(np.unique(places[a:b]), length).astype("<i8").tobytes() for a, b in zip(heads, ends)]
-    return _rows([bucket] * len(heads), docs[heads].tolist(), tags[heads].tolist(), blobs)
+    return _rows((docs[heads] % buckets).tolist(), docs[heads].tolist(), tags[heads].tolist(), blobs)
 
 
 _BLOCK_KINDS = ["<i8", "<i8", "<i8", "u1"]  # documents, tags, bounds, all bytes
@@ -407,7 +407,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         marked = np.flatnonzero(gone)
         if len(marked):
             home = owner[marked]
-            yield _mark_rows(docs[home], tags[home], marked - bounds[:-1][home], 0, length)
+            yield _mark_rows(docs[home], tags[home], marked - bounds[:-1][home], buckets, length)
         first, last = _segments(inside & ~gone, anchor)
         away = _among(hashed[anchor[first]], elsewhere)
         first, last = first[away], last[away]
@@ -456,7 +456,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             marked = _marks(data, starts[own], sizes[own], docs[own], length)
             if len(marked):
                 home = np.searchsorted(starts, marked, side="right") - 1
-                yield _mark_rows(docs[home], tags[home], firsts[home] + marked - starts[home], 0, length)
+                yield _mark_rows(docs[home], tags[home], firsts[home] + marked - starts[home], buckets, length)
 
     pieces = max(4, -(-int(total) // (4 * BLOCK_BYTES)))  # some blocks to a task, whatever the cluster's settings
     known = blocks.repartition(pieces, "block").join(shared.groupBy("block").agg(F.collect_list("keys").alias("keys")), "block", "left")
