@@ -35,9 +35,14 @@ ORIGIN = "Origem"
 SHEET_CONSOLIDATED = "Dados_Consolidados"
 SHEET_REMOVED = "Duplicatas_Removidas"
 SHEET_SUMMARY = "Tabela_Resumo"
+SHEET_ACCOUNTING = "Contagem_Linhas"
 UNNAMED_COLUMN = "column_"
 
+# Status of a source in the audit, besides those of its layout.
+HIDDEN_NAME = "hidden name: not read"
+
 # Limits.
+PREVIEW_ROWS = 50
 HEAD_ROWS = 20
 ROWS_PER_SHEET = 1_048_570
 MAX_DISPLAY_WIDTH = 60

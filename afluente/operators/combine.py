@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from afluente import constants as C
 from afluente.functions.casts import lenient_cast
+from afluente.functions.columns import free_name
 from afluente.functions.text import named
 from afluente.functions.types import common_type
 
@@ -136,7 +137,8 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     """
     _check_keys(df, keys)
     by_key = W.partitionBy(*[named(k) for k in keys]).orderBy(*[named(o) for o in order])
-    return df.withColumn("_place", F.row_number().over(by_key)).where("_place = 1").drop("_place")
+    place = free_name("_place", df.columns)
+    return df.withColumn(place, F.row_number().over(by_key)).where(F.col(place) == 1).drop(place)
 
 
 def removed_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

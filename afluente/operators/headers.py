@@ -113,12 +113,13 @@ def with_unique_names(df: DataFrame, names: Column, output: str = "names") -> Da
 
 def detect_layout(heads: DataFrame) -> DataFrame:
     """Header row, column names and status of each source."""
-    found = computed(heads, header_line=header_line(F.col("rows")))
+    found = computed(heads, header_line=header_line(F.slice("rows", 1, C.HEAD_ROWS)))
     header = F.coalesce(F.get("rows", F.col("header_line")), F.array().cast("array<string>"))
     found = with_unique_names(found, header_names(header))
     clash = F.size(F.array_distinct("names")) < F.size("names")
     status = (
-        F.when(F.col("error").isNotNull(), "error")
+        F.when(F.col("error") == C.HIDDEN_NAME, "skipped")
+        .when(F.col("error").isNotNull(), "error")
         .when(F.size("rows") < 2, "empty")
         .when(clash, "error")
         .otherwise("ok")

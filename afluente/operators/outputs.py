@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from afluente import constants as C
+from afluente.functions.casts import fraction_to_text
+from afluente.functions.columns import free_name
 from afluente.functions.text import named, strip_controls
 from afluente.session import written
 
@@ -57,21 +59,22 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     df.write.mode(mode).option("compression", "zstd").parquet(path)
 
 
-def _offsets(counts: DataFrame, part: str) -> DataFrame:
+def _offsets(counts: DataFrame, part: str, before: str, total: str) -> DataFrame:
     """Rows before each part and rows in all, from one (part, rows) line per part."""
     ordered = W.orderBy(part)
-    before = F.sum("rows").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("rows")
+    earlier = F.sum("rows").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("rows")
     everything = F.sum("rows").over(ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return counts.select(part, before.alias("_before"), everything.alias("_total"))
+    return counts.select(part, earlier.alias(before), everything.alias(total))
 
 
 def row_index(df: DataFrame, order: Sequence[str], index: str = "row_index", parts: int | None = None) -> DataFrame:
     """Dense 0-based position of every row under a total ``order``."""
-    return _numbered(df, order, parts).select(*[named(c) for c in df.columns], F.col("_index").alias(index))
+    numbered, position, _ = _numbered(df, order, parts)
+    return numbered.select(*[named(c) for c in df.columns], F.col(position).alias(index))
 
 
-def _numbered(df: DataFrame, order: Sequence[str], parts: int | None) -> DataFrame:
-    """``df`` with ``_index`` and ``_total``.
+def _numbered(df: DataFrame, order: Sequence[str], parts: int | None) -> tuple[DataFrame, str, str]:
+    """``df`` with the position of each row and the number of all, and the names of these two columns.
 
     Rows are cut into ranges, each range numbers its own rows, and the sizes of
     the ranges before it are added. Only those sizes, one per range, come
@@ -79,31 +82,32 @@ def _numbered(df: DataFrame, order: Sequence[str], parts: int | None) -> DataFra
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [named(o) for o in order]
+    part, spot, before, index, total = (free_name(n, df.columns) for n in ("_part", "_place", "_before", "_index", "_total"))
     if len(order) == 1 and isinstance(df.select(*keys).schema[0].dataType, _BUCKETED_TYPES):
-        ranged = _cut_at_quantiles(df, order[0], parts)
-        place = F.row_number().over(W.partitionBy("_part").orderBy(*keys)) - 1
+        ranged = _cut_at_quantiles(df, order[0], parts, part)
+        place = F.row_number().over(W.partitionBy(part).orderBy(*keys)) - 1
     else:
         # The ranges of a sort are sampled anew by each run, so they are saved before they are counted.
         ranged = written(
             df.repartitionByRange(parts, *keys)
             .sortWithinPartitions(*keys)
-            .withColumn("_part", F.spark_partition_id())
-            .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_TASK)))
+            .withColumn(part, F.spark_partition_id())
+            .withColumn(spot, F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_TASK)))
         )
-        place = F.col("_place")
-    offsets = _offsets(ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("rows")), "_part")
+        place = F.col(spot)
+    offsets = _offsets(ranged.groupBy(part).agg(F.count(F.lit(1)).alias("rows")), part, before, total)
     # one row per range, so never more than ``parts``
-    placed = ranged.withColumn("_place", place).join(F.broadcast(offsets), "_part")
-    return placed.withColumn("_index", F.col("_before") + F.col("_place"))
+    placed = ranged.withColumn(spot, place).join(F.broadcast(offsets), part)
+    return placed.withColumn(index, F.col(before) + F.col(spot)), index, total
 
 
-def _cut_at_quantiles(df: DataFrame, column: str, parts: int) -> DataFrame:
+def _cut_at_quantiles(df: DataFrame, column: str, parts: int, part: str) -> DataFrame:
     """Rows with the range they fall into; once found, the bounds are fixed values."""
     shares = [i / parts for i in range(1, parts)] or [0.5]
     found = df.agg(F.percentile_approx(named(column), shares, 100 * parts).alias("bounds")).first()["bounds"]
     bounds = sorted(set(found or []))
     if not bounds:
-        return df.withColumn("_part", F.lit(0))
+        return df.withColumn(part, F.lit(0))
     kind = df.schema[column].dataType
     # Two steps, a coarse one and a fine one, keep the comparisons per row near twice the square root.
     step = max(1, round(len(bounds) ** 0.5))
@@ -115,8 +119,8 @@ def _cut_at_quantiles(df: DataFrame, column: str, parts: int) -> DataFrame:
         return F.size(F.filter(values, lambda edge: edge < named(column)))
 
     coarse = (F.greatest(below(edges(bounds[::step])), F.lit(1)) - 1) * step
-    fine = below(F.slice(edges(bounds), F.col("_part") + 1, F.lit(step)))
-    return df.withColumn("_part", coarse).withColumn("_part", F.col("_part") + fine)
+    fine = below(F.slice(edges(bounds), F.col(part) + 1, F.lit(step)))
+    return df.withColumn(part, coarse).withColumn(part, F.col(part) + fine)
 
 
 def chunk_rows(
@@ -127,9 +131,9 @@ def chunk_rows(
     parts: int | None = None,
 ) -> DataFrame:
     """Rows with the sheet-sized block they belong to; a single block has no number in its name."""
-    numbered = _numbered(df, order, parts)
-    chunk = F.floor(F.col("_index") / F.lit(rows_per_chunk)) + 1
-    label = F.when(F.col("_total") <= rows_per_chunk, F.lit(name)).otherwise(
+    numbered, index, total = _numbered(df, order, parts)
+    chunk = F.floor(F.col(index) / F.lit(rows_per_chunk)) + 1
+    label = F.when(F.col(total) <= rows_per_chunk, F.lit(name)).otherwise(
         F.concat(F.lit(f"{name}_"), chunk.cast("string"))
     )
     return numbered.select(*[named(c) for c in df.columns], label.alias("chunk"))
@@ -138,8 +142,13 @@ def chunk_rows(
 def display_widths(df: DataFrame) -> DataFrame:
     """Width of each column on screen, as (column, width)."""
 
+    def text(name: str) -> Column:
+        if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+            return fraction_to_text(named(name))
+        return named(name).cast("string")
+
     def width(name: str) -> Column:
-        longest = F.coalesce(F.max(F.length(named(name).cast("string"))), F.lit(0))
+        longest = F.coalesce(F.max(F.length(text(name))), F.lit(0))
         wanted = F.greatest(F.lit(len(name)), longest, F.lit(1)) + F.lit(C.DISPLAY_PADDING)
         return F.struct(
             F.lit(name).alias("column"), F.least(wanted, F.lit(C.MAX_DISPLAY_WIDTH)).alias("width")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -37,7 +37,7 @@ from afluente.plans.layout import (
     read_layout,
     source_grid,
 )
-from afluente.session import BROADCAST_LIMIT_BYTES
+from afluente.session import BROADCAST_LIMIT_BYTES, removed_path, shared_folder
 from afluente.sources.delimited import SMALL_FILE_BYTES
 from afluente.sources.folder import Folder
 from afluente.sources.sheets import SheetRule
@@ -48,7 +48,12 @@ NO_SUMMARY = SummaryRule()
 
 @dataclass(frozen=True)
 class Outputs:
-    """Lazy results of a run; what is absent is None."""
+    """Lazy results of a run; what is absent is None.
+
+    ``accounting`` has one row per source with the rows read below its header, those with more cells
+    than the source has columns, those that the filters left, those removed as duplicates, and those
+    in the result. ``base`` holds the typed rows that everything else comes from.
+    """
 
     ordered: DataFrame
     order: tuple[str, ...]
@@ -58,6 +63,17 @@ class Outputs:
     summary_rule: SummaryRule
     audit: DataFrame | None = None
     ignored_rules: tuple[IgnoredRule, ...] = field(default=())
+    accounting: DataFrame | None = None
+    removed_ordered: DataFrame | None = None
+    base: DataFrame | None = None
+    rebuild: Callable[[DataFrame], Outputs] | None = None
+
+    def removed_chunks(self, rows_per_chunk: int = C.ROWS_PER_SHEET) -> DataFrame | None:
+        """The removed rows with the name of the sheet-sized block each belongs to."""
+        if self.removed is None:
+            return None
+        cut = chunk_rows(self.removed_ordered, self.order, rows_per_chunk, C.SHEET_REMOVED)
+        return cut.select(*[named(c) for c in [*self.removed.columns, "chunk"]])
 
     def chunks(self, rows_per_chunk: int = C.ROWS_PER_SHEET) -> DataFrame:
         """The consolidated rows with the name of the sheet-sized block each belongs to."""
@@ -65,31 +81,64 @@ class Outputs:
         return chunk_rows(self.ordered, self.order, rows_per_chunk).select(*[named(c) for c in visible])
 
 
+# Marks of a base row: whether the filters keep it, whether it has more cells than columns.
+_KEPT, _WIDE = "__kept", "__wide"
+
+
 def _finish(
-    rows: DataFrame,
+    base: DataFrame,
     order: Sequence[str],
     duplicates: DuplicateRule,
     summary: SummaryRule,
     audit: DataFrame | None,
     ignored: tuple[IgnoredRule, ...],
 ) -> Outputs:
-    """Remove duplicates and summarise what is left."""
+    """Filter, remove duplicates and summarise what is left."""
+    rows = base.where(F.col(_KEPT)).drop(_KEPT, _WIDE) if _KEPT in base.columns else base
     visible = [named(c) for c in rows.columns if c not in order]
     kept, removed = rows, None
     if duplicates.key_columns:
         kept = keep_first(rows, duplicates.key_columns, order)
         if duplicates.generate_report:
-            removed = removed_duplicates(rows, duplicates.key_columns, order).select(*visible)
+            removed = removed_duplicates(rows, duplicates.key_columns, order)
     consolidated = kept.select(*visible)
     return Outputs(
         ordered=kept,
         order=tuple(order),
         consolidated=consolidated,
-        removed=removed,
+        removed=None if removed is None else removed.select(*visible),
         summary=summary_table(consolidated, summary),
         summary_rule=summary,
         audit=audit,
         ignored_rules=ignored,
+        accounting=None if audit is None else _accounting(base, kept, audit),
+        removed_ordered=removed,
+        base=base,
+        rebuild=lambda saved: _finish(saved, order, duplicates, summary, audit, ignored),
+    )
+
+
+def _accounting(base: DataFrame, kept: DataFrame, audit: DataFrame) -> DataFrame:
+    """Rows of each source of the audit at each step; both counts are made before anything is shuffled."""
+    source = ["__path", "__sheet_no"]
+    read = base.groupBy(*source).agg(
+        F.count(F.lit(1)).alias("rows_read"),
+        F.count_if(F.col(_WIDE)).alias("rows_wide"),
+        F.count_if(F.col(_KEPT)).alias("rows_after_filter"),
+    )
+    left = kept.groupBy(*source).agg(F.count(F.lit(1)).alias("rows_left"))
+    counts = read.join(left, source, "left").withColumnsRenamed({"__path": "path", "__sheet_no": "sheet_no"})
+
+    def count(name: str) -> Column:
+        return F.coalesce(name, F.lit(0))
+
+    return audit.join(counts, ["path", "sheet_no"], "left").select(
+        *[named(c) for c in audit.columns],
+        count("rows_read").alias("rows_read"),
+        count("rows_wide").alias("rows_wide"),
+        count("rows_after_filter").alias("rows_after_filter"),
+        (count("rows_after_filter") - count("rows_left")).alias("rows_removed"),
+        count("rows_left").alias("rows_left"),
     )
 
 
@@ -124,18 +173,21 @@ def consolidate(
     present = present_columns(projection)
     flags = {c.name: f"__has_{i}" for i, c in enumerate(projection.columns)}
     order = [F.col(source).alias(name) for source, name in zip(("rank", "path", "sheet_no", "block", "line"), ROW_ORDER)]
-    rows = rows.select(*text, *[present[n].alias(f) for n, f in flags.items()], F.col("origin").alias("__origin"), *order)
+    wide = (F.size("cells") > F.col("width")).alias(_WIDE)
+    rows = rows.select(*text, *[present[n].alias(f) for n, f in flags.items()], F.col("origin").alias("__origin"), wide, *order)
     rows = rows.select(
         *[typed_text(named(c.name), c.type).alias(c.name) for c in projection.columns],
         *flags.values(),
         "__origin",
+        _WIDE,
         *ROW_ORDER,
     )
     types = {c.name: SPARK_TYPES.get(c.type, StringType()) for c in projection.columns}
     compiled = compile_filter(filters, types, {n: F.col(f) for n, f in flags.items()})
-    if compiled.predicate is not None:
-        rows = rows.where(compiled.predicate)
-    rows = rows.select(*[named(c.name) for c in kept_names], F.col("__origin").alias(origin), *ROW_ORDER)
+    passes = F.lit(True) if compiled.predicate is None else F.coalesce(compiled.predicate, F.lit(False))
+    rows = rows.select(
+        *[named(c.name) for c in kept_names], F.col("__origin").alias(origin), *ROW_ORDER, passes.alias(_KEPT), _WIDE
+    )
     return _finish(rows, ROW_ORDER, duplicates, summary, audit_sources(projection), compiled.ignored)
 
 
@@ -226,33 +278,44 @@ def _filter_for(frame: DataFrame, filters: Sequence[FilterRule]) -> CompiledFilt
 
 
 def write_outputs(
-    outputs: Outputs, path: str, kind: str = "parquet", which: Collection[str] = ("consolidated", "removed", "summary")
+    outputs: Outputs, path: str, kind: str = "parquet", which: Collection[str] = ("consolidated", "removed", "summary", "accounting")
 ) -> dict[str, str]:
     """Save the wanted tables below ``path`` as ``parquet``, ``csv`` or ``sheets``; returns where each one is.
 
-    ``sheets`` cuts the consolidated rows into sheet-sized folders and strips
-    what sheets cannot hold. A saved Parquet table also feeds the summary, so
-    the inputs are not read again for it.
+    ``sheets`` cuts the consolidated and the removed rows into sheet-sized folders and strips what
+    sheets cannot hold. The inputs are read once: their typed rows are saved in the shared folder,
+    feed every output, and are removed at the end.
     """
     if kind not in ("parquet", "csv", "sheets"):
         raise ValueError(f"unknown output kind: {kind}")
     if kind == "sheets" and outputs.summary is not None and outputs.summary_rule.only_summary:
         which = ("summary",)
-    names = {"consolidated": C.SHEET_CONSOLIDATED, "removed": C.SHEET_REMOVED, "summary": C.SHEET_SUMMARY}
-    places: dict[str, str] = {}
-    for part in [p for p in names if p in which]:
-        table = getattr(outputs, part)
-        if table is None:
-            continue
-        target = f"{path.rstrip('/')}/{names[part]}"
-        if kind == "sheets" and part == "consolidated":
-            sanitize_text(outputs.chunks()).write.partitionBy("chunk").option("compression", "zstd").parquet(target)
-        elif kind == "csv":
-            write_csv(table, target)
-        else:
-            if part == "summary" and kind == "parquet" and "consolidated" in places:
-                saved = table.sparkSession.read.parquet(places["consolidated"])
-                table = summary_table(saved, outputs.summary_rule)
-            write_parquet(sanitize_text(table) if kind == "sheets" else table, target)
-        places[part] = target
-    return places
+    wanted = [part for part in _RESULT_NAMES if part in which and getattr(outputs, part) is not None]
+    spark = outputs.base.sparkSession
+    saved = shared_folder(spark)
+    try:
+        outputs.base.write.parquet(saved)
+        outputs = outputs.rebuild(spark.read.schema(outputs.base.schema).parquet(saved))
+        return {part: _write_part(outputs, part, f"{path.rstrip('/')}/{_RESULT_NAMES[part]}", kind) for part in wanted}
+    finally:
+        removed_path(spark, saved)
+
+
+_RESULT_NAMES = {
+    "consolidated": C.SHEET_CONSOLIDATED,
+    "removed": C.SHEET_REMOVED,
+    "summary": C.SHEET_SUMMARY,
+    "accounting": C.SHEET_ACCOUNTING,
+}
+
+
+def _write_part(outputs: Outputs, part: str, target: str, kind: str) -> str:
+    table = getattr(outputs, part)
+    if kind == "sheets" and part in ("consolidated", "removed"):
+        cut = outputs.chunks() if part == "consolidated" else outputs.removed_chunks()
+        sanitize_text(cut).write.partitionBy("chunk").option("compression", "zstd").parquet(target)
+    elif kind == "csv":
+        write_csv(table, target)
+    else:
+        write_parquet(sanitize_text(table) if kind == "sheets" else table, target)
+    return target

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from afluente import constants as C
-from afluente.functions.text import blank_to_null
+from afluente.functions.text import blank_to_null, plain_path
 from afluente.operators.combine import origin_text
 from afluente.operators.headers import detect_layout
 from afluente.operators.mapping import final_columns, join_mapping
 from afluente.session import BROADCAST_LIMIT_BYTES, block_size, written
 from afluente.sources.delimited import SMALL_FILE_BYTES, delimited_grid, delimited_heads
-from afluente.sources.folder import Folder
+from afluente.sources.folder import Folder, extension_rank, file_name, passed_over
 from afluente.sources.sheets import SheetRule, apply_sheet_rule, reconcile_sheets
 from afluente.sources.workbooks import workbook_files, workbook_grid, workbook_heads
 
@@ -22,24 +23,56 @@ from afluente.sources.workbooks import workbook_files, workbook_grid, workbook_h
 ROW_ORDER = ("__rank", "__path", "__sheet_no", "__block", "__line")
 
 
-def source_heads(folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES) -> DataFrame:
-    """First rows of every file and sheet of the folder."""
+def source_heads(
+    folder: Folder,
+    sheets: SheetRule = SheetRule(),
+    small_file_bytes: int = SMALL_FILE_BYTES,
+    head_rows: int = C.HEAD_ROWS,
+) -> DataFrame:
+    """First rows of every file and wanted sheet of the folder; files that no reader opens have none."""
     books = workbook_files(folder)
-    found = [delimited_heads(folder, small_file_bytes), None if books is None else workbook_heads(books)]
+    found = [
+        delimited_heads(folder, small_file_bytes, head_rows),
+        None if books is None else workbook_heads(books, *_sheet_names(sheets), head_rows),
+        _unread_heads(folder),
+    ]
     return _all_of(folder, found)
 
 
+def _unread_heads(folder: Folder) -> DataFrame | None:
+    """Heads without rows for empty files and hidden names, so that the audit knows them."""
+    odd = passed_over(folder)
+    if not odd:
+        return None
+    path = plain_path(F.col("uri"))
+    name = file_name(path)
+    return folder.spark.createDataFrame(odd, "uri string, length bigint, error string").select(
+        "uri",
+        path.alias("path"),
+        name.alias("file"),
+        extension_rank(name).alias("rank"),
+        F.lit(None).cast("string").alias("sheet"),
+        F.lit(0).alias("sheet_no"),
+        "length",
+        F.array().cast("array<array<string>>").alias("rows"),
+        "error",
+    )
+
+
+def _sheet_names(sheets: SheetRule) -> tuple[frozenset[str] | None, frozenset[str]]:
+    """Names to include (None: all) and names to exclude."""
+    names = frozenset(sheets.names)
+    return (names if names and sheets.mode == "include" else None, names if sheets.mode == "exclude" else frozenset())
+
+
 def source_grid(
     folder: Folder, sheets: SheetRule, small_file_bytes: int = SMALL_FILE_BYTES, bytes_per_block: int | None = None
 ) -> DataFrame:
     """All rows of every file and wanted sheet of the folder."""
-    names = frozenset(sheets.names)
-    include = names if names and sheets.mode == "include" else None
-    exclude = names if sheets.mode == "exclude" else frozenset()
     books = workbook_files(folder)
     found = [
         delimited_grid(folder, small_file_bytes, bytes_per_block),
-        None if books is None else workbook_grid(books, include, exclude),
+        None if books is None else workbook_grid(books, *_sheet_names(sheets)),
     ]
     return _all_of(folder, found)
 
@@ -48,7 +81,7 @@ def _all_of(folder: Folder, found: list[DataFrame | None]) -> DataFrame:
     frames = [frame for frame in found if frame is not None]
     if not frames:
         raise FileNotFoundError(f"no supported file in {folder.location}")
-    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+    return reduce(DataFrame.unionByName, frames)
 
 
 def read_layout(
@@ -58,7 +91,7 @@ def read_layout(
     small_file_bytes: int = SMALL_FILE_BYTES,
 ) -> DataFrame:
     """Header row, column names, status and sample of each source, saved in the shared folder."""
-    heads = source_heads(folder, small_file_bytes)
+    heads = source_heads(folder, sheets, small_file_bytes)
     if choices is not None:
         heads = reconcile_sheets(heads, choices, sheets)
     else:
@@ -96,7 +129,7 @@ def project_layout(layout: DataFrame, mapping: DataFrame | None) -> Projection:
     )
     sources = written(
         layout.select(
-            "uri", "path", "sheet_no", "rank", "header_line", "length", "status", "error",
+            "uri", "path", "sheet_no", "rank", "header_line", "length", "status", "error", F.size("names").alias("width"),
             origin_text(F.col("file"), F.col("sheet")).alias("origin"),
         ).join(entries, ["path", "sheet_no"], "left")
     )
@@ -149,6 +182,7 @@ def _lookup(projection: Projection) -> DataFrame:
         "origin",
         "header_line",
         "length",
+        "width",
         *[
             position(column.name, copy).alias(position_name(i, copy))
             for i, column in enumerate(projection.columns)
@@ -194,6 +228,6 @@ def present_columns(projection: Projection) -> dict[str, Column]:
 
 
 def audit_sources(projection: Projection) -> DataFrame:
-    """What became of each source: processed, empty, unmatched or error."""
+    """What became of each source: processed, empty, skipped, unmatched or error."""
     status = F.when(F.col("status") != "ok", F.col("status")).when(F.col("entries").isNull(), "unmatched").otherwise("processed")
-    return projection.sources.select("origin", "path", status.alias("status"), F.col("error").alias("detail"))
+    return projection.sources.select("origin", "path", "sheet_no", status.alias("status"), F.col("error").alias("detail"))

@@ -33,6 +33,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed_path(spark: SparkSession, path: str) -> None:
+    """Remove a table that ``written`` or a run saved below the shared folder for itself."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def block_size(spark: SparkSession) -> int:
     """Bytes per scan task in this session."""
     text = spark.conf.get(_SPLIT_BYTES).strip().lower()

@@ -87,26 +87,31 @@ def delimited_grid(
     )
 
 
-def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First lines of the single file in this task; the rest is never pulled from the scan."""
-    kept, taken = [], 0
-    for batch in batches:
-        kept.append(batch.slice(0, C.HEAD_ROWS - taken))
-        taken += kept[-1].num_rows
-        if taken == C.HEAD_ROWS:
-            break
-    if taken:
-        head = pa.Table.from_batches(kept)
-        lines = pa.array([head["value"].to_pylist()], pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays(
-            [head["uri"].combine_chunks().slice(0, 1), head["length"].combine_chunks().slice(0, 1), lines],
-            ["uri", "length", "lines"],
-        )
-
-
-def rectangular(df: DataFrame, rows: Column) -> DataFrame:
-    """``df`` with ``rows`` padded with null to the width of the widest row; empty cells become null."""
-    wide = computed(computed(df, _rows=rows), _width=F.array_max(F.transform("_rows", lambda r: F.size(r))))
+def _first_lines(head_rows: int):
+    """Reader of the first lines of the single file in a task; the rest is never pulled from the scan."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, taken = [], 0
+        for batch in batches:
+            kept.append(batch.slice(0, head_rows - taken))
+            taken += kept[-1].num_rows
+            if taken == head_rows:
+                break
+        if taken:
+            head = pa.Table.from_batches(kept)
+            lines = pa.array([head["value"].to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                [head["uri"].combine_chunks().slice(0, 1), head["length"].combine_chunks().slice(0, 1), lines],
+                ["uri", "length", "lines"],
+            )
+
+    return read
+
+
+def rectangular(df: DataFrame, rows: Column, least_width: Column | None = None) -> DataFrame:
+    """``df`` with ``rows`` padded with null to the width of the widest row or ``least_width``; empty cells become null."""
+    widest = F.array_max(F.transform("_rows", lambda r: F.size(r)))
+    wide = computed(computed(df, _rows=rows), _width=widest if least_width is None else F.greatest(widest, least_width))
 
     def padded(row: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda i: blank_to_null(F.get(row, i)))
@@ -115,18 +120,20 @@ def rectangular(df: DataFrame, rows: Column) -> DataFrame:
     return computed(wide, rows=filled).drop("_rows", "_width")
 
 
-def delimited_heads(folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES) -> DataFrame | None:
+def delimited_heads(
+    folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES, head_rows: int = C.HEAD_ROWS
+) -> DataFrame | None:
     """First lines of each file: (uri, path, file, rank, sheet, sheet_no, length, rows, error)."""
     whole = _small_files(folder, small_file_bytes)
     blocks = _big_file_lines(folder, small_file_bytes, _WHOLE_FILE)
     if whole is None or blocks is None:
         return None
-    lines = F.split(_text(F.col("content")), _LINE_ENDS, C.HEAD_ROWS + 1)
-    visible = F.filter(F.slice(lines, 1, C.HEAD_ROWS), lambda v: v != "")
+    lines = F.split(_text(F.col("content")), _LINE_ENDS, head_rows + 1)
+    visible = F.filter(F.slice(lines, 1, head_rows), lambda v: v != "")
     small = whole.select("uri", "length", visible.alias("lines"))
     # One task per big file: it stops after the first batch instead of reading the file.
     big = blocks.select("uri", "length", decode_latin1(F.col("value")).alias("value")).mapInArrow(
-        _first_lines, "uri string, length bigint, lines array<string>"
+        _first_lines(head_rows), "uri string, length bigint, lines array<string>"
     )
     path = plain_path(F.col("uri"))
     name = file_name(path)

@@ -85,14 +85,36 @@ def files(folder: Folder, extensions: tuple[str, ...]) -> DataFrame | None:
     return load_matching(reader, folder, extensions, [uri, F.col("length"), F.col("content")])
 
 
+def passed_over(folder: Folder) -> list[tuple[str, int, str | None]]:
+    """(uri, length, detail) of the supported files that Spark's readers leave out without a word.
+
+    These are files of zero bytes, without a detail, and files whose names begin with ``_`` or
+    ``.``, which no reader opens. The listing takes a few calls per file on the driver.
+    """
+    jvm = folder.spark.sparkContext._jvm
+    settings = folder.spark._jsparkSession.sessionState().newHadoopConf()
+    found = []
+    for pattern in globs(folder, C.EXTENSIONS):
+        glob = jvm.org.apache.hadoop.fs.Path(pattern)
+        for status in glob.getFileSystem(settings).globStatus(glob) or ():
+            place, length = status.getPath(), status.getLen()
+            name = place.getName()
+            hidden = name.startswith(".") or (name.startswith("_") and "=" not in name)
+            if (hidden or length == 0) and status.isFile():
+                found.append((place.toUri().toString(), length, C.HIDDEN_NAME if hidden else None))
+    return found
+
+
 def list_sources(folder: Folder) -> DataFrame:
-    """Supported files with their kind; only names and sizes are read.
+    """Supported files with their kind and status; only names and sizes are read.
 
-    Spark's listing leaves out files of zero bytes: they hold no rows.
+    The status is ``listed``, ``empty`` for files of zero bytes, or ``skipped`` for hidden names.
     """
+    odd = folder.spark.createDataFrame(passed_over(folder), "uri string, length bigint, detail string")
+    status = F.when(F.col("detail").isNull(), "empty").otherwise("skipped")
+    odd = odd.select("uri", "length", status.alias("status"))
     found = files(folder, C.EXTENSIONS)
-    if found is None:
-        return folder.spark.createDataFrame([], "path string, file string, rank int, route string, length bigint")
+    found = odd if found is None else found.select("uri", "length", F.lit("listed").alias("status")).unionAll(odd)
     path = plain_path(F.col("uri"))
     name = file_name(path)
     return found.select(
@@ -101,4 +123,5 @@ def list_sources(folder: Folder) -> DataFrame:
         extension_rank(name).alias("rank"),
         route(name).alias("route"),
         "length",
+        "status",
     )

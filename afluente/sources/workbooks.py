@@ -25,7 +25,7 @@ from afluente.sources.folder import Folder, extension_rank, file_name, files
 
 SHEETS_SCHEMA = "uri string, length bigint, sheet string, sheet_no int, error string"
 ROWS_SCHEMA = "uri string, sheet_no int, line bigint, cells array<string>"
-HEADS_SCHEMA = "uri string, length bigint, sheet string, sheet_no int, rows array<array<string>>, error string"
+HEADS_SCHEMA = "uri string, length bigint, sheet string, sheet_no int, rows array<array<string>>, width int, error string"
 
 _ROWS_PER_BATCH = 4096
 _XML = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -39,7 +39,7 @@ def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     links = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
     parts = {link.get("Id"): posixpath.normpath(posixpath.join("/xl", link.get("Target")))[1:] for link in links}
     tree = ElementTree.fromstring(book.read("xl/workbook.xml"))
-    return [(s.get("name"), parts[s.get(_RELATION)]) for s in tree.iter(f"{_XML}sheet")]
+    return [(s.get("name"), parts.get(s.get(_RELATION), "")) for s in tree.iter(f"{_XML}sheet")]
 
 
 def _shared_strings(book: zipfile.ZipFile) -> list[str]:
@@ -170,18 +170,39 @@ def _list_sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _as_batch(found, [*_SHEET_FIELDS, _ERROR])
 
 
-def _read_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fields = [*_SHEET_FIELDS, pa.field("rows", pa.list_(_TEXTS)), _ERROR]
-    for uri, length, content in _workbooks(batches):
-        found = []
-        try:
-            for number, name, rows in _open_rows(content):
-                head = [row for _, row in zip(range(C.HEAD_ROWS), rows)]
-                found.append((uri, length, name, number, head, None))
-        except Exception as error:
-            found.append((uri, length, None, len(found), [], f"{type(error).__name__}: {error}"))
-        if found:
-            yield _as_batch(found, fields)
+def _whole_sheet(rows: Iterator[list], head_rows: int) -> tuple[list, int, str | None]:
+    """First rows, width and fault of a sheet, which is read to its end to know them."""
+    head, width = [], 0
+    try:
+        for row in rows:
+            width = max(width, len(row))
+            if len(head) < head_rows:
+                head.append(row)
+    except Exception as error:  # this sheet is reported, its neighbours are read
+        return [], 0, f"{type(error).__name__}: {error}"
+    return head, width, None
+
+
+def _heads_reader(head_rows: int, include: frozenset[str] | None, exclude: frozenset[str]):
+    fields = [*_SHEET_FIELDS, pa.field("rows", pa.list_(_TEXTS)), pa.field("width", pa.int32()), _ERROR]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for uri, length, content in _workbooks(batches):
+            found = []
+            try:
+                for number, name, rows in _open_rows(content):
+                    if _wanted(name, include, exclude):
+                        found.append((uri, length, name, number, *_whole_sheet(rows, head_rows)))
+            except Exception as error:  # what all sheets share cannot be read
+                found = [(uri, length, None, 0, [], 0, f"{type(error).__name__}: {error}")]
+            if found:
+                yield _as_batch(found, fields)
+
+    return read
+
+
+def _wanted(sheet: str, include: frozenset[str] | None, exclude: frozenset[str]) -> bool:
+    return sheet not in exclude and (include is None or sheet in include)
 
 
 def _reader(include: frozenset[str] | None, exclude: frozenset[str]):
@@ -195,27 +216,42 @@ def _reader(include: frozenset[str] | None, exclude: frozenset[str]):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[tuple] = []
         for uri, _, content in _workbooks(batches):
-            line = 0
-            try:
-                for number, name, rows in _open_rows(content):
-                    if name in exclude or (include is not None and name not in include):
-                        continue
-                    line = 0
-                    for line, cells in enumerate(rows):
-                        pending.append((uri, number, line, cells))
-                        if len(pending) == _ROWS_PER_BATCH:
-                            yield _as_batch(pending, fields)
-                            pending = []
-            except Exception:
-                if line >= C.HEAD_ROWS:
-                    raise  # rows may already be out: fail rather than keep half a sheet
-                # The same fault is in the heads, which report it; the sheet has no layout to join.
+            for number, rows in _sheets_to_read(content, include, exclude):
+                for line, cells in _until_fault(rows):
+                    pending.append((uri, number, line, cells))
+                    if len(pending) == _ROWS_PER_BATCH:
+                        yield _as_batch(pending, fields)
+                        pending = []
         if pending:
             yield _as_batch(pending, fields)
 
     return read
 
 
+def _sheets_to_read(
+    content: bytes, include: frozenset[str] | None, exclude: frozenset[str]
+) -> Iterator[tuple[int, Iterator[list]]]:
+    """(number, rows) of the wanted sheets; none of a book that cannot be opened, as its head reports."""
+    try:
+        for number, name, rows in _open_rows(content):
+            if _wanted(name, include, exclude):
+                yield number, rows
+    except Exception:
+        return
+
+
+def _until_fault(rows: Iterator[list]) -> Iterator[tuple[int, list]]:
+    """Numbered rows up to the first fault.
+
+    The head of the sheet was read to the end and has met the same fault, so the sheet is
+    an error in the layout, and none of the rows let out here finds a source to join.
+    """
+    try:
+        yield from enumerate(rows)
+    except Exception:
+        return
+
+
 def workbook_files(folder: Folder) -> DataFrame | None:
     return files(folder, C.WORKBOOK_EXTENSIONS)
 
@@ -227,10 +263,19 @@ def list_sheets(workbooks: DataFrame) -> DataFrame:
     return found.select(path.alias("path"), file_name(path).alias("file"), "sheet", "sheet_no", "error")
 
 
-def workbook_heads(workbooks: DataFrame) -> DataFrame:
-    """First rows of every sheet, in the form that delimited files have too."""
-    found = workbooks.select("uri", "length", "content").mapInArrow(_read_heads, HEADS_SCHEMA)
-    found = rectangular(found.withColumnRenamed("rows", "ragged"), F.col("ragged"))
+def workbook_heads(
+    workbooks: DataFrame,
+    include: frozenset[str] | None = None,
+    exclude: frozenset[str] = frozenset(),
+    head_rows: int = C.HEAD_ROWS,
+) -> DataFrame:
+    """First rows of every wanted sheet, as wide as the whole sheet, in the form that delimited files have too.
+
+    A sheet with a fault anywhere has no rows and an error; other sheets of its book are not touched.
+    """
+    read = _heads_reader(head_rows, include, exclude)
+    found = workbooks.select("uri", "length", "content").mapInArrow(read, HEADS_SCHEMA)
+    found = rectangular(found.withColumnRenamed("rows", "ragged"), F.col("ragged"), F.col("width"))
     path = plain_path(F.col("uri"))
     name = file_name(path)
     return found.select(
@@ -249,7 +294,10 @@ def workbook_heads(workbooks: DataFrame) -> DataFrame:
 def workbook_grid(
     workbooks: DataFrame, include: frozenset[str] | None = None, exclude: frozenset[str] = frozenset()
 ) -> DataFrame:
-    """(uri, sheet_no, block, line, cells) of the wanted sheets of all workbooks."""
+    """(uri, sheet_no, block, line, cells) of the wanted sheets of all workbooks.
+
+    A faulty sheet gives its rows up to the fault; only its head says so, so join the grid with a layout.
+    """
     found = workbooks.select("uri", "length", "content").mapInArrow(_reader(include, exclude), ROWS_SCHEMA)
     return found.select("uri", "sheet_no", F.lit(0).cast("bigint").alias("block"), "line", "cells")
 

@@ -1,11 +1,21 @@
 """Runs over small messy files, with hand-written expected rows."""
 
+import glob
+import io
+import os
+import re
+import zipfile
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from afluente import Aggregation, DuplicateRule, FilterRule, SummaryRule, analyze_headers, consolidate, open_folder, preview
 from afluente import constants as C
 from afluente.operators.mapping import mapping_from_rows
+from afluente.operators.combine import keep_first
+from afluente.operators.outputs import chunk_rows
+from afluente.plans.consolidate import write_outputs
 from afluente.plans.layout import read_layout
 from afluente.sources.delimited import delimited_grid, delimited_lines
 from afluente.sources.folder import list_sources
@@ -90,7 +100,7 @@ def test_header_names(spark, folder_of):
     found = layout_of(spark, place)
     assert found["dup.csv"]["names"] == ["Valor_1", "Valor_2", "column_2", "Nome"]
     assert (found["clash.csv"]["status"], found["clash.csv"]["names"]) == ("error", ["A_1", "A_2", "A_1"])
-    assert [found[f]["status"] for f in ("one.csv", "blank.csv")] == ["empty"] * 2
+    assert [found[f]["status"] for f in ("one.csv", "blank.csv", "empty.csv")] == ["empty"] * 3
     assert found["digits.csv"]["header_line"] == 0
 
 
@@ -225,12 +235,22 @@ def test_line_order_across_blocks(spark, folder_of):
 
 def test_preview(spark, folder_of):
     place = folder_of({"titled.csv": TITLED, "one.csv": "a;b\n"})
-    layout = read_layout(open_folder(spark, place))
-    paths = paths_of(layout)
-    found = preview(layout, paths["titled.csv"], rows=2)
+    folder = open_folder(spark, place)
+    paths = paths_of(read_layout(folder))
+    found = preview(folder, paths["titled.csv"], rows=2)
     assert found.columns == ["Código", "Nome", "Valor"]
     assert [tuple(r) for r in found.collect()] == [("1", "Ana", "10"), ("2", "Bia", "20")]
-    assert preview(layout, paths["one.csv"]) is None
+    assert preview(folder, paths["one.csv"]) is None
+
+
+@pytest.mark.parametrize("small", [0, 4 << 20])
+def test_preview_gives_the_rows_asked_for(spark, folder_of, small):
+    place = folder_of({"long.csv": "id;nome\n" + "".join(f"{i};x\n" for i in range(80))})
+    folder = open_folder(spark, place)
+    path = paths_of(read_layout(folder))["long.csv"]
+    for asked, given in ((50, 50), (100, 80)):
+        found = preview(folder, path, rows=asked, small_file_bytes=small)
+        assert [r["id"] for r in found.collect()] == [str(i) for i in range(given)]
 
 
 def books():
@@ -277,7 +297,7 @@ def test_workbooks(spark, folder_of):
         "old.xls": "error",
         "c.csv": "processed",
     }
-    assert preview(read_layout(folder), paths_of(read_layout(folder))["b.xlsx"], "Jan").first()["nome"] == "Eva"
+    assert preview(folder, paths_of(read_layout(folder))["b.xlsx"], "Jan").first()["nome"] == "Eva"
 
 
 @pytest.mark.parametrize(
@@ -335,3 +355,109 @@ def test_no_file_is_lost_to_packing(spark, folder_of, most):
     packed.conf.set("spark.sql.files.maxPartitionNum", most)
     found = consolidate(open_folder(packed, place, ";"), small_file_bytes=0).consolidated
     assert sorted((r["A"], r["B"]) for r in found.collect()) == sorted((str(k), str(n)) for k in range(6) for n in range(5))
+
+
+@pytest.mark.parametrize("fault_row", [6, 21, 22, 40])
+def test_a_faulty_sheet_does_not_touch_its_neighbours(spark, folder_of, fault_row):
+    good = [["id", "nome"], *[[i, f"n{i}"] for i in range(1, 41)]]
+    book = workbook_bytes({"A": good, "B": good, "C": good})
+    place = folder_of({"livro.xlsx": with_bad_cell(book, "sheet1", fault_row), "outro.xlsx": workbook_bytes({"A": good})})
+    folder = open_folder(spark, place)
+    out = consolidate(folder)
+    assert {r["Origem"]: r["count"] for r in out.consolidated.groupBy("Origem").count().collect()} == {
+        "livro.xlsx (B)": 40, "livro.xlsx (C)": 40, "outro.xlsx (A)": 40,
+    }
+    audit = {r["origin"]: r["status"] for r in out.audit.collect()}
+    assert audit == {"livro.xlsx (A)": "error", "livro.xlsx (B)": "processed", "livro.xlsx (C)": "processed", "outro.xlsx (A)": "processed"}
+    # an excluded sheet is not even looked at
+    without = consolidate(folder, sheets=SheetRule("exclude", {"A"}))
+    assert {r["origin"]: r["status"] for r in without.audit.collect()} == {"livro.xlsx (B)": "processed", "livro.xlsx (C)": "processed"}
+    assert without.consolidated.count() == 80
+
+
+def with_bad_cell(book: bytes, sheet: str, row: int) -> bytes:
+    """The book with a number that is none in one row of a sheet."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(book)) as old, zipfile.ZipFile(out, "w") as new:
+        for name in old.namelist():
+            data = old.read(name).decode()
+            if name.endswith(f"{sheet}.xml"):
+                data, hits = re.subn(rf'(r="A{row}"><v>)[0-9]+', r"\1zz", data)
+                assert hits == 1
+            new.writestr(name, data)
+    return out.getvalue()
+
+
+def test_sheets_keep_columns_that_are_first_filled_late(spark, folder_of):
+    body = [[i, "x"] for i in range(30)]
+    body[28] = [28, "x", "tarde"]
+    place = folder_of({"a.xlsx": workbook_bytes({"S": [["id", "nome"], *body]})})
+    out = consolidate(open_folder(spark, place)).consolidated
+    assert out.columns == ["id", "nome", "column_2", "Origem"]
+    assert [r["column_2"] for r in out.where("id = '28'").collect()] == ["tarde"]
+
+
+def test_hidden_and_empty_files_are_listed_and_audited(spark, folder_of):
+    good = "id;nome\n1;a\n2;b\n"
+    place = folder_of({"_vendas.csv": good, ".oculto.txt": good, "vazio.csv": "", "bom.csv": good, "_nota.pdf": b"q"})
+    folder = open_folder(spark, place)
+    listed = {r["file"]: r["status"] for r in list_sources(folder).collect()}
+    assert listed == {"_vendas.csv": "skipped", ".oculto.txt": "skipped", "vazio.csv": "empty", "bom.csv": "listed"}
+    out = consolidate(folder)
+    audit = {r["origin"]: r["status"] for r in out.audit.collect()}
+    assert audit == {"_vendas.csv": "skipped", ".oculto.txt": "skipped", "vazio.csv": "empty", "bom.csv": "processed"}
+    assert out.consolidated.count() == 2
+
+
+def test_accounting_of_a_run(spark, folder_of):
+    place = folder_of(
+        {
+            "a.csv": "id;v\n1;10\n2;20;sobra\n1;10\n3;5\n",
+            "b.csv": "id;v\n1;10\n4;40\n",
+            "vazio.csv": "",
+            "um.csv": "id;v\n",
+        }
+    )
+    out = consolidate(open_folder(spark, place), filters=[FilterRule("v", C.NOT_EQUAL, "5")], duplicates=DuplicateRule(("id",)))
+    columns = ("rows_read", "rows_wide", "rows_after_filter", "rows_removed", "rows_left")
+    found = {r["origin"]: tuple(r[c] for c in columns) for r in out.accounting.collect()}
+    assert found["a.csv"][0] == 4 and found["a.csv"][2:] == (3, 1, 2)
+    assert found["b.csv"] == (2, 0, 2, 1, 1)
+    assert found["vazio.csv"] == found["um.csv"] == (0, 0, 0, 0, 0)
+
+
+@pytest.mark.parametrize("kind", ["parquet", "csv", "sheets"])
+def test_outputs_read_the_sources_once(spark, folder_of, kind):
+    place = folder_of({"a.csv": "id;v\n1;10\n2;20\n1;10\n", "b.csv": "id;v\n1;10\n4;40\n"})
+    out = consolidate(
+        open_folder(spark, place), duplicates=DuplicateRule(("id",)), summary=SummaryRule(("id",), (Aggregation("v", C.COUNT),))
+    )
+    target = folder_of({}) + "/out"
+    seen = []
+    rebuild = out.rebuild
+
+    def watched(saved):
+        again = rebuild(saved)
+        seen.extend([again.consolidated, again.removed, again.summary])
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in seen]
+        # what comes from the sources is read as binaryFile or text, what was saved as parquet
+        assert not any("binaryFile" in p or "Format: Text" in p or "mapInArrow" in p for p in plans)
+        return again
+
+    places = write_outputs(replace(out, rebuild=watched), target, kind)
+    assert len(seen) == 3 and set(places) == {"consolidated", "removed", "summary", "accounting"}
+    if kind != "csv":
+        assert spark.read.parquet(places["consolidated"]).count() == 3
+        removed = spark.read.parquet(places["removed"])
+        assert removed.count() == 2
+        assert ("chunk" in removed.columns) == (kind == "sheets")
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert not [f for f in os.listdir(shared) if glob.glob(f"{shared}/{f}/*") and "__kept" in spark.read.parquet(f"{shared}/{f}").columns]
+
+
+def test_user_columns_with_the_names_of_helpers_survive(spark):
+    rows = [(1, "p", "q", 7, 8, 9), (2, "r", "s", 1, 2, 3), (1, "t", "u", 4, 5, 6)]
+    df = spark.createDataFrame(rows, "id int, _part string, _place string, _index int, _before int, _total int")
+    assert sorted(tuple(r)[:-1] for r in chunk_rows(df, ["_index"]).collect()) == sorted(rows)
+    assert sorted(tuple(r)[:-1] for r in chunk_rows(df, ["_part", "id"]).collect()) == sorted(rows)
+    assert sorted(tuple(r) for r in keep_first(df, ["id"], ["_index"]).collect()) == sorted(rows[1:])
