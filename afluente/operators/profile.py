@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from afluente import constants as C
 from afluente.functions.casts import text_to_datetime, text_to_float, text_to_integer
 from afluente.functions.columns import computed
-from afluente.functions.text import is_visible, named, normalize_name
+from afluente.functions.text import blank_to_null, is_visible, named, normalize_name
+from afluente.session import written
 
 # Profiled types, from the most specific one.
 INTEGER, FLOAT, DATETIME, TEXT = "Int64", "Float64", "Datetime", "String"
@@ -107,6 +108,39 @@ def layout_fingerprints(layout: DataFrame) -> DataFrame:
     return found.withColumn("type", _type_of(F.col("kinds"))).drop("values", "kinds")
 
 
+def source_fingerprints(rows: DataFrame, layout: DataFrame) -> DataFrame:
+    """One row per column of each source, from all ``rows`` (uri, sheet_no, cells) below the headers.
+
+    Cells are counted by source and column before they are shuffled, so a source that holds a large
+    share of all rows sends no more than a small one. A row without a cell in a column counts as null.
+    """
+    cell = blank_to_null(F.col("cell"))
+    counts = written(
+        rows.select("uri", "sheet_no", F.posexplode("cells").alias("column_no", "cell"))
+        .groupBy("uri", "sheet_no", "column_no")
+        .agg(F.count(F.lit(1)).alias("cells"), F.count(cell).alias("filled"), F.bit_or(_cell_kind(cell)).alias("kinds"))
+    )
+    columns = layout.where(F.col("status") == "ok").select(
+        "uri", "path", "file", "rank", "sheet", "sheet_no", F.posexplode("names").alias("column_no", "column")
+    )
+    # every row has a first cell
+    totals = counts.where(F.col("column_no") == 0).select("uri", "sheet_no", F.col("cells").alias("total"))
+    found = columns.join(counts, ["uri", "sheet_no", "column_no"], "left").join(totals, ["uri", "sheet_no"], "left")
+    filled = F.coalesce("filled", F.lit(0))
+    return found.select(
+        "path",
+        "file",
+        "rank",
+        "sheet",
+        "sheet_no",
+        "column_no",
+        "column",
+        normalize_name(F.col("column")).alias("normalized"),
+        ((F.col("total") - filled) / F.col("total")).alias("null_ratio"),
+        _type_of(F.coalesce("kinds", F.lit(_NO_KIND))).alias("type"),
+    )
+
+
 def type_class(kind: Column) -> Column:
     return F.when(kind.isin(INTEGER, FLOAT), NUMERIC_CLASS).otherwise(kind)
 

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from afluente.operators.mapping import build_mapping, default_settings
-from afluente.operators.profile import group_headers, layout_fingerprints
-from afluente.plans.layout import read_layout
+from afluente.operators.profile import group_headers, source_fingerprints
+from afluente.plans.layout import read_layout, rows_below_headers
+from afluente.session import written
 from afluente.sources.delimited import SMALL_FILE_BYTES
 from afluente.sources.folder import Folder
 from afluente.sources.sheets import SheetRule
@@ -32,8 +33,14 @@ def analyze_headers(
     sheets: SheetRule = SheetRule(),
     choices: DataFrame | None = None,
     small_file_bytes: int = SMALL_FILE_BYTES,
+    sample_rows: int | None = None,
 ) -> Analysis:
+    """Headers, types and suggested groups. Types are those of all rows, or of ``sample_rows`` per source at most."""
     layout = read_layout(folder, sheets, choices, small_file_bytes)
-    fingerprints = layout_fingerprints(layout)
+    if layout.where("status = 'ok'").isEmpty():
+        rows = folder.spark.createDataFrame([], "uri string, sheet_no int, cells array<string>")
+    else:
+        rows = rows_below_headers(folder, layout, sheets, small_file_bytes, sample_rows)
+    fingerprints = written(source_fingerprints(rows, layout))
     members = group_headers(fingerprints)
     return Analysis(layout, fingerprints, members, default_settings(members))

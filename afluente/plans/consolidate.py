@@ -153,12 +153,13 @@ def consolidate(
     origin: str = C.ORIGIN,
     small_file_bytes: int = SMALL_FILE_BYTES,
     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
+    block_bytes: int | None = None,
 ) -> Outputs:
     """All sources of a folder as one table.
 
     One scan reads every delimited file, whatever their number; a small lookup
     per source says where its header is and which cell goes to which final
-    column. Pass the ``layout`` of an earlier analysis to use the same headers.
+    column. Files above ``small_file_bytes`` are cut into blocks of ``block_bytes``. Pass the ``layout`` of an earlier analysis to use the same headers.
     """
     if layout is None:
         layout = read_layout(folder, sheets, small_file_bytes=small_file_bytes)
@@ -166,7 +167,7 @@ def consolidate(
     if not projection.columns:
         raise ValueError("no source column matches the mapping")
 
-    grid = source_grid(folder, sheets, small_file_bytes, bytes_per_block(folder, projection))
+    grid = source_grid(folder, sheets, small_file_bytes, block_bytes or bytes_per_block(folder, projection.source_bytes))
     rows = join_layout(grid, projection, broadcast_limit)
     kept_names = [c for c in projection.columns if c.name != origin]
     text = mapped_cells(projection)

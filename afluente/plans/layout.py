@@ -157,12 +157,30 @@ def project_layout(layout: DataFrame, mapping: DataFrame | None) -> Projection:
     return Projection(sources, final, totals["lookup"] or 0, totals["read"] or 0)
 
 
-def bytes_per_block(folder: Folder, projection: Projection) -> int:
+def bytes_per_block(folder: Folder, source_bytes: int) -> int:
     """Split size of this run: small enough to occupy all cores, and fixed from here on."""
-    share = projection.source_bytes // (2 * folder.spark.sparkContext.defaultParallelism)
+    share = source_bytes // (2 * folder.spark.sparkContext.defaultParallelism)
     return min(block_size(folder.spark), max(SMALL_FILE_BYTES, share))
 
 
+def rows_below_headers(
+    folder: Folder,
+    layout: DataFrame,
+    sheets: SheetRule = SheetRule(),
+    small_file_bytes: int = SMALL_FILE_BYTES,
+    sample_rows: int | None = None,
+    broadcast_limit: int = BROADCAST_LIMIT_BYTES,
+) -> DataFrame:
+    """(uri, sheet_no, cells) of all sources with a header; of each no more than its first ``sample_rows``, if given."""
+    lookup = layout.where(F.col("status") == "ok").select("uri", "sheet_no", "length", "header_line")
+    totals = lookup.agg(F.sum(F.length("uri") + 64).alias("lookup"), F.sum("length").alias("read")).first()
+    grid = source_grid(folder, sheets, small_file_bytes, bytes_per_block(folder, totals["read"] or 0))
+    rows = join_sources(grid, lookup, totals["lookup"] or 0, broadcast_limit)
+    if sample_rows is not None:
+        rows = rows.where((F.col("block") == 0) & (F.col("line") <= F.col("header_line") + sample_rows))
+    return rows.select("uri", "sheet_no", "cells")
+
+
 def position_name(column: int, copy: int) -> str:
     return f"__at_{column}_{copy}"
 
@@ -198,8 +216,12 @@ def join_layout(grid: DataFrame, projection: Projection, broadcast_limit: int =
     meet it by source and stretch of the file, so that a file which holds a
     large share of all rows is spread over as many tasks as it has stretches.
     """
-    lookup = _lookup(projection)
-    if projection.lookup_bytes <= broadcast_limit:
+    return join_sources(grid, _lookup(projection), projection.lookup_bytes, broadcast_limit)
+
+
+def join_sources(grid: DataFrame, lookup: DataFrame, lookup_bytes: int, broadcast_limit: int) -> DataFrame:
+    """Grid rows below the header with the row of their source in ``lookup``."""
+    if lookup_bytes <= broadcast_limit:
         joined = grid.join(F.broadcast(lookup), ["uri", "sheet_no"])
     else:
         stretch = block_size(grid.sparkSession)

@@ -461,3 +461,14 @@ def test_user_columns_with_the_names_of_helpers_survive(spark):
     assert sorted(tuple(r)[:-1] for r in chunk_rows(df, ["_index"]).collect()) == sorted(rows)
     assert sorted(tuple(r)[:-1] for r in chunk_rows(df, ["_part", "id"]).collect()) == sorted(rows)
     assert sorted(tuple(r) for r in keep_first(df, ["id"], ["_index"]).collect()) == sorted(rows[1:])
+
+
+def test_types_are_those_of_all_rows(spark, folder_of):
+    place = folder_of({"a.csv": "id;v\n" + "".join(f"{i};{i}\n" for i in range(30)) + "".join(f"{i};t\n" for i in range(70))})
+    folder = open_folder(spark, place)
+
+    def types(**options):
+        return {r["column"]: r["type"] for r in analyze_headers(folder, **options).fingerprints.collect()}
+
+    assert types() == types(small_file_bytes=0) == {"id": "Int64", "v": "String"}
+    assert types(sample_rows=20) == {"id": "Int64", "v": "Int64"}

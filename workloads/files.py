@@ -15,7 +15,7 @@ from afluente.operators.mapping import build_mapping, override_mapping
 from afluente.sources.delimited import delimited_grid
 from afluente.sources.folder import list_sources, route
 from afluente.sources.sheets import SheetRule, apply_sheet_rule, distinct_sheets, reconcile_sheets
-from afluente.sources.workbooks import list_sheets, workbook_grid
+from afluente.sources.workbooks import list_sheets, workbook_grid, workbook_heads
 from workloads import workbook_bytes
 from workloads.registry import query
 
@@ -41,6 +41,14 @@ def _write_by_nation(t, place: str) -> None:
     )
     lines = title.unionAll(header).unionAll(body).repartition("n").sortWithinPartitions("n", "at")
     lines.select("value", "n").write.mode("append").partitionBy("n").text(place)
+    for row in t.customer.select("c_nationkey").distinct().collect():  # at most as many as there are nations
+        for name in ("vazio.csv", "_oculto.csv"):
+            _touch(t, f"{place}/n={row[0]}/{name}")
+
+
+def _touch(t, place: str) -> None:
+    path = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(t.spark._jsparkSession.sessionState().newHadoopConf()).create(path).close()
 
 
 def _by_nation(t):
@@ -54,11 +62,11 @@ def _nation():
 
 @query(
     "list_sources",
-    """SELECT DISTINCT c_nationkey AS n, 'delimited' AS route, 1 AS rank FROM customer
-       UNION ALL SELECT DISTINCT s_nationkey, 'delimited', 3 FROM supplier""",
+    """SELECT DISTINCT c_nationkey AS n, 'delimited' AS route, 1 AS rank, unnest(['listed', 'empty', 'skipped']) AS status FROM customer
+       UNION ALL SELECT DISTINCT s_nationkey, 'delimited', 3, 'listed' FROM supplier""",
 )
 def _(t):
-    return list_sources(_by_nation(t)).select(_nation(), "route", "rank")
+    return list_sources(_by_nation(t)).select(_nation(), "route", "rank", "status")
 
 
 @query(
@@ -74,6 +82,10 @@ def _(t):
     return t.customer.select(name.alias("arquivo")).withColumn("route", route(F.col("arquivo")))
 
 
+# Far below the usual size, so that files are read as several blocks at every scale.
+_BLOCK_BYTES = 128 << 10
+
+
 def _write_orders(t, place: str) -> None:
     columns = [F.col("o_orderkey"), F.expr("nullif(o_orderpriority, '5-LOW')"), F.col("o_totalprice"), F.lit('"é"')]
     line = F.concat_ws(";", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
@@ -87,7 +99,7 @@ def _write_orders(t, place: str) -> None:
 )
 def _(t):
     folder = open_folder(t.spark, t.written("orders_csv", lambda p: _write_orders(t, p)))
-    cells = delimited_grid(folder).select("cells")
+    cells = delimited_grid(folder, small_file_bytes=0, bytes_per_block=_BLOCK_BYTES).select("cells")
     at = [F.nullif(F.get("cells", F.lit(i)), F.lit("")) for i in range(4)]
     return cells.select(
         at[0].cast("bigint").alias("o_orderkey"),
@@ -150,13 +162,31 @@ def _(t):
 
 @query(
     "run_audit",
-    """SELECT DISTINCT c_nationkey AS n, '.csv' AS origem, 'processed' AS status FROM customer
+    """SELECT DISTINCT c_nationkey AS n, '.csv' AS origem, unnest(['processed', 'empty', 'skipped']) AS status FROM customer
        UNION ALL SELECT DISTINCT s_nationkey, '.txt', 'processed' FROM supplier""",
 )
 def _(t):
     return _run(t).audit.select(_nation(), F.regexp_extract("origin", "([.][a-z]+)$", 1).alias("origem"), "status")
 
 
+_BEFORE_SQL = """SELECT c_nationkey AS n, '.csv' AS origem, c_custkey AS k, vez, c_name AS nome, c_acctbal AS saldo, c_mktsegment AS segmento
+    FROM customer, range(2) r(vez) UNION ALL SELECT s_nationkey, '.txt', s_suppkey, 0, s_name, round(s_acctbal, 2), NULL FROM supplier"""
+
+
+@query(
+    "run_accounting",
+    f"""SELECT n, origem, 'processed' AS status, count(*) AS rows_read, 0 AS rows_wide, count(*) FILTER (WHERE fica) AS rows_after_filter,
+        count(*) FILTER (WHERE fica AND vez = 1) AS rows_removed, count(*) FILTER (WHERE fica AND vez = 0) AS rows_left
+        FROM (SELECT *, saldo > 0 AND coalesce(segmento <> 'BUILDING', true) AS fica FROM ({_BEFORE_SQL})) GROUP BY n, origem
+        UNION ALL SELECT DISTINCT c_nationkey, '.csv', unnest(['empty', 'skipped']), 0, 0, 0, 0, 0 FROM customer""",
+)
+def _(t):
+    counts = ("rows_read", "rows_wide", "rows_after_filter", "rows_removed", "rows_left")
+    return _run(t).accounting.select(
+        _nation(), F.regexp_extract("origin", "([.][a-z]+)$", 1).alias("origem"), "status", *counts
+    )
+
+
 def _kind(df: DataFrame) -> DataFrame:
     """Spark makes up the file names, so only their extension is compared."""
     return df.withColumn("origem", F.regexp_extract(C.ORIGIN, "([.][a-z]+)$", 1)).drop(C.ORIGIN)
@@ -221,6 +251,36 @@ _SHEETS_SQL = f"""SELECT livro, sheet, row_number() OVER (PARTITION BY livro ORD
     FROM (SELECT DISTINCT c_custkey // {_CUSTOMERS_PER_BOOK} AS livro, c_mktsegment AS sheet FROM customer)"""
 
 
+# Every fifth book has a fault in the first data row of its first sheet.
+_FAULTY = 5
+
+
+def _damaged(books: pd.DataFrame) -> pd.DataFrame:
+    return books.assign(content=[workbook_bytes.damaged(content) for content in books["content"]])
+
+
+@query(
+    "workbook_faults",
+    f"""SELECT livro, sheet, sheet_no, livro % {_FAULTY} = 0 AND sheet_no = 0 AS falha,
+        CASE WHEN livro % {_FAULTY} = 0 AND sheet_no = 0 THEN 0 ELSE 1 + (SELECT count(*) FROM customer
+        WHERE c_custkey // {_CUSTOMERS_PER_BOOK} = livro AND c_mktsegment = sheet) END AS linhas FROM ({_SHEETS_SQL})""",
+)
+def _(t):
+    books = _books(t)
+    faulty = _book_no() % _FAULTY == 0
+
+    def damage(batches):
+        return map(_damaged, batches)
+
+    books = books.where(~faulty).unionAll(books.where(faulty).mapInPandas(damage, books.schema))
+    heads = workbook_heads(books)
+    rows = workbook_grid(books).groupBy("uri", "sheet_no").agg(F.count(F.lit(1)).alias("linhas"))
+    found = heads.where(F.col("error").isNull()).join(rows, ["uri", "sheet_no"])
+    return found.unionByName(heads.where(F.col("error").isNotNull()).withColumn("linhas", F.lit(0))).select(
+        _book_no(), "sheet", "sheet_no", F.col("error").isNotNull().alias("falha"), "linhas"
+    )
+
+
 @query("list_sheets", _SHEETS_SQL)
 def _(t):
     return list_sheets(_books(t)).select(_book_no("path"), "sheet", "sheet_no")
@@ -294,7 +354,7 @@ def _write_lineitem(t, place: str) -> None:
 
 def _lineitem_run(t):
     folder = open_folder(t.spark, t.written("lineitem_csv", lambda p: _write_lineitem(t, p)), "|")
-    found = analyze_headers(folder)
+    found = analyze_headers(folder, small_file_bytes=0)
     types = folder.spark.createDataFrame(
         [
             ("pedido:numeric", C.TYPE_INTEGER),
@@ -312,6 +372,8 @@ def _lineitem_run(t):
         DuplicateRule(("Pedido", "Envio"), generate_report=False),
         SummaryRule(("Retorno",), (Aggregation("Quantidade", C.COUNT), Aggregation("Envio", C.MAXIMUM))),
         found.layout,
+        small_file_bytes=0,
+        block_bytes=_BLOCK_BYTES,
     )
 
 

@@ -18,9 +18,9 @@ from afluente.operators.headers import (
     transition_score,
     with_unique_names,
 )
-from afluente.operators.profile import layout_fingerprints
+from afluente.operators.profile import source_fingerprints
 from afluente.plans.preview import preview_rows
-from afluente.session import spread
+from afluente.session import spread, written
 from afluente.sources.delimited import rectangular
 from workloads.mappings import VISIBLE, normalized_sql, type_sql
 from workloads.registry import query
@@ -172,8 +172,8 @@ def _(t):
     return t.part.select("p_partkey", *positional_rename(words, ["cor", "coisa", "column_2"]))
 
 
-_CELLS = """cells AS (SELECT l.doc_id, n.posicao, n.unico, r.cell[n.posicao + 1] AS v
-    FROM layout l JOIN named n USING (doc_id), unnest(l."rows"[l.header_line + 2:]) AS r(cell) WHERE l.status = 'ok')"""
+_CELLS = """cells AS (SELECT l.doc_id, n.posicao, n.unico, nullif(string_split(r.linha, ' ')[n.posicao + 1], '') AS v
+    FROM layout l JOIN named n USING (doc_id), unnest(l.lines[l.header_line + 2:]) AS r(linha) WHERE l.status = 'ok')"""
 
 
 @query(
@@ -183,7 +183,10 @@ _CELLS = """cells AS (SELECT l.doc_id, n.posicao, n.unico, r.cell[n.posicao + 1]
          avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) AS null_ratio FROM cells GROUP BY doc_id, posicao, unico)""",
 )
 def _(t):
-    found = layout_fingerprints(_layout(t))
+    layout = written(_layout(t).drop("rows"))  # all lines of a document count, not only its head
+    below = F.slice("lines", F.col("header_line") + 2, F.size("lines"))
+    lines = layout.where("status = 'ok'").select("uri", "sheet_no", F.explode(below).alias("linha"))
+    found = source_fingerprints(lines.select("uri", "sheet_no", F.split("linha", " ", -1).alias("cells")), layout)
     return found.select(
         F.col("path").cast("bigint").alias("doc_id"),
         F.col("column_no").alias("posicao"),

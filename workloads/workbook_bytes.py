@@ -42,3 +42,15 @@ def workbook_bytes(sheets: dict[str, list[list]]) -> bytes:
             )
             book.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {NS}><sheetData>{body}</sheetData></worksheet>")
     return out.getvalue()
+
+
+def damaged(content: bytes) -> bytes:
+    """The book with a number that is none in the first row below the header of its first sheet."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        for name in old.namelist():
+            part = old.read(name)
+            if name == "xl/worksheets/sheet1.xml":
+                part = part.replace(b'<c r="A2"><v>', b'<c r="A2"><v>x', 1)
+            new.writestr(name, part)
+    return out.getvalue()
