@@ -23,9 +23,13 @@ ALL_NULL_SCORE = -100.0
 NUMERIC_CELL = rf"^{SPACES}*\p{{N}}+{SPACES}*\z"
 
 
-def row_stats(cells: Column) -> Column:
-    """Counts of null, visible, numeric and distinct cells in one row."""
-    filled = F.filter(cells, lambda c: c.isNotNull())
+def filled_cells(cells: Column) -> Column:
+    return F.filter(cells, lambda c: c.isNotNull())
+
+
+def row_stats(cells: Column, filled: Column | None = None) -> Column:
+    """Counts of null, visible, numeric and distinct cells in one row; ``filled`` are its cells that are not null."""
+    filled = filled_cells(cells) if filled is None else filled
     return F.struct(
         F.size(cells).alias("width"),
         (F.size(cells) - F.size(filled)).alias("nulls"),
@@ -61,16 +65,23 @@ def content_score(stats: Column) -> Column:
     return F.when(filled == 0, F.lit(ALL_NULL_SCORE)).otherwise(shares)
 
 
-def header_score(cells: Column, below: Column) -> Column:
-    return content_score(row_stats(cells)) + transition_score(same_kind_count(cells, below), F.size(cells))
-
-
 def header_line(rows: Column) -> Column:
     """0-based header row of an array of rows: best score, earliest on a tie, 0 if there is no choice."""
-    ranked = F.transform(
-        F.sequence(F.lit(0), F.size(rows) - 2),
-        lambda i: F.struct(header_score(F.get(rows, i), F.get(rows, i + 1)).alias("score"), (-i).alias("early")),
+    # Each step binds what the next one mentions more than once; a plain nested column would be worked out per mention.
+    pairs = F.transform(
+        rows, lambda r, i: F.struct(r.alias("cells"), filled_cells(r).alias("filled"), F.get(rows, i + 1).alias("below"))
     )
+    counted = F.transform(
+        F.slice(pairs, F.lit(1), F.greatest(F.size(rows) - 1, F.lit(0))),
+        lambda p: F.struct(
+            row_stats(p["cells"], p["filled"]).alias("stats"), same_kind_count(p["cells"], p["below"]).alias("same")
+        ),
+    )
+
+    def score(c: Column) -> Column:
+        return content_score(c["stats"]) + transition_score(c["same"], c["stats"]["width"])
+
+    ranked = F.transform(counted, lambda c, i: F.struct(score(c).alias("score"), (-i).alias("early")))
     return F.when(F.size(rows) < 2, F.lit(0)).otherwise(-F.array_max(ranked)["early"])
 
 
@@ -113,7 +124,8 @@ def with_unique_names(df: DataFrame, names: Column, output: str = "names") -> Da
 
 def detect_layout(heads: DataFrame) -> DataFrame:
     """Header row, column names and status of each source."""
-    found = computed(heads, header_line=header_line(F.slice("rows", 1, C.HEAD_ROWS)))
+    sampled = computed(heads, _sampled=F.slice("rows", 1, C.HEAD_ROWS))
+    found = computed(sampled, header_line=header_line(F.col("_sampled"))).drop("_sampled")
     header = F.coalesce(F.get("rows", F.col("header_line")), F.array().cast("array<string>"))
     found = with_unique_names(found, header_names(header))
     clash = F.size(F.array_distinct("names")) < F.size("names")

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from afluente import constants as C
 from afluente.functions.casts import text_to_datetime, text_to_float, text_to_integer
-from afluente.functions.columns import computed
 from afluente.functions.text import blank_to_null, is_visible, named, normalize_name
 from afluente.session import written
 
@@ -42,16 +40,6 @@ def _type_of(kinds: Column) -> Column:
     )
 
 
-def _kinds_of(values: Column) -> Column:
-    """Kinds met in an array of cells."""
-    return F.aggregate(values, F.lit(_NO_KIND), lambda kinds, v: kinds.bitwiseOR(_cell_kind(v)))
-
-
-def null_share(values: Column) -> Column:
-    """Share of null cells in an array; blank text is not null."""
-    return F.size(F.filter(values, lambda v: v.isNull())) / F.size(values)
-
-
 def profile_column(value: Column) -> Column:
     """Type of a text column, as one aggregate."""
     return _type_of(F.coalesce(F.bit_or(_cell_kind(value)), F.lit(_NO_KIND)))
@@ -87,27 +75,6 @@ def table_fingerprints(df: DataFrame, path: str) -> DataFrame:
     )
 
 
-def layout_fingerprints(layout: DataFrame) -> DataFrame:
-    """One row per column of each source, from the rows sampled in its layout; nothing is shuffled."""
-    sample = F.slice("rows", F.col("header_line") + 2, F.lit(C.HEAD_ROWS))
-    usable = computed(layout.where(F.col("status") == "ok"), sample=sample)
-    # each column takes its own cells along, not the whole sample
-    columns = F.transform(
-        "names",
-        lambda name, i: F.struct(
-            i.alias("column_no"), name.alias("column"), F.transform("sample", lambda r: F.get(r, i)).alias("values")
-        ),
-    )
-    found = usable.select("path", "file", "rank", "sheet", "sheet_no", F.inline(columns))
-    found = computed(
-        found,
-        normalized=normalize_name(F.col("column")),
-        kinds=_kinds_of(F.col("values")),
-        null_ratio=null_share(F.col("values")),
-    )
-    return found.withColumn("type", _type_of(F.col("kinds"))).drop("values", "kinds")
-
-
 def source_fingerprints(rows: DataFrame, layout: DataFrame) -> DataFrame:
     """One row per column of each source, from all ``rows`` (uri, sheet_no, cells) below the headers.
 
