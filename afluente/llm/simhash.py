@@ -25,9 +25,14 @@ _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def words_of(text: str) -> list[str]:
+    """The words between ASCII blanks, A-Z lowered."""
+    return _WORDS.findall(text.translate(_LOWER) if not text.isascii() else text.lower())
+
+
 def fingerprint(text: str) -> int:
     """Bit i is set where over half of the shingles' hashes have it; 0 without words."""
-    words = _WORDS.findall(text.translate(_LOWER) if not text.isascii() else text.lower())
+    words = words_of(text)
     if not words:
         return 0
     if len(words) < SHINGLE_WORDS:
