@@ -137,12 +137,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR
     """
     spark = documents.sparkSession
     small_batches(spark)
-    b = benchmark
-    items = b.select(b["item_id"].cast("long").alias("item_id"), b["text"].cast("string").alias("text")).filter(F.trim("text") != "")
     rows = texts_of(documents)
     schema = "doc_id long, item_id long, distance long, end_at long"
     found = spark.createDataFrame([], schema)
-    for block in _blocks(items, block_chars):
+    for block in _blocks(_items(benchmark), block_chars):
 
         def run(batches, block=block):
             finder = Finder(block, rate)
@@ -159,6 +157,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR
     return found
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    b = benchmark
+    return b.select(b["item_id"].cast("long").alias("item_id"), b["text"].cast("string").alias("text")).filter(F.trim("text") != "")
+
+
 def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int | None, str]]]:
     """The items in blocks of about ``limit`` characters, one block at a time on the driver."""
     block, size = [], 0
@@ -173,7 +176,18 @@ def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int | None, str
         yield block
 
 
-def without_contamination(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """The documents, all columns kept, without those that have a test item. Rows without an id are judged together."""
-    found = contaminated(documents, benchmark, rate).select(F.col("doc_id").alias("_found_id")).distinct()
-    return documents.join(found, documents["doc_id"].eqNullSafe(F.col("_found_id")), "left_anti")
+def without_contamination(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents, all columns kept, without the rows whose text has a test item. Each row is judged by its own text,
+    whatever its id; every block of items is one pass over the rows that the blocks before have left."""
+    small_batches(documents.sparkSession)
+    left = documents
+    for block in _blocks(_items(benchmark), block_chars):
+
+        def run(batches, block=block):
+            finder = Finder(block, rate)
+            for batch in slices(batches):
+                clean = [next(finder.find(plain(t or "")), None) is None for t in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        left = left.mapInArrow(run, documents.schema)
+    return left

@@ -2,9 +2,10 @@
 
 import itertools
 import random
+from collections import Counter
 
 import corpus_pipeline
-from afluente.llm import similar
+from afluente.llm import decontaminate, quality, similar
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -62,3 +63,29 @@ def test_pairs_that_hubs_miss(spark):
     rows = [(k, " ".join(words[k * 4 : k * 4 + 60])) for k in range(24)]
     assert len(set(_groups([t for _, t in rows]))) == 1
     assert [r.doc_id for r in similar.without_near_duplicates(_frame(spark, rows)).collect()] == [0]
+
+
+def test_rows_are_judged_one_by_one(spark):
+    item = "the quick brown fox jumps over the lazy dog near the river bank"
+    rows = [(None, f"a {item} b"), (None, "clean one"), (None, None), (5, f"x {item}"), (5, "clean two"), (6, ""), (6, "clean two")]
+    items = spark.createDataFrame([(1, item), (2, "another passage that no document has in it")], "item_id long, text string")
+    for block_chars in (10, 1 << 20):
+        found = decontaminate.without_contamination(_frame(spark, rows), items, block_chars=block_chars)
+        assert found.columns == _frame(spark, rows).columns
+        assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter(r for r in rows if item not in (r[1] or ""))
+
+
+def test_stages_with_null_and_repeated_ids(spark, tmp_path, monkeypatch):
+    item = "the quick brown fox jumps over the lazy dog near the river bank"
+    rows = [(d, t) for d, t in _rows()] + [(None, f"{item} {k} {k * k} tail") for k in range(3)] + [(7, f"start {item}")]
+    _frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(quality, "keep_good", lambda docs, model: docs)  # what the classifier keeps is not the matter here
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    groups = _groups([t for _, t in rows])
+    want = {}
+    for (d, t), g in zip(rows, groups):
+        want[g] = min(want.get(g, (True, 0)), (d is None, d or 0))
+    dirty = {g for (_, t), g in zip(rows, groups) if item in (t or "")}
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in found) == Counter(v for g, v in want.items() if g not in dirty)
