@@ -35,6 +35,15 @@ WIDE = {
 }
 # A text without this has no candidate of the kind, which is cheaper to see.
 _NEEDS = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9][.,:][0-9]", "card": r"[0-9]{2}|[0-9][\x20./-][0-9]", "phone": r"[0-9]"}
+# Words before a candidate that tell what it is, and formats that do.
+CUES = {
+    "email": "mail|@|write|contact",
+    "phone": "phone|tel|call|mobile|fax|whatsapp",
+    "card": "card|visa|iban|pay|token|key",
+    "ip": r"\b(?:ip|host|server|addr|address|login|ping)\b",
+}
+_WRITTEN_OUT = r"\(at\)|\[at\]"
+_GROUPED = r"^(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}$"
 BEFORE, AFTER = 24, 8  # characters of context
 CHUNK = 256  # matches of a text that are brought into place together
 
@@ -108,7 +117,7 @@ def valid(kind: str, match: Column) -> Column:
 
 
 # Binned features of a candidate, each with its number of bins.
-FEATURES = {"kind": 4, "digits": 8, "marks": 4, "size": 6, "left": 5, "right": 5, "hint": 4, "sign": 2, "shape": 3}
+FEATURES = {"kind": 4, "digits": 8, "marks": 4, "size": 6, "left": 5, "right": 5, "hint": 5, "sign": 2, "shape": 3, "form": 3, "check": 2}
 
 
 def _side(sign: Column) -> Column:
@@ -122,7 +131,9 @@ def _features(kind: str, span: Column) -> dict[str, Column]:
     marks = F.length(F.regexp_replace(match, r"[A-Za-z0-9]", ""))
     length = F.length(match)
     before = F.lower(span["b"])
-    hints = F.when(before.rlike("mail|@|write"), 1).when(before.rlike("phone|tel|call|mobile|fax"), 2).when(before.rlike("card|visa|iban|pay|token|key"), 3)
+    hints = F.when(before.rlike(CUES[kind]), 4)  # the cue of its own kind, or of another
+    for number, other in enumerate(("email", "phone", "card"), 1):
+        hints = hints.when(before.rlike(CUES[other]), number)
     return {
         "kind": F.lit(KINDS.index(kind)),
         "digits": F.when(digits < 4, 0).when(digits < 8, 1).when(digits < 10, 2).when(digits < 12, 3).when(digits < 14, 4).when(digits < 16, 5).when(digits < 20, 6).otherwise(7),
@@ -133,12 +144,30 @@ def _features(kind: str, span: Column) -> dict[str, Column]:
         "hint": hints.otherwise(0),
         "sign": F.when(match.startswith("+") | match.contains("@"), 1).otherwise(0),
         "shape": F.when(match.rlike(r"[\x20]"), 1).when(match.rlike("[()\\[\\],:/]"), 2).otherwise(0),
+        "form": F.when(match.rlike(_WRITTEN_OUT), 1).when(match.rlike(_GROUPED), 2).otherwise(0),
+        "check": valid(kind, F.translate(match, ",:", "..")).cast("int"),
     }
 
 
-def _strict(kind: str, match: Column) -> Column:
-    """The weak label of training: the whole candidate is a base span."""
-    return match.rlike(f"^(?:{BASE[kind]})$") & valid(kind, match)
+def _plausible(kind: str, span: Column) -> Column:
+    """The weak label of training: a base span as a whole, or a wide form that passes the same checks once its signs are
+    brought back, with a cue word or a telling format where numbers alone say too little."""
+    match, before = span["m"], F.lower(span["b"])
+    strict = match.rlike(f"^(?:{BASE[kind]})$") & valid(kind, match)
+    digits = F.length(_digits(match))
+    if kind == "email":
+        usual = F.regexp_replace(F.regexp_replace(match, r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", ".")
+        spaced = F.regexp_replace(usual, r"\x20?@\x20?", "@")  # a space at a plain point ends a sentence
+        signs = match.rlike(_WRITTEN_OUT) | before.rlike(CUES["email"])
+        return strict | (spaced.rlike(rf"^[{_LOCAL}]+@[{_HOST}]+(?:\.[{_HOST}]+)*\.[A-Za-z]{{2,}}$") & signs)
+    if kind == "ip":
+        one_sign = match.rlike(r"^[0-9]+([.,:])[0-9]+(?:\1[0-9]+){2}$")
+        return strict | (one_sign & valid(kind, F.translate(match, ",:", "..")) & before.rlike(CUES["ip"]))
+    if kind == "card":
+        one_sign = match.rlike(r"^[0-9]+(?:([\x20./-])[0-9]+(?:\1[0-9]+)*)?$")
+        return strict | (one_sign & valid(kind, match))
+    dated = match.rlike(r"^\(?(?:19|20)[0-9]{2}[-/.][0-9]{2}[-/.]")
+    return strict | (digits.between(10, 15) & ~dated & (before.rlike(CUES["phone"]) | match.rlike(_GROUPED)))
 
 
 @dataclass
@@ -244,16 +273,16 @@ def _found(documents: DataFrame) -> DataFrame:
 
 
 def train(documents: DataFrame) -> PiiModel:
-    """A model from the candidates of all documents; their validity by the base rules is the label, which no feature
-    tells. A fifth of the documents calibrates the thresholds. Only counts per feature combination reach the driver:
-    there are no more than the product of the bins, whatever the corpus."""
+    """A model from the candidates of all documents; the label is whether a candidate passes the checks of its kind
+    in its base form or a wide one. A fifth of the documents calibrates the thresholds. Only counts per feature
+    combination reach the driver: there are no more than the product of the bins, whatever the corpus."""
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     rows = []
     for kind in KINDS:
 
         def cell(x: Column) -> Column:
             bins = (c.cast("int").alias(n) for n, c in _features(kind, x).items())
-            return F.struct(*bins, _strict(kind, x["m"]).alias("good"))
+            return F.struct(*bins, _plausible(kind, x).alias("good"))
 
         rows.append(F.transform(f"wide_{kind}", cell))
     found = _found(documents).select(out.alias("out"), F.explode(F.flatten(F.array(*rows))).alias("c"))

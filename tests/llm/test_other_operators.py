@@ -93,6 +93,27 @@ def test_personal_data(spark):
     assert pii.find_pii(frame(spark, []), pii.train(frame(spark, []))).count() == 0
 
 
+def test_personal_data_in_wide_forms(spark):
+    rnd = random.Random(6)
+    digits = lambda n: "".join(rnd.choice("23456789") for _ in range(n))
+    rows = []
+    for k in range(400):
+        forms = [f"mail me: john{k} (at) host{k}.com now", f"write to ann{k}[at]site(dot)org now", f"phone {digits(3)} {digits(3)} {digits(4)} now",
+                 f"mail bob{k}@host.de now", "paid 4111.1111.1111.1111 now", f"call +1 {digits(10)} now", f"lot {digits(12)} sold", f"item {digits(5)}-{digits(6)} sold",
+                 f"list {digits(3)},{digits(3)},{digits(3)},{digits(3)} end", "meet @ home . Then go"]
+        rows.append((k, forms[k % len(forms)]))
+    table = frame(spark, rows)
+    found = {r.doc_id: r for r in pii.find_pii(table, pii.train(table)).collect()}
+    for k, text in rows:
+        form, got = k % 10, [(pii.KINDS[x.k], text[x.s : x.e]) for x in found[k].spans]
+        if form < 6:
+            kind = {2: "phone", 4: "card", 5: "phone"}.get(form, "email")
+            assert [g[0] for g in got] == [kind] and len(got[0][1]) > 9, (text, got)
+            assert len(found[k].base) == (form in (3, 5))
+        elif form > 7:
+            assert not got, (text, got)
+
+
 def test_quality(spark):
     folder = "/root/testdata/sf0.01"
     documents, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
