@@ -112,6 +112,13 @@ class ByteEncoder:
         return out
 
 
+def fitted(ids: np.ndarray, width: int) -> np.ndarray:
+    """The ids in ``width`` bytes each; one that does not fit is an error."""
+    if len(ids) and (ids.min() < 0 or int(ids.max()) >> 8 * width):
+        raise ValueError(f"id {ids.max()} does not fit {width} bytes")
+    return ids.astype(f"<u{width}")
+
+
 def train_dictionary(documents: DataFrame, tokenizer: str, width: int, sample: int = SAMPLE_DOCUMENTS) -> bytes:
     """A dictionary from a bounded sample: the ``sample`` documents of the smallest hashed ids, the start of each.
 
@@ -122,8 +129,7 @@ def train_dictionary(documents: DataFrame, tokenizer: str, width: int, sample: i
     ids = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).dropna().distinct().collect()
     few = F.broadcast(documents.sparkSession.createDataFrame([tuple(i) for i in ids], "doc_id long"))  # sample rows at most
     rows = texts.join(few, "doc_id").select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(sample).collect()
-    kind = np.dtype(f"<u{width}")
-    samples = [ids.astype(kind).tobytes() for ids in ByteEncoder(tokenizer).encode([r["text"] for r in rows])]
+    samples = [fitted(ids, width).tobytes() for ids in ByteEncoder(tokenizer).encode([r["text"] for r in rows])]
     samples = [s for s in samples if s]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -152,7 +158,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, end_id: int | None,
     ids, offsets and counts, and a tail. Documents are compressed where they are encoded, dealt out by id ranges and
     sorted. Files have names of their own, and only those of tasks that succeeded are in the manifest, so that
     repeated tasks do no harm. Null texts are empty; null ids come first; repeated rows are all written, ordered by
-    their frames. An empty table writes no file. Other columns than ``doc_id`` and ``text`` are ignored.
+    their frames. Ids that ``width`` bytes cannot hold are an error. An empty table writes no file. Other columns than ``doc_id`` and ``text`` are ignored.
     """
     spark = documents.sparkSession
     small_batches(spark)
@@ -163,7 +169,6 @@ def write_token_files(documents: DataFrame, tokenizer: str, end_id: int | None,
     store.create_dir(place, recursive=True)
     with store.open_output_stream(f"{place}/dictionary-{label.hex()}") as out:
         out.write(raw)
-    kind = np.dtype(f"<u{width}")
     ending = np.array([] if end_id is None else [end_id], np.int32)
 
     def compress(batches):
@@ -173,7 +178,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, end_id: int | None,
             encoder = encoder or ByteEncoder(tokenizer)
             squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
             ids = [np.concatenate([i, ending]) for i in encoder.encode(batch.column("text").to_pylist())]
-            frames = [squeeze.compress(i.astype(kind).tobytes()) for i in ids]
+            frames = [squeeze.compress(fitted(i, width).tobytes()) for i in ids]
             made = [batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array(frames, pa.binary())]
             yield pa.RecordBatch.from_arrays(made, ["doc_id", "n_ids", "frame"])
 

@@ -57,3 +57,14 @@ def test_round_trip(spark, library, monkeypatch):
 def test_empty_table(spark):
     files = write_token_files(spark.createDataFrame([], SCHEMA), PATH, end_id=2)
     assert token_checksums(files).count() == 0
+
+
+def test_ids_must_fit_the_width(spark):
+    from afluente.llm.tokenfiles import fitted
+
+    assert fitted(np.array([0, 65_535], np.int32), 2).tolist() == [0, 65_535]
+    with pytest.raises(ValueError):
+        fitted(np.array([65_536], np.int32), 2)
+    rows = spark.createDataFrame([(1, "some words of a text", "", "", "")], SCHEMA)
+    with pytest.raises(Exception, match="does not fit"):
+        write_token_files(rows, PATH, 2, width=1)
