@@ -40,6 +40,7 @@ UNNAMED_COLUMN = "column_"
 
 # Status of a source in the audit, besides those of its layout.
 HIDDEN_NAME = "hidden name: not read"
+ORIGIN_REPLACED = "own origin column replaced"
 
 # Limits.
 PREVIEW_ROWS = 50

@@ -33,16 +33,42 @@ def is_visible(value: Column) -> Column:
     return value.isNotNull() & value.rlike(f"[^{_SPACE_SET}]")
 
 
+# Letters of other scripts as they are written in Latin ones.
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l",
+    "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch",
+    "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia", "ѐ": "ie", "ё": "io", "ђ": "dj",
+    "ѓ": "gj", "є": "ie", "ѕ": "dz", "і": "i", "ї": "yi", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "tsh", "ќ": "kj", "ѝ": "i",
+    "ў": "u", "џ": "dzh", "ґ": "g",
+}
+GREEK = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m",
+    "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "ς": "s", "σ": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps",
+    "ω": "o",
+}
+
+# Latin-1 and extended Latin, Greek, Cyrillic, more extended Latin, accented Greek, full-width forms.
+_FOLDED_RANGES = (range(0xA0, 0x250), range(0x370, 0x530), range(0x1E00, 0x2000), range(0xFF10, 0xFF5B))
+
+
+def _plain(letter: str) -> str:
+    """ASCII letters and digits that stand for a lower-case letter; accents are taken off first."""
+    known = {**SPECIAL_LETTERS, **CYRILLIC, **GREEK}
+    if letter in known:
+        return known[letter]
+    parts = unicodedata.normalize("NFKD", letter).lower()
+    return "".join(known.get(c, c if c.isascii() and c.isalnum() else "") for c in parts)
+
+
 @lru_cache(maxsize=1)
 def _folding() -> tuple[str, str, dict[str, str]]:
-    """Lower-case Latin letters and their ASCII form, derived from Unicode NFKD."""
+    """Lower-case letters and their ASCII form: those that become one letter, and the others."""
     single_from, single_to, longer = "", "", {}
-    for code in range(0xA0, 0x250):
+    for code in (code for letters in _FOLDED_RANGES for code in letters):
         letter = chr(code)
         if letter != letter.lower():
             continue
-        decomposed = unicodedata.normalize("NFKD", letter).lower()
-        plain = SPECIAL_LETTERS.get(letter) or "".join(c for c in decomposed if c.isascii() and c.isalnum())
+        plain = _plain(letter)
         if len(plain) == 1:
             single_from += letter
             single_to += plain
@@ -52,11 +78,15 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 
 
 def normalize_name(value: Column) -> Column:
-    """Accent-free lower-case name that keeps only ``a-z`` and ``0-9``."""
+    """Lower-case name in Latin letters without accents that keeps only ``a-z`` and ``0-9``.
+
+    Letters that become several are looked up one by one, and only in names that have any.
+    """
     single_from, single_to, longer = _folding()
     folded = F.translate(F.lower(value.cast("string")), single_from, single_to)
-    for letter, plain in longer.items():
-        folded = F.replace(folded, F.lit(letter), F.lit(plain))
+    table = F.create_map(*[F.lit(text) for pair in longer.items() for text in pair])
+    spelled = F.array_join(F.transform(F.split(folded, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    folded = F.when(folded.rlike(f"[{''.join(longer)}]"), spelled).otherwise(folded)
     return F.regexp_replace(folded, "[^a-z0-9]", "")
 
 

@@ -126,8 +126,15 @@ def detect_layout(heads: DataFrame) -> DataFrame:
     """Header row, column names and status of each source."""
     sampled = computed(heads, _sampled=F.slice("rows", 1, C.HEAD_ROWS))
     found = computed(sampled, header_line=header_line(F.col("_sampled"))).drop("_sampled")
-    header = F.coalesce(F.get("rows", F.col("header_line")), F.array().cast("array<string>"))
-    found = with_unique_names(found, header_names(header))
+    return _judged(with_unique_names(found, header_names(_header_cells())))
+
+
+def _header_cells() -> Column:
+    return F.coalesce(F.get("rows", F.col("header_line")), F.array().cast("array<string>"))
+
+
+def _judged(found: DataFrame) -> DataFrame:
+    """Sources with a status, from their rows, names and errors."""
     clash = F.size(F.array_distinct("names")) < F.size("names")
     status = (
         F.when(F.col("error") == C.HIDDEN_NAME, "skipped")
@@ -140,6 +147,21 @@ def detect_layout(heads: DataFrame) -> DataFrame:
     return computed(found, status=status, _detail=detail).withColumn("error", F.col("_detail")).drop("_detail")
 
 
+def widened(layout: DataFrame, widths: DataFrame) -> DataFrame:
+    """A layout whose sources have a column for every cell of their widest row.
+
+    ``widths`` holds (uri, sheet_no, width). The header row stays where it was found; columns beyond it are called by
+    their position, as unnamed ones always are.
+    """
+    found = layout.drop("names", "status").join(widths.select("uri", "sheet_no", F.col("width").alias("_widest")), ["uri", "sheet_no"], "left")
+    header = _header_cells()
+    beyond = F.greatest(F.coalesce("_widest", F.lit(0)) - F.size(header), F.lit(0))
+    found = computed(found, _header=F.concat(header, F.array_repeat(F.lit(None).cast("string"), beyond)))
+    # a source without rows has no header to widen
+    names = header_names(F.when(F.size("rows") > 0, F.col("_header")).otherwise(header))
+    return _judged(with_unique_names(found, names)).select(*layout.columns)
+
+
 def numbered_grid(grid: DataFrame, source: list[str], line: str = "line", rows: int = C.HEAD_ROWS) -> DataFrame:
     """First ``rows`` lines of each source; only those leave the map side."""
     order = W.partitionBy(*source).orderBy(line)

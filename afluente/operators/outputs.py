@@ -16,7 +16,6 @@ from afluente.functions.text import named, strip_controls
 from afluente.session import written
 
 _ROW_IN_TASK = (1 << 33) - 1
-_BUCKETED_TYPES = (T.IntegralType, T.FractionalType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def sanitize_text(df: DataFrame) -> DataFrame:
@@ -76,53 +75,25 @@ def row_index(df: DataFrame, order: Sequence[str], index: str = "row_index", par
 def _numbered(df: DataFrame, order: Sequence[str], parts: int | None) -> tuple[DataFrame, str, str]:
     """``df`` with the position of each row and the number of all, and the names of these two columns.
 
-    Rows are cut into ranges, each range numbers its own rows, and the sizes of
-    the ranges before it are added. Only those sizes, one per range, come
-    together in one task.
+    Rows are dealt out by ranges and sorted once, and saved with their range and their place in it; ranges are sampled
+    anew by each run, so they must be saved before they are counted. The sizes of the ranges come from that one column
+    of the saved rows, and only they, one number per range, come together; positions are added when the rows are read.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [named(o) for o in order]
     part, spot, before, index, total = (free_name(n, df.columns) for n in ("_part", "_place", "_before", "_index", "_total"))
-    if len(order) == 1 and isinstance(df.select(*keys).schema[0].dataType, _BUCKETED_TYPES):
-        ranged = _cut_at_quantiles(df, order[0], parts, part)
-        place = F.row_number().over(W.partitionBy(part).orderBy(*keys)) - 1
-    else:
-        # The ranges of a sort are sampled anew by each run, so they are saved before they are counted.
-        ranged = written(
-            df.repartitionByRange(parts, *keys)
-            .sortWithinPartitions(*keys)
-            .withColumn(part, F.spark_partition_id())
-            .withColumn(spot, F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_TASK)))
-        )
-        place = F.col(spot)
+    ranged = written(
+        df.repartitionByRange(parts, *keys)
+        .sortWithinPartitions(*keys)
+        .withColumn(part, F.spark_partition_id())
+        .withColumn(spot, F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_TASK)))
+    )
     offsets = _offsets(ranged.groupBy(part).agg(F.count(F.lit(1)).alias("rows")), part, before, total)
     # one row per range, so never more than ``parts``
-    placed = ranged.withColumn(spot, place).join(F.broadcast(offsets), part)
+    placed = ranged.join(F.broadcast(offsets), part)
     return placed.withColumn(index, F.col(before) + F.col(spot)), index, total
 
 
-def _cut_at_quantiles(df: DataFrame, column: str, parts: int, part: str) -> DataFrame:
-    """Rows with the range they fall into; once found, the bounds are fixed values."""
-    shares = [i / parts for i in range(1, parts)] or [0.5]
-    found = df.agg(F.percentile_approx(named(column), shares, 100 * parts).alias("bounds")).first()["bounds"]
-    bounds = sorted(set(found or []))
-    if not bounds:
-        return df.withColumn(part, F.lit(0))
-    kind = df.schema[column].dataType
-    # Two steps, a coarse one and a fine one, keep the comparisons per row near twice the square root.
-    step = max(1, round(len(bounds) ** 0.5))
-
-    def edges(values: list) -> Column:
-        return F.array(*[F.lit(v).cast(kind) for v in values])
-
-    def below(values: Column) -> Column:
-        return F.size(F.filter(values, lambda edge: edge < named(column)))
-
-    coarse = (F.greatest(below(edges(bounds[::step])), F.lit(1)) - 1) * step
-    fine = below(F.slice(edges(bounds), F.col(part) + 1, F.lit(step)))
-    return df.withColumn(part, coarse).withColumn(part, F.col(part) + fine)
-
-
 def chunk_rows(
     df: DataFrame,
     order: Sequence[str],

@@ -75,18 +75,32 @@ def table_fingerprints(df: DataFrame, path: str) -> DataFrame:
     )
 
 
-def source_fingerprints(rows: DataFrame, layout: DataFrame) -> DataFrame:
-    """One row per column of each source, from all ``rows`` (uri, sheet_no, cells) below the headers.
+def column_counts(rows: DataFrame) -> DataFrame:
+    """Cells, filled cells and kinds of each column of each source, saved; from ``rows`` (uri, sheet_no, cells).
 
     Cells are counted by source and column before they are shuffled, so a source that holds a large
-    share of all rows sends no more than a small one. A row without a cell in a column counts as null.
+    share of all rows sends no more than a small one.
     """
     cell = blank_to_null(F.col("cell"))
-    counts = written(
+    return written(
         rows.select("uri", "sheet_no", F.posexplode("cells").alias("column_no", "cell"))
         .groupBy("uri", "sheet_no", "column_no")
         .agg(F.count(F.lit(1)).alias("cells"), F.count(cell).alias("filled"), F.bit_or(_cell_kind(cell)).alias("kinds"))
     )
+
+
+def widest_rows(counts: DataFrame) -> DataFrame:
+    """(uri, sheet_no, width) from the counts of ``column_counts``."""
+    return counts.groupBy("uri", "sheet_no").agg((F.max("column_no") + 1).alias("width"))
+
+
+def source_fingerprints(rows: DataFrame, layout: DataFrame) -> DataFrame:
+    """One row per column of each source, from all ``rows`` (uri, sheet_no, cells) below the headers."""
+    return fingerprints_of(column_counts(rows), layout)
+
+
+def fingerprints_of(counts: DataFrame, layout: DataFrame) -> DataFrame:
+    """One row per column of each source, from the counts of its columns. A row without a cell in a column counts as null."""
     columns = layout.where(F.col("status") == "ok").select(
         "uri", "path", "file", "rank", "sheet", "sheet_no", F.posexplode("names").alias("column_no", "column")
     )

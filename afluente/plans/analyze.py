@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from afluente.operators.mapping import build_mapping, default_settings
-from afluente.operators.profile import group_headers, source_fingerprints
-from afluente.plans.layout import read_layout, rows_below_headers
+from afluente.operators.profile import column_counts, fingerprints_of, group_headers, widest_rows
+from afluente.plans.layout import read_layout, rows_below_headers, widen_layout
 from afluente.session import written
 from afluente.sources.delimited import SMALL_FILE_BYTES
 from afluente.sources.folder import Folder
@@ -35,12 +35,18 @@ def analyze_headers(
     small_file_bytes: int = SMALL_FILE_BYTES,
     sample_rows: int | None = None,
 ) -> Analysis:
-    """Headers, types and suggested groups. Types are those of all rows, or of ``sample_rows`` per source at most."""
-    layout = read_layout(folder, sheets, choices, small_file_bytes)
+    """Headers, types and suggested groups. Types are those of all rows, or of ``sample_rows`` per source at most.
+
+    Columns are always those of the widest row; where all rows are profiled, that pass finds them.
+    """
+    layout = read_layout(folder, sheets, choices, small_file_bytes, to_the_end=sample_rows is not None)
     if layout.where("status = 'ok'").isEmpty():
         rows = folder.spark.createDataFrame([], "uri string, sheet_no int, cells array<string>")
     else:
         rows = rows_below_headers(folder, layout, sheets, small_file_bytes, sample_rows)
-    fingerprints = written(source_fingerprints(rows, layout))
+    counts = column_counts(rows)
+    if sample_rows is None:
+        layout = widen_layout(layout, widest_rows(counts))
+    fingerprints = written(fingerprints_of(counts, layout))
     members = group_headers(fingerprints)
     return Analysis(layout, fingerprints, members, default_settings(members))

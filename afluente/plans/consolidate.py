@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -26,6 +26,7 @@ from afluente.operators.filters import CompiledFilter, FilterRule, IgnoredRule,
 from afluente.operators.mapping import map_columns
 from afluente.operators.outputs import chunk_rows, sanitize_text, write_csv, write_parquet
 from afluente.operators.summary import SummaryRule, summary_table
+from afluente.plans.publish import RunReport, publish
 from afluente.plans.layout import (
     ROW_ORDER,
     audit_sources,
@@ -66,7 +67,7 @@ class Outputs:
     accounting: DataFrame | None = None
     removed_ordered: DataFrame | None = None
     base: DataFrame | None = None
-    rebuild: Callable[[DataFrame], Outputs] | None = None
+    rebuild: Callable[..., Outputs] | None = None
 
     def removed_chunks(self, rows_per_chunk: int = C.ROWS_PER_SHEET) -> DataFrame | None:
         """The removed rows with the name of the sheet-sized block each belongs to."""
@@ -92,15 +93,23 @@ def _finish(
     summary: SummaryRule,
     audit: DataFrame | None,
     ignored: tuple[IgnoredRule, ...],
+    source: Mapping[str, str],
+    left: Observation | None = None,
 ) -> Outputs:
-    """Filter, remove duplicates and summarise what is left."""
-    rows = base.where(F.col(_KEPT)).drop(_KEPT, _WIDE) if _KEPT in base.columns else base
+    """Filter, remove duplicates and summarise what is left.
+
+    ``source`` tells which columns of the rows name a row of the audit. ``left`` takes the number of rows in the
+    result from whichever output is written first.
+    """
+    rows = base.where(F.col(_KEPT)).drop(_KEPT, _WIDE)
     visible = [named(c) for c in rows.columns if c not in order]
     kept, removed = rows, None
     if duplicates.key_columns:
         kept = keep_first(rows, duplicates.key_columns, order)
         if duplicates.generate_report:
             removed = removed_duplicates(rows, duplicates.key_columns, order)
+    if left is not None:
+        kept = kept.observe(left, F.count(F.lit(1)).alias("rows_left"))
     consolidated = kept.select(*visible)
     return Outputs(
         ordered=kept,
@@ -111,28 +120,27 @@ def _finish(
         summary_rule=summary,
         audit=audit,
         ignored_rules=ignored,
-        accounting=None if audit is None else _accounting(base, kept, audit),
+        accounting=_accounting(base, kept, audit, source),
         removed_ordered=removed,
         base=base,
-        rebuild=lambda saved: _finish(saved, order, duplicates, summary, audit, ignored),
+        rebuild=lambda saved, left=None: _finish(saved, order, duplicates, summary, audit, ignored, source, left),
     )
 
 
-def _accounting(base: DataFrame, kept: DataFrame, audit: DataFrame) -> DataFrame:
+def _accounting(base: DataFrame, kept: DataFrame, audit: DataFrame, source: Mapping[str, str]) -> DataFrame:
     """Rows of each source of the audit at each step; both counts are made before anything is shuffled."""
-    source = ["__path", "__sheet_no"]
     read = base.groupBy(*source).agg(
         F.count(F.lit(1)).alias("rows_read"),
         F.count_if(F.col(_WIDE)).alias("rows_wide"),
         F.count_if(F.col(_KEPT)).alias("rows_after_filter"),
     )
     left = kept.groupBy(*source).agg(F.count(F.lit(1)).alias("rows_left"))
-    counts = read.join(left, source, "left").withColumnsRenamed({"__path": "path", "__sheet_no": "sheet_no"})
+    counts = read.join(left, list(source), "left").withColumnsRenamed(dict(source))
 
     def count(name: str) -> Column:
         return F.coalesce(name, F.lit(0))
 
-    return audit.join(counts, ["path", "sheet_no"], "left").select(
+    return audit.join(counts, list(source.values()), "left").select(
         *[named(c) for c in audit.columns],
         count("rows_read").alias("rows_read"),
         count("rows_wide").alias("rows_wide"),
@@ -185,11 +193,12 @@ def consolidate(
     )
     types = {c.name: SPARK_TYPES.get(c.type, StringType()) for c in projection.columns}
     compiled = compile_filter(filters, types, {n: F.col(f) for n, f in flags.items()})
-    passes = F.lit(True) if compiled.predicate is None else F.coalesce(compiled.predicate, F.lit(False))
+    passes = F.lit(True) if compiled.predicate is None else compiled.predicate
     rows = rows.select(
         *[named(c.name) for c in kept_names], F.col("__origin").alias(origin), *ROW_ORDER, passes.alias(_KEPT), _WIDE
     )
-    return _finish(rows, ROW_ORDER, duplicates, summary, audit_sources(projection), compiled.ignored)
+    source = {"__path": "path", "__sheet_no": "sheet_no"}
+    return _finish(rows, ROW_ORDER, duplicates, summary, audit_sources(projection, origin), compiled.ignored, source)
 
 
 @dataclass(frozen=True)
@@ -222,10 +231,12 @@ def consolidate_tables(
     chosen = [m for m in mapping if m.include]
     labels = {m.final_name: m.type for m in chosen}
     order_columns = _order_columns(tables, order or {})
-    frames, ignored = [], []
+    frames, ignored, statuses = [], [], []
     for place, (name, table) in enumerate(tables.items()):
         targets = [(m.column, m.final_name) for m in chosen if m.table == name]
-        if mapping and not map_columns(table, targets):
+        matched = not mapping or bool(map_columns(table, targets))
+        statuses.append((name, name, place, "processed" if matched else "unmatched", _replaced(table, targets, mapping, origin)))
+        if not matched:
             continue
         projected = map_columns(table, targets) if mapping else [named(c) for c in table.columns]
         hidden = [F.lit(place).alias("__table")] + [
@@ -236,16 +247,22 @@ def consolidate_tables(
         frame = frame.select(*[_labelled(frame, c, labels) for c in frame.columns])
         compiled = _filter_for(frame, filters)
         ignored.extend(i for i in compiled.ignored if i not in ignored)
-        if compiled.predicate is not None:
-            frame = frame.where(compiled.predicate)
-        frames.append(add_origin(frame, name, column=origin))
+        passes = F.lit(True) if compiled.predicate is None else compiled.predicate
+        frames.append(add_origin(frame, name, column=origin).withColumn(_KEPT, passes).withColumn(_WIDE, F.lit(False)))
     if not frames:
         raise ValueError("no table column matches the mapping")
     row_order = ["__table"] + [f"__order_{i}" for i in range(len(order_columns))]
     rows = union_frames(harmonize(frames))
-    visible = column_last(rows.select(*[named(c) for c in rows.columns if c not in row_order]), origin).columns
-    rows = rows.select(*[named(c) for c in visible], *row_order)
-    return _finish(rows, row_order, duplicates, summary, None, tuple(ignored))
+    visible = column_last(rows.select(*[named(c) for c in rows.columns if c not in (*row_order, _KEPT, _WIDE)]), origin).columns
+    rows = rows.select(*[named(c) for c in visible], *row_order, _KEPT, _WIDE)
+    audit = rows.sparkSession.createDataFrame(statuses, "origin string, path string, sheet_no int, status string, detail string")
+    return _finish(rows, row_order, duplicates, summary, audit, tuple(ignored), {"__table": "sheet_no"})
+
+
+def _replaced(table: DataFrame, targets: Sequence[tuple[str, str]], mapping: Sequence[TableMapping], origin: str) -> str | None:
+    """What to say of a table whose own column of the origin's name gives way to the origin."""
+    names = [final for _, final in targets] if mapping else table.columns
+    return C.ORIGIN_REPLACED if origin in names else None
 
 
 def _order_columns(tables: Mapping[str, DataFrame], order: Mapping[str, Collection[str]]) -> list:
@@ -281,11 +298,19 @@ def _filter_for(frame: DataFrame, filters: Sequence[FilterRule]) -> CompiledFilt
 def write_outputs(
     outputs: Outputs, path: str, kind: str = "parquet", which: Collection[str] = ("consolidated", "removed", "summary", "accounting")
 ) -> dict[str, str]:
-    """Save the wanted tables below ``path`` as ``parquet``, ``csv`` or ``sheets``; returns where each one is.
+    """Save the wanted tables as ``write_run`` does; returns where each one is."""
+    return write_run(outputs, path, kind, which).places
+
+
+def write_run(
+    outputs: Outputs, path: str, kind: str = "parquet", which: Collection[str] = ("consolidated", "removed", "summary", "accounting")
+) -> RunReport:
+    """Save the wanted tables below ``path`` as ``parquet``, ``csv`` or ``sheets``, all of them or none.
 
     ``sheets`` cuts the consolidated and the removed rows into sheet-sized folders and strips what
     sheets cannot hold. The inputs are read once: their typed rows are saved in the shared folder,
-    feed every output, and are removed at the end.
+    feed every output, and are removed at the end. The totals of the report are counted while these
+    rows and the first output are written, without a job of their own. Outputs are published only when all are written.
     """
     if kind not in ("parquet", "csv", "sheets"):
         raise ValueError(f"unknown output kind: {kind}")
@@ -294,10 +319,29 @@ def write_outputs(
     wanted = [part for part in _RESULT_NAMES if part in which and getattr(outputs, part) is not None]
     spark = outputs.base.sparkSession
     saved = shared_folder(spark)
+    read, left = Observation(), Observation()
+    counted = outputs.base.observe(
+        read,
+        F.count(F.lit(1)).alias("rows_read"),
+        F.count_if(F.col(_WIDE)).alias("rows_wide"),
+        F.count_if(F.col(_KEPT)).alias("rows_after_filter"),
+    )
     try:
-        outputs.base.write.parquet(saved)
-        outputs = outputs.rebuild(spark.read.schema(outputs.base.schema).parquet(saved))
-        return {part: _write_part(outputs, part, f"{path.rstrip('/')}/{_RESULT_NAMES[part]}", kind) for part in wanted}
+        counted.write.parquet(saved)
+        outputs = outputs.rebuild(spark.read.schema(outputs.base.schema).parquet(saved), left)
+
+        def write(part: str, place: str) -> None:
+            _write_part(outputs, part, place, kind)
+
+        def totals() -> dict[str, int]:
+            # an output without rows of the result, as the removed ones alone, does not tell how many are left
+            after = {"rows_left": 0, **left.get} if any(part != "removed" for part in wanted) else {}
+            found = {"rows_read": 0, "rows_wide": 0, "rows_after_filter": 0, **read.get, **after}
+            if after:
+                found["rows_removed"] = found["rows_after_filter"] - found["rows_left"]
+            return found
+
+        return publish(spark, path, {part: _RESULT_NAMES[part] for part in wanted}, write, totals)
     finally:
         removed_path(spark, saved)
 
@@ -310,7 +354,7 @@ _RESULT_NAMES = {
 }
 
 
-def _write_part(outputs: Outputs, part: str, target: str, kind: str) -> str:
+def _write_part(outputs: Outputs, part: str, target: str, kind: str) -> None:
     table = getattr(outputs, part)
     if kind == "sheets" and part in ("consolidated", "removed"):
         cut = outputs.chunks() if part == "consolidated" else outputs.removed_chunks()
@@ -319,4 +363,3 @@ def _write_part(outputs: Outputs, part: str, target: str, kind: str) -> str:
         write_csv(table, target)
     else:
         write_parquet(sanitize_text(table) if kind == "sheets" else table, target)
-    return target

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from afluente import constants as C
 from afluente.functions.text import blank_to_null, plain_path
 from afluente.operators.combine import origin_text
-from afluente.operators.headers import detect_layout
+from afluente.operators.headers import detect_layout, widened
 from afluente.operators.mapping import final_columns, join_mapping
 from afluente.session import BROADCAST_LIMIT_BYTES, block_size, written
-from afluente.sources.delimited import SMALL_FILE_BYTES, delimited_grid, delimited_heads
+from afluente.sources.delimited import SMALL_FILE_BYTES, delimited_grid, delimited_heads, delimited_widths
 from afluente.sources.folder import Folder, extension_rank, file_name, passed_over
+from afluente.sources.sheetgrid import sheet_grid, sheet_heads, sheet_tables
 from afluente.sources.sheets import SheetRule, apply_sheet_rule, reconcile_sheets
 from afluente.sources.workbooks import workbook_files, workbook_grid, workbook_heads
 
@@ -28,17 +29,33 @@ def source_heads(
     sheets: SheetRule = SheetRule(),
     small_file_bytes: int = SMALL_FILE_BYTES,
     head_rows: int = C.HEAD_ROWS,
+    first_rows_only: bool = False,
 ) -> DataFrame:
-    """First rows of every file and wanted sheet of the folder; files that no reader opens have none."""
-    books = workbook_files(folder)
-    found = [
-        delimited_heads(folder, small_file_bytes, head_rows),
-        None if books is None else workbook_heads(books, *_sheet_names(sheets), head_rows),
-        _unread_heads(folder),
-    ]
+    """First rows of every file and wanted sheet of the folder; files that no reader opens have none.
+
+    With ``first_rows_only`` sheets are not read beyond them; their width and faults are then those of the first rows.
+    """
+    books = _book_heads(folder, sheets, head_rows, first_rows_only)
+    found = [delimited_heads(folder, small_file_bytes, head_rows), books, _unread_heads(folder)]
     return _all_of(folder, found)
 
 
+def _book_heads(folder: Folder, sheets: SheetRule, head_rows: int, first_rows_only: bool) -> DataFrame | None:
+    tables = sheet_tables(folder, sheets, head_rows if first_rows_only else None)
+    if tables is not None:
+        return sheet_heads(tables, head_rows)
+    books = workbook_files(folder)
+    return None if books is None else workbook_heads(books, *_sheet_names(sheets), head_rows)
+
+
+def _book_grid(folder: Folder, sheets: SheetRule) -> DataFrame | None:
+    tables = sheet_tables(folder, sheets)
+    if tables is not None:
+        return sheet_grid(tables)
+    books = workbook_files(folder)
+    return None if books is None else workbook_grid(books, *_sheet_names(sheets))
+
+
 def _unread_heads(folder: Folder) -> DataFrame | None:
     """Heads without rows for empty files and hidden names, so that the audit knows them."""
     odd = passed_over(folder)
@@ -69,12 +86,7 @@ def source_grid(
     folder: Folder, sheets: SheetRule, small_file_bytes: int = SMALL_FILE_BYTES, bytes_per_block: int | None = None
 ) -> DataFrame:
     """All rows of every file and wanted sheet of the folder."""
-    books = workbook_files(folder)
-    found = [
-        delimited_grid(folder, small_file_bytes, bytes_per_block),
-        None if books is None else workbook_grid(books, *_sheet_names(sheets)),
-    ]
-    return _all_of(folder, found)
+    return _all_of(folder, [delimited_grid(folder, small_file_bytes, bytes_per_block), _book_grid(folder, sheets)])
 
 
 def _all_of(folder: Folder, found: list[DataFrame | None]) -> DataFrame:
@@ -89,14 +101,29 @@ def read_layout(
     sheets: SheetRule = SheetRule(),
     choices: DataFrame | None = None,
     small_file_bytes: int = SMALL_FILE_BYTES,
+    to_the_end: bool = True,
 ) -> DataFrame:
-    """Header row, column names, status and sample of each source, saved in the shared folder."""
+    """Header row, column names, status and sample of each source, saved in the shared folder.
+
+    Each source has as many columns as its widest row. For text files that takes a scan of all lines; without
+    ``to_the_end`` their width is that of the first lines.
+    """
     heads = source_heads(folder, sheets, small_file_bytes)
     if choices is not None:
         heads = reconcile_sheets(heads, choices, sheets)
     else:
         heads = apply_sheet_rule(heads, sheets)
-    return written(detect_layout(heads))
+    layout = written(detect_layout(heads))
+    if not to_the_end:
+        return layout
+    total = layout.where(F.col("status") == "ok").agg(F.sum("length")).first()[0] or 0
+    widths = delimited_widths(folder, small_file_bytes, bytes_per_block(folder, total))
+    return layout if widths is None else widen_layout(layout, widths)
+
+
+def widen_layout(layout: DataFrame, widths: DataFrame) -> DataFrame:
+    """The layout, saved again, with all columns of the widest rows in ``widths`` (uri, sheet_no, width)."""
+    return written(widened(layout, widths))
 
 
 @dataclass(frozen=True)
@@ -249,7 +276,9 @@ def present_columns(projection: Projection) -> dict[str, Column]:
     return {c.name: F.col(position_name(i, 0)).isNotNull() for i, c in enumerate(projection.columns)}
 
 
-def audit_sources(projection: Projection) -> DataFrame:
-    """What became of each source: processed, empty, skipped, unmatched or error."""
+def audit_sources(projection: Projection, origin: str = C.ORIGIN) -> DataFrame:
+    """What became of each source: processed, empty, skipped, unmatched or error; and whether its own origin column gave way."""
     status = F.when(F.col("status") != "ok", F.col("status")).when(F.col("entries").isNull(), "unmatched").otherwise("processed")
-    return projection.sources.select("origin", "path", "sheet_no", status.alias("status"), F.col("error").alias("detail"))
+    replaced = F.exists("entries", lambda e: e["final_name"] == origin)
+    detail = F.coalesce("error", F.when(replaced, F.lit(C.ORIGIN_REPLACED)))
+    return projection.sources.select("origin", "path", "sheet_no", status.alias("status"), detail.alias("detail"))

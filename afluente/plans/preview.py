@@ -9,7 +9,8 @@ from afluente import constants as C
 from afluente.operators.headers import detect_layout, positional_rename
 from afluente.plans.layout import source_heads
 from afluente.sources.delimited import SMALL_FILE_BYTES
-from afluente.sources.folder import Folder
+from afluente.sources.folder import Folder, narrowed
+from afluente.sources.sheets import SheetRule
 
 
 def preview_rows(layout: DataFrame, rows: int = C.PREVIEW_ROWS) -> DataFrame:
@@ -23,9 +24,14 @@ def preview(
 ) -> DataFrame | None:
     """The first ``rows`` rows of one source under its column names; None for a source without any.
 
-    The header is among the first lines that a layout samples, so that many lines more are taken.
+    Only that file is listed and opened, and of a workbook only that sheet, up to the last row shown. The header is among
+    the first lines that a layout samples, so that many lines more are taken.
     """
-    heads = source_heads(folder, small_file_bytes=small_file_bytes, head_rows=C.HEAD_ROWS + rows)
+    sheets = SheetRule() if sheet is None else SheetRule("include", {sheet})
+    try:
+        heads = source_heads(narrowed(folder, [path]), sheets, small_file_bytes, C.HEAD_ROWS + rows, first_rows_only=True)
+    except FileNotFoundError:
+        return None
     source = detect_layout(heads.where((F.col("path") == path) & F.col("sheet").eqNullSafe(F.lit(sheet))))
     found = source.where(F.col("status") == "ok").select("names").first()
     if found is None:

@@ -87,6 +87,18 @@ def delimited_grid(
     )
 
 
+def delimited_widths(
+    folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES, bytes_per_block: int | None = None
+) -> DataFrame | None:
+    """(uri, sheet_no, width) of all delimited files: the cells of the widest line. Lines are scanned, not cut."""
+    lines = delimited_lines(folder, small_file_bytes, bytes_per_block)
+    if lines is None:
+        return None
+    without = F.replace("value", F.lit(folder.separator), F.lit(""))
+    separators = (F.length("value") - F.length(without)) / F.lit(len(folder.separator))
+    return lines.groupBy("uri").agg((F.max(separators) + 1).cast("int").alias("width")).withColumn("sheet_no", F.lit(0))
+
+
 def _first_lines(head_rows: int):
     """Reader of the first lines of the single file in a task; the rest is never pulled from the scan."""
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections.abc import Iterable
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
@@ -14,11 +16,17 @@ from afluente.session import case_keeping
 
 @dataclass(frozen=True)
 class Folder:
-    """Where the inputs are (a folder, or a glob of folders) and how to split their lines."""
+    """Where the inputs are (a folder, or a glob of folders) and how to split their lines.
+
+    ``only`` narrows it to the files listed under these paths. ``saved`` keeps what has been worked out of its files, so that all steps of a run
+    see the same; open the folder again to see later changes.
+    """
 
     spark: SparkSession
     location: str
     separator: str = ";"
+    only: tuple[str, ...] | None = None
+    saved: dict = field(default_factory=dict, compare=False, repr=False)
 
 
 def open_folder(spark: SparkSession, location: str, separator: str = ";") -> Folder:
@@ -29,9 +37,21 @@ def open_folder(spark: SparkSession, location: str, separator: str = ";") -> Fol
 
 def globs(folder: Folder, extensions: tuple[str, ...]) -> list[str]:
     """One pattern per extension, in any letter case, for files directly in the folder."""
+    if folder.only is not None:
+        return [re.sub(r"([\\\[\]{}*?^,])", r"\\\1", path) for path in folder.only if path.lower().endswith(extensions)]
     return [f"{folder.location}/*{any_case_glob(e)}" for e in extensions]
 
 
+def narrowed(folder: Folder, paths: Iterable[str]) -> Folder:
+    """The folder with some of its files alone, as listed under ``paths``."""
+    return replace(folder, only=tuple(paths), saved={})
+
+
+def location_of(folder: Folder) -> str:
+    """The deepest folder that holds all inputs: the location up to its first pattern."""
+    return re.split(r"/[^/]*[*?\[{]", folder.location)[0] or "/"
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -67,7 +87,9 @@ def load_matching(
 ) -> DataFrame | None:
     """``columns`` of all files with one of the extensions; None without any file."""
     found = None
-    for pattern in globs(folder, extensions):
+    patterns = globs(folder, extensions)
+    # single files are known to exist, so one listing does for all
+    for pattern in [patterns] if folder.only is not None and patterns else patterns:
         try:
             part = reader.load(pattern).select(*columns)
         except AnalysisException as error:

@@ -34,7 +34,7 @@ _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationship
 _DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
 
 
-def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
+def sheet_parts(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     """(name, part) of each sheet, in tab order."""
     links = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
     parts = {link.get("Id"): posixpath.normpath(posixpath.join("/xl", link.get("Target")))[1:] for link in links}
@@ -100,7 +100,7 @@ def _number_text(text: str, as_date: bool, base: datetime) -> str:
     return str(int(number)) if number == int(number) and abs(number) < 2**63 else repr(number)
 
 
-def _rows(book: zipfile.ZipFile, part: str, strings: list[str], dates: set[int], base: datetime) -> Iterator[list]:
+def sheet_rows(book: zipfile.ZipFile, part: str, strings: list[str], dates: set[int], base: datetime) -> Iterator[list]:
     """Non-blank rows of a sheet as lists of text or None."""
     with book.open(part) as sheet:
         for row in _elements(sheet, "sheetData", "row"):
@@ -127,15 +127,19 @@ def _rows(book: zipfile.ZipFile, part: str, strings: list[str], dates: set[int],
                 yield cells
 
 
+def common_parts(book: zipfile.ZipFile) -> tuple[list[str], set[int], datetime]:
+    """What all sheets of a book need: its shared strings, the styles of dates and the day that dates count from."""
+    properties = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{_XML}workbookPr")
+    late = properties is not None and properties.get("date1904") in ("1", "true")
+    return _shared_strings(book), _date_styles(book), datetime(1904, 1, 1) if late else datetime(1899, 12, 30)
+
+
 def _open_rows(content: bytes) -> Iterator[tuple[int, str, Iterator[list]]]:
     """(number, name, rows) of each sheet of one workbook."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        strings, dates = _shared_strings(book), _date_styles(book)
-        properties = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{_XML}workbookPr")
-        late = properties is not None and properties.get("date1904") in ("1", "true")
-        base = datetime(1904, 1, 1) if late else datetime(1899, 12, 30)
-        for number, (name, part) in enumerate(_sheets(book)):
-            yield number, name, _rows(book, part, strings, dates, base)
+        common = common_parts(book)
+        for number, (name, part) in enumerate(sheet_parts(book)):
+            yield number, name, sheet_rows(book, part, *common)
 
 
 def _workbooks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
@@ -163,7 +167,7 @@ def _list_sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for uri, length, content in _workbooks(batches):
         try:
             with zipfile.ZipFile(io.BytesIO(content)) as book:
-                found = [(uri, length, name, number, None) for number, (name, _) in enumerate(_sheets(book))]
+                found = [(uri, length, name, number, None) for number, (name, _) in enumerate(sheet_parts(book))]
         except Exception as error:  # an unreadable workbook is reported, and the run goes on
             found = [(uri, length, None, 0, f"{type(error).__name__}: {error}")]
         if found:
