@@ -67,7 +67,7 @@ class Outputs:
     accounting: DataFrame | None = None
     removed_ordered: DataFrame | None = None
     base: DataFrame | None = None
-    rebuild: Callable[..., Outputs] | None = None
+    rebuild: Callable[[DataFrame], Outputs] | None = None
 
     def removed_chunks(self, rows_per_chunk: int = C.ROWS_PER_SHEET) -> DataFrame | None:
         """The removed rows with the name of the sheet-sized block each belongs to."""
@@ -94,12 +94,10 @@ def _finish(
     audit: DataFrame | None,
     ignored: tuple[IgnoredRule, ...],
     source: Mapping[str, str],
-    left: Observation | None = None,
 ) -> Outputs:
     """Filter, remove duplicates and summarise what is left.
 
-    ``source`` tells which columns of the rows name a row of the audit. ``left`` takes the number of rows in the
-    result from whichever output is written first.
+    ``source`` tells which columns of the rows name a row of the audit.
     """
     rows = base.where(F.col(_KEPT)).drop(_KEPT, _WIDE)
     visible = [named(c) for c in rows.columns if c not in order]
@@ -108,8 +106,6 @@ def _finish(
         kept = keep_first(rows, duplicates.key_columns, order)
         if duplicates.generate_report:
             removed = removed_duplicates(rows, duplicates.key_columns, order)
-    if left is not None:
-        kept = kept.observe(left, F.count(F.lit(1)).alias("rows_left"))
     consolidated = kept.select(*visible)
     return Outputs(
         ordered=kept,
@@ -123,7 +119,7 @@ def _finish(
         accounting=_accounting(base, kept, audit, source),
         removed_ordered=removed,
         base=base,
-        rebuild=lambda saved, left=None: _finish(saved, order, duplicates, summary, audit, ignored, source, left),
+        rebuild=lambda saved: _finish(saved, order, duplicates, summary, audit, ignored, source),
     )
 
 
@@ -328,18 +324,16 @@ def write_run(
     )
     try:
         counted.write.parquet(saved)
-        outputs = outputs.rebuild(spark.read.schema(outputs.base.schema).parquet(saved), left)
+        outputs = outputs.rebuild(spark.read.schema(outputs.base.schema).parquet(saved))
 
         def write(part: str, place: str) -> None:
-            _write_part(outputs, part, place, kind)
+            _write_part(outputs, part, place, kind, left if part == "consolidated" else None)
 
         def totals() -> dict[str, int]:
-            # an output without rows of the result, as the removed ones alone, does not tell how many are left
-            after = {"rows_left": 0, **left.get} if any(part != "removed" for part in wanted) else {}
-            found = {"rows_read": 0, "rows_wide": 0, "rows_after_filter": 0, **read.get, **after}
-            if after:
-                found["rows_removed"] = found["rows_after_filter"] - found["rows_left"]
-            return found
+            found = {"rows_read": 0, "rows_wide": 0, "rows_after_filter": 0, "rows_left": 0, **read.get}
+            # only the result tells how many rows are left; where it is not wanted, the saved rows are counted
+            found |= left.get if "consolidated" in wanted else {"rows_left": outputs.ordered.count()}
+            return {**found, "rows_removed": found["rows_after_filter"] - found["rows_left"]}
 
         return publish(spark, path, {part: _RESULT_NAMES[part] for part in wanted}, write, totals)
     finally:
@@ -354,12 +348,20 @@ _RESULT_NAMES = {
 }
 
 
-def _write_part(outputs: Outputs, part: str, target: str, kind: str) -> None:
-    table = getattr(outputs, part)
-    if kind == "sheets" and part in ("consolidated", "removed"):
-        cut = outputs.chunks() if part == "consolidated" else outputs.removed_chunks()
-        sanitize_text(cut).write.partitionBy("chunk").option("compression", "zstd").parquet(target)
+def _write_part(outputs: Outputs, part: str, target: str, kind: str, counted: Observation | None = None) -> None:
+    """Write one output; ``counted`` takes the number of its rows as they are written."""
+    in_chunks = kind == "sheets" and part in ("consolidated", "removed")
+    if in_chunks:
+        table = outputs.chunks() if part == "consolidated" else outputs.removed_chunks()
+    else:
+        table = getattr(outputs, part)
+    if kind == "sheets":
+        table = sanitize_text(table)
+    if counted is not None:  # last, as what lies below an exchange may be read more than once
+        table = table.observe(counted, F.count(F.lit(1)).alias("rows_left"))
+    if in_chunks:
+        table.write.partitionBy("chunk").option("compression", "zstd").parquet(target)
     elif kind == "csv":
         write_csv(table, target)
     else:
-        write_parquet(sanitize_text(table) if kind == "sheets" else table, target)
+        write_parquet(table, target)

@@ -95,7 +95,9 @@ class SheetReader(DataSourceReader):
             held += size
         return found
 
-    def read(self, partition: Sheets) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Sheets | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark asks for where there are no partitions
+            return
         pending: list[tuple] = []
         for row in self._rows(partition):
             pending.append(row)
@@ -148,10 +150,16 @@ def sheet_inventory(folder: Folder) -> DataFrame | None:
     return None if found is None else found.select("uri", "length").mapInArrow(_list_parts, INVENTORY_SCHEMA)
 
 
+def _registered(spark: SparkSession) -> str:
+    """The name of the source in this session. Names are checked against whichever session is active, so each has its own."""
+    own = f"{FORMAT}_{spark._jsparkSession.sessionUUID().replace('-', '')}"
+    spark.dataSource.register(type("SheetSource", (SheetSource,), {"name": classmethod(lambda cls: own)}))
+    return own
+
+
 def read_sheets(spark: SparkSession, inventory: str, rows: int | None = None, share: int = SHARE_BYTES) -> DataFrame:
     """(uri, sheet_no, line, cells, error) of the sheets in a saved inventory; of each the first ``rows``, if given."""
-    spark.dataSource.register(SheetSource)
-    reader = spark.read.format(FORMAT).option("inventory", inventory).option("share", str(share))
+    reader = spark.read.format(_registered(spark)).option("inventory", inventory).option("share", str(share))
     reader = reader.option("cores", str(spark.sparkContext.defaultParallelism))
     return (reader if rows is None else reader.option("rows", str(rows))).load()
 

@@ -438,8 +438,8 @@ def test_outputs_read_the_sources_once(spark, folder_of, kind):
     seen = []
     rebuild = out.rebuild
 
-    def watched(saved, left):
-        again = rebuild(saved, left)
+    def watched(saved):
+        again = rebuild(saved)
         seen.extend([again.consolidated, again.removed, again.summary])
         plans = [d._jdf.queryExecution().executedPlan().toString() for d in seen]
         # what comes from the sources is read as binaryFile or text, what was saved as parquet

@@ -224,3 +224,34 @@ def _(t):
 )
 def _(t):
     return duplicate_counts(_orders(t), _KEYS)
+
+
+_MONEY_SQL = """SELECT *, row_number() OVER (PARTITION BY fica, pais ORDER BY sheet_no, chave) AS vez FROM (
+    SELECT 'customer' AS origin, 0 AS sheet_no, c_custkey AS chave, c_nationkey AS pais, c_acctbal > 0 AS fica FROM customer
+    UNION ALL SELECT 'supplier', 2, s_suppkey, s_nationkey, s_acctbal > 0 FROM supplier)"""
+
+
+@query(
+    "table_accounting",
+    f"""SELECT origin, 'processed' AS status, CASE sheet_no WHEN 2 THEN 'own origin column replaced' END AS detail, count(*) AS rows_read,
+        0 AS rows_wide, count(*) FILTER (WHERE fica) AS rows_after_filter, count(*) FILTER (WHERE fica AND vez > 1) AS rows_removed,
+        count(*) FILTER (WHERE fica AND vez = 1) AS rows_left FROM ({_MONEY_SQL}) GROUP BY origin, sheet_no
+        UNION ALL SELECT 'orders', 'unmatched', NULL, 0, 0, 0, 0, 0""",
+)
+def _(t):
+    """Rows of each table at each step of a run over tables; one table matches no column, one has an origin of its own."""
+    mapping = [
+        TableMapping("customer", "c_nationkey", "pais"),
+        TableMapping("customer", "c_acctbal", "saldo", C.TYPE_FLOAT),
+        TableMapping("supplier", "s_nationkey", "pais"),
+        TableMapping("supplier", "s_acctbal", "saldo", C.TYPE_FLOAT),
+        TableMapping("supplier", "s_name", C.ORIGIN),
+    ]
+    out = consolidate_tables(
+        {"customer": t.customer, "orders": t.orders, "supplier": t.supplier},
+        mapping,
+        [FilterRule("saldo", C.GREATER, "0")],
+        DuplicateRule(("pais",)),
+        order={"customer": ["c_custkey"], "orders": ["o_orderkey"], "supplier": ["s_suppkey"]},
+    )
+    return out.accounting.drop("path", "sheet_no")

@@ -9,11 +9,24 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from afluente import Aggregation, DuplicateRule, FilterRule, SummaryRule, analyze_headers, consolidate, open_folder
+from afluente import (
+    Aggregation,
+    DuplicateRule,
+    FilterRule,
+    SummaryRule,
+    analyze_headers,
+    consolidate,
+    open_folder,
+    preview,
+    write_run,
+)
 from afluente import constants as C
 from afluente.operators.mapping import build_mapping, override_mapping
 from afluente.sources.delimited import delimited_grid
 from afluente.sources.folder import list_sources, route
+from afluente.session import shared_folder
+from afluente.sources import stores
+from afluente.sources.sheetgrid import sheet_grid, sheet_heads, sheet_tables
 from afluente.sources.sheets import SheetRule, apply_sheet_rule, distinct_sheets, reconcile_sheets
 from afluente.sources.workbooks import list_sheets, workbook_grid, workbook_heads
 from workloads import workbook_bytes
@@ -187,6 +200,19 @@ def _(t):
     )
 
 
+@query(
+    "run_totals",
+    f"""SELECT count(*) AS rows_read, 0 AS rows_wide, count(*) FILTER (WHERE fica) AS rows_after_filter,
+        count(*) FILTER (WHERE fica AND vez = 1) AS rows_removed, count(*) FILTER (WHERE fica AND vez = 0) AS rows_left
+        FROM (SELECT *, saldo > 0 AND coalesce(segmento <> 'BUILDING', true) AS fica FROM ({_BEFORE_SQL}))""",
+)
+def _(t):
+    """Totals counted while the outputs are written."""
+    totals = write_run(_run(t), shared_folder(t.spark), which=("consolidated",)).totals
+    names = ("rows_read", "rows_wide", "rows_after_filter", "rows_removed", "rows_left")
+    return t.spark.createDataFrame([tuple(totals[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 def _kind(df: DataFrame) -> DataFrame:
     """Spark makes up the file names, so only their extension is compared."""
     return df.withColumn("origem", F.regexp_extract(C.ORIGIN, "([.][a-z]+)$", 1)).drop(C.ORIGIN)
@@ -303,6 +329,109 @@ def _(t):
     )
 
 
+def _write_books(t, place: str) -> None:
+    """The workbooks as files, every fifth with a fault, each written by the task that made it."""
+
+    def save(batches):
+        for books in batches:
+            faulty = books["uri"].str.extract(r"([0-9]+)[.]xlsx")[0].astype(int) % _FAULTY == 0
+            books = pd.concat([books[~faulty], _damaged(books[faulty])])
+            for uri, content in zip(books["uri"], books["content"]):
+                store, folder = stores.store_of(place)
+                store.create_dir(folder, recursive=True)
+                with store.open_output_stream(f"{folder}/{uri.rpartition('/')[2]}") as out:
+                    out.write(content)
+            yield books[["uri"]]
+
+    _books(t).mapInPandas(save, "uri string").write.format("noop").mode("overwrite").save()
+
+
+def _book_folder(t):
+    return open_folder(t.spark, t.written("livros", lambda p: _write_books(t, p)))
+
+
+@query(
+    "sheet_faults",
+    f"""SELECT livro, sheet, sheet_no, livro % {_FAULTY} = 0 AND sheet_no = 0 AS falha,
+        CASE WHEN livro % {_FAULTY} = 0 AND sheet_no = 0 THEN 0 ELSE 1 + (SELECT count(*) FROM customer
+        WHERE c_custkey // {_CUSTOMERS_PER_BOOK} = livro AND c_mktsegment = sheet) END AS linhas FROM ({_SHEETS_SQL})""",
+)
+def _(t):
+    tables = sheet_tables(_book_folder(t))
+    rows = sheet_grid(tables).groupBy("uri", "sheet_no").agg(F.count(F.lit(1)).alias("linhas"))
+    found = sheet_heads(tables).join(rows, ["uri", "sheet_no"], "left")
+    fault = F.col("error").isNotNull()
+    return found.select(_book_no(), "sheet", "sheet_no", fault.alias("falha"), F.when(fault, F.lit(0)).otherwise(F.col("linhas")).alias("linhas"))
+
+
+@query(
+    "consolidate_sheets",
+    f"""SELECT c_custkey // {_CUSTOMERS_PER_BOOK} AS livro, s.sheet, c_custkey AS codigo, c_name AS nome, c_acctbal AS saldo
+        FROM customer JOIN ({_SHEETS_SQL}) s ON s.livro = c_custkey // {_CUSTOMERS_PER_BOOK} AND s.sheet = c_mktsegment
+        WHERE NOT (s.livro % {_FAULTY} = 0 AND s.sheet_no = 0) AND s.sheet <> 'BUILDING'""",
+)
+def _(t):
+    out = consolidate(_book_folder(t), sheets=SheetRule("exclude", {"BUILDING"})).consolidated
+    return out.select(
+        _book_no(C.ORIGIN),
+        F.regexp_extract(C.ORIGIN, r"\((.*)\)$", 1).alias("sheet"),
+        F.col("codigo").cast("bigint").alias("codigo"),
+        "nome",
+        F.col("saldo").cast("double").alias("saldo"),
+    )
+
+
+# One customer in so many has a field more than its header names.
+_LATE = 29
+
+
+def _write_late(t, place: str) -> None:
+    """One file per nation with its customers in order; a few lines have a third field that no header names."""
+    nations = t.customer.select(F.col("c_nationkey").alias("n")).distinct()
+    header = nations.select("n", F.lit(-1).cast("bigint").alias("at"), F.lit("Chave;Nome").alias("value"))
+    late = F.when(F.col("c_custkey") % _LATE == 0, F.col("c_acctbal").cast("string"))
+    body = t.customer.select("c_nationkey", "c_custkey", F.concat_ws(";", "c_custkey", "c_name", late))
+    lines = header.unionAll(body).repartition("n").sortWithinPartitions("n", "at")
+    lines.select("value", "n").write.partitionBy("n").text(place)
+
+
+def _late_folder(t):
+    return open_folder(t.spark, f"{t.written('tardias', lambda p: _write_late(t, p))}/n=*")
+
+
+_LATE_SQL = f"SELECT c_nationkey AS n, c_custkey AS chave, c_name AS nome, CASE WHEN c_custkey % {_LATE} = 0 THEN c_acctbal END AS column_2 FROM customer"
+
+
+@query("late_columns", f"SELECT chave, nome, column_2 FROM ({_LATE_SQL})")
+def _(t):
+    """Fields beyond the header that first occur below the sampled lines; the layout comes from the run itself."""
+    return consolidate(_late_folder(t)).consolidated.select(
+        F.col("Chave").cast("bigint").alias("chave"), F.col("Nome").alias("nome"), F.col("column_2").cast("double").alias("column_2")
+    )
+
+
+@query("late_columns_profile", f"SELECT n, CASE WHEN count(column_2) > 0 THEN 3 ELSE 2 END AS colunas, count(*) - count(column_2) AS vazias FROM ({_LATE_SQL}) GROUP BY n")
+def _(t):
+    """Columns that the profile of the whole files adds to their layout."""
+    found = analyze_headers(_late_folder(t))
+    lines = consolidate(_late_folder(t), layout=found.layout).accounting.select("path", "rows_read")
+    each = found.fingerprints.join(lines, "path")
+    late = F.round(F.col("null_ratio") * F.col("rows_read")).cast("bigint")
+    return each.groupBy("path").agg(
+        F.count(F.lit(1)).alias("colunas"),
+        F.coalesce(F.max(F.when(F.col("column") == "column_2", late)), F.max("rows_read")).alias("vazias"),
+    ).select(_nation(), "colunas", "vazias")
+
+
+@query("preview_source", f"SELECT chave, nome FROM ({_LATE_SQL}) WHERE n = (SELECT min(c_nationkey) FROM customer) ORDER BY chave LIMIT 30")
+def _(t):
+    """The first rows of one file of the folder, in its order."""
+    folder = _late_folder(t)
+    nation = t.customer.agg(F.min("c_nationkey")).first()[0]
+    path = list_sources(folder).where(_nation() == nation).first()["path"]
+    return preview(folder, path, rows=30).select(F.col("Chave").cast("bigint").alias("chave"), F.col("Nome").alias("nome"))
+
+
 def _inventory(t) -> DataFrame:
     """Sheets as found in many workbooks: a user is a workbook, a kind of event one of its sheets."""
     return t.events.select(F.concat(F.lit("u"), "user_id").alias("path"), F.col("event_type").alias("sheet")).distinct()
