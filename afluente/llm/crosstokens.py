@@ -16,8 +16,8 @@ from afluente.llm.tokenfiles import ByteEncoder
 from afluente.llm.words import ChunkIds
 from afluente.session import written
 
-SLICE = 2 << 20  # text bytes aligned at once, one text at least
-WORDS = 150_000  # words whose ids a worker keeps
+SLICE = 1 << 20  # text bytes aligned at once, one text at least
+WORDS = 300_000  # words whose ids a worker keeps
 # Pairs of ids that go to every task of the join: those in the most documents. A pair beyond them is in few documents.
 BROADCAST_PAIRS = 2_000_000
 _ID_BITS = 22
@@ -82,6 +82,23 @@ def piece_tokens(library) -> TokenBytes:
     return TokenBytes(tokens)
 
 
+def _stretch(a: list[int], b: list[int], wide_a: bytes, wide_b: bytes, i: int, j: int, limit: int) -> int:
+    """How many ends from ``i`` and ``j`` on are equal, at most ``limit``; the first two are known to be."""
+    length, step = 2, 2
+    while length < limit:
+        step = min(step, limit - length)
+        x, y = i + length, j + length
+        if step == 1:
+            if a[x] != b[y]:
+                break
+            length, step = length + 1, 2
+        elif wide_a[8 * x : 8 * (x + step)] == wide_b[8 * y : 8 * (y + step)]:
+            length, step = length + step, 2 * step
+        else:
+            step //= 2
+    return length
+
+
 def align(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Groups and links of two rising lists of token ends with the same last end.
 
@@ -96,22 +113,15 @@ def align(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     events: list[int] = []  # starts in both lists and the length of each run; a length of 0 marks an irregular group
     odd_a: list[int] = []
     odd_b: list[int] = []
+    a.append(-1)  # unequal ends behind the last ones
+    b.append(-2)
     i = j = 0
     while i < n:
-        length, step = 0, 1
-        limit = min(n - i, m - j)
-        while length < limit:
-            step = min(step, limit - length)
-            if step == 1:
-                if a[i + length] != b[j + length]:
-                    break
-                length, step = length + 1, 2
-                continue
-            x, y = i + length, j + length
-            if wide_a[8 * x : 8 * (x + step)] == wide_b[8 * y : 8 * (y + step)]:
-                length, step = length + step, 2 * step
-            else:
-                step //= 2
+        length = 0
+        if a[i] == b[j]:
+            length = 1
+            if a[i + 1] == b[j + 1]:
+                length = _stretch(a, b, wide_a, wide_b, i, j, min(n - i, m - j))
         if length:
             events += (i, j, length)
             i, j = i + length, j + length
@@ -225,7 +235,7 @@ def align_documents(documents: DataFrame, byte_vocabulary: str, piece_vocabulary
     ``doc_id``, ``n_a``, ``n_b``, ``n_groups``, ``n_links`` (token pairs whose bytes overlap), ``groups_sha256`` (of the
     groups written out), and the distinct linked ids as ``pairs`` (first id shifted left by 22 bits, plus the second) with
     ``times``. Null and empty texts, and texts that a vocabulary cannot give back byte by byte, have no tokens. Texts of
-    any length are taken whole, about 2 MB at once, one text at least. Other columns than ``doc_id`` and ``text`` are
+    any length are taken whole, about 1 MB at once, one text at least. Other columns than ``doc_id`` and ``text`` are
     ignored. The vocabularies must be readable on the executors.
     """
     small_batches(documents.sparkSession)
