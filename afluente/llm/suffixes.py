@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from afluente.llm.common import fresh_worker, slices, small_batches, spans, text_bytes
-from afluente.session import session_like, shared_folder, written
+from afluente.session import removed_path, session_like, shared_folder, written
 
 LENGTH = 50
 GRAM = 20  # bytes of the anchor that decides where a string is compared, a multiple of four
 BLOCK_BYTES = 3 << 20  # text bytes of a map-side block
 BUCKET_BYTES = 8 << 20  # bytes of anchor hashes or of segments that a bucket should have
 GROUP_BYTES = 1 << 20  # segment bytes that are sorted at once; about 120 times as much memory is used
-ANCHORS = 0.07  # anchors per text byte, about 2 / (LENGTH - GRAM + 2)
+TARGET_BYTES = 32 << 20  # text bytes of the documents whose runs one target puts together
+PAIRS = 0.14  # pairs per text byte: anchors change about every (LENGTH - GRAM + 2) / 2 bytes, at either end
 SEGMENT = 64  # bytes of a segment: its windows begin at about 15 places, the last brings LENGTH - 1 bytes more
 BLOB_ROWS = 32  # rows of an Arrow batch where a row may hold a whole block
 WIDE = 512  # intervals above this are extended symbol by symbol, others element by element
@@ -31,7 +33,7 @@ def suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(7):
         key = key << 9 | np.roll(symbols, -k)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # ties get one rank, whatever their order
     known = 7
     while True:
         ordered = key[order]
@@ -49,7 +51,7 @@ def suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
         key = rank << 32 | np.roll(rank, -known)
         places = np.flatnonzero(tied)
         some = order[places]
-        order[places] = some[np.argsort(key[some], kind="stable")]
+        order[places] = some[np.argsort(key[some])]
         known *= 2
 
 
@@ -62,7 +64,7 @@ def prefix_bounds(symbols: np.ndarray, order: np.ndarray, length: int) -> np.nda
     """
     n = len(symbols)
     bwt = symbols[order - 1]
-    back = np.argsort(bwt, kind="stable")  # the k-th rotation in order extends the rotation at back[k]
+    back = np.argsort(bwt.astype(np.uint16), kind="stable")  # the k-th rotation in order extends the rotation at back[k]
     forward = np.empty(n, np.int64)
     forward[back] = np.arange(n)
     counts = np.bincount(bwt, minlength=257)
@@ -127,14 +129,30 @@ def repeated_windows(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, leng
     return out
 
 
-def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of ``length`` bytes the place of its anchor, and the hash of the gram at every place.
+def _extremes(keys: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest of every ``reach`` neighbours, by doubling."""
+    out = []
+    for choose in (np.minimum, np.maximum):
+        found, width = keys, 1
+        while width * 2 <= reach:
+            found = choose(found[:-width], found[width:])
+            width *= 2
+        if width < reach:
+            found = choose(found[: len(found) - (reach - width)], found[reach - width :])
+        out.append(found)
+    return out[0], out[1]
 
-    The anchor is the gram of the least hash, the leftmost of equal ones, so equal windows have equal anchors.
+
+def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every window of ``length`` bytes the place of its anchor and its pair, and the hash of the gram at every place.
+
+    The anchor is the gram of the least hash. The pair is a hash of the grams of least and of greatest hash and of how far
+    apart they are. Of grams with equal hashes the one at the side that the window's bytes alone decide is taken, so equal
+    windows have equal anchors and equal pairs.
     """
     n = len(data) - GRAM + 1
     if n < length - GRAM + 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     one = data.astype(np.uint64)
     two = one[:-1] * np.uint64(257) + one[1:]
     four = two[:-2] * np.uint64(66_067) + two[2:]
@@ -144,14 +162,11 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
         hashed += four[k : k + n]
     hashed = (hashed ^ hashed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
     hashed ^= hashed >> np.uint64(32)
-    low = (hashed >> np.uint64(33)).astype(np.int64) << 32 | np.arange(n)
-    width, reach = 1, length - GRAM + 1
-    while width * 2 <= reach:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if width < reach:
-        low = np.minimum(low[: len(low) - (reach - width)], low[reach - width :])
-    return low & 0xFFFFFFFF, hashed
+    low, high = _extremes((hashed >> np.uint64(33)).astype(np.int64) << 32 | np.arange(n), length - GRAM + 1)
+    low, high = low & 0xFFFFFFFF, high & 0xFFFFFFFF
+    pair = (hashed[low] ^ hashed[high] * np.uint64(0x9E3779B97F4A7C15)) + (high - low).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    pair = (pair ^ pair >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return low, pair ^ pair >> np.uint64(29), hashed
 
 
 def _segments(wanted: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,13 +239,6 @@ def _in_several(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(places: np.ndarray, length: int) -> np.ndarray:
-    """Windows from sorted ``places`` as rows of first byte and end."""
-    heads = np.flatnonzero(np.diff(places, prepend=-length - 2) > length)  # windows that touch or overlap are one run
-    ends = np.append(heads[1:], len(places)) - 1
-    return np.stack([places[heads], places[ends] + length], axis=1) if len(places) else np.zeros((0, 2), np.int64)
-
-
 def _pack(*arrays: np.ndarray) -> bytes:
     parts = [zstandard.ZstdCompressor(level=1).compress(a.tobytes()) for a in arrays]
     return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
@@ -244,21 +252,52 @@ def _unpack(blob: bytes, kinds: list[str], which: range | list[int]) -> list[np.
 
 
 _KINDS = ["<u8", "<i8", "<i8", "<i8", "<i4", "u1"]  # anchor hash, document, tag, first byte, bytes, all bytes
-_NAMES = ["bucket", "doc", "tag", "blob"]
+_NAMES = ["bucket", "target", "blob"]
 
 
-def _rows(bucket: list, doc: list, tag: list, blob: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(blob, pa.binary())], _NAMES)
+def _rows(bucket: list, target: list, blob: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(target, pa.int32()), pa.array(blob, pa.binary())], _NAMES)
 
 
-def _mark_rows(docs: np.ndarray, tags: np.ndarray, places: np.ndarray, buckets: int, length: int) -> pa.RecordBatch:
-    """Repeated windows as one row of runs for each document, dealt out over the buckets by document."""
+def _mark_rows(docs: np.ndarray, tags: np.ndarray, places: np.ndarray, buckets: int, targets: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Repeated windows as runs, those of many documents in one row per target; a target holds some of the documents."""
     order = np.lexsort((places, tags, docs))
     docs, tags, places = docs[order], tags[order], places[order]
-    heads = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])])) if len(docs) else np.zeros(0, np.int64)
-    ends = np.append(heads[1:], len(docs))
-    blobs = [_runs(np.unique(places[a:b]), length).astype("<i8").tobytes() for a, b in zip(heads, ends)]
-    return _rows((docs[heads] % buckets).tolist(), docs[heads].tolist(), tags[heads].tolist(), blobs)
+    fresh = np.ones(len(docs), bool)
+    fresh[1:] = (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1]) | (np.diff(places) > length)  # windows that touch are one run
+    heads = np.flatnonzero(fresh)
+    if not len(heads):
+        return
+    ends = places[np.append(heads[1:], len(docs)) - 1] + length
+    docs, tags, firsts = docs[heads], tags[heads], places[heads]
+    mixed = (docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ tags.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    parts = _by_bucket(mixed >> np.uint64(33), targets)
+    blobs = [_pack(docs[own], tags[own], firsts[own], ends[own]) for _, own in parts]
+    yield _rows([k % buckets for k, _ in parts], [k for k, _ in parts], blobs)
+
+
+def _merged_runs(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """One row of runs for each document of a target, runs that touch or overlap put together."""
+    held = [_unpack(b, ["<i8"] * 4, range(4)) for b in blobs]
+    docs, tags, firsts, ends = (np.concatenate([h[k] for h in held]) for k in range(4))
+    order = np.lexsort((firsts, tags, docs))
+    docs, tags, firsts, ends = docs[order], tags[order], firsts[order], ends[order]
+    own = np.ones(len(docs), bool)
+    own[1:] = (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])
+    # one scale for all documents: each begins beyond the last end of the one before
+    reach = (np.cumsum(own) - 1) * (int(ends.max()) + 1)
+    furthest = np.maximum.accumulate(ends + reach)
+    fresh = own.copy()
+    fresh[1:] |= (firsts + reach)[1:] > furthest[:-1]
+    heads = np.flatnonzero(fresh)
+    last = np.append(heads[1:], len(docs)) - 1
+    runs = np.stack([firsts[heads], furthest[last] - reach[last]], axis=1)
+    owners = np.flatnonzero(own[heads])
+    for start in range(0, len(owners), 4096):
+        part = owners[start : start + 4096]
+        stops = np.append(owners, len(heads))[start + 1 : start + 1 + len(part)]
+        kept = [runs[a:b].astype("<i8").tobytes() for a, b in zip(part, stops)]
+        yield _batch(doc=(docs[heads[part]], pa.int64()), tag=(tags[heads[part]], pa.int64()), runs=(kept, pa.binary()))
 
 
 _BLOCK_KINDS = ["<i8", "<i8", "<i8", "u1"]  # documents, tags, bounds, all bytes
@@ -268,7 +307,7 @@ def _batch(**columns: tuple[list, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in columns.values()], list(columns))
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame) -> tuple[DataFrame, str]:
     """``block`` (a name) and ``blob``: documents joined to blocks of about BLOCK_BYTES, saved so that names hold.
 
     A row may be as large as a block, so the table is read in a session of few rows to an Arrow batch.
@@ -295,14 +334,19 @@ def _blocks(rows: DataFrame) -> DataFrame:
     path = shared_folder(spark)
     rows.select("doc", "tag", "text").mapInArrow(join, "block string, blob binary").write.parquet(path)
     lean = session_like(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BLOB_ROWS)})
-    return lean.read.schema("block string, blob binary").parquet(path)
+    return lean.read.schema("block string, blob binary").parquet(path), path
 
 
 def _cut(bounds: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Anchors and hashes of a block, the document each window starts in, and whether the window ends in it too."""
-    anchor, hashed = anchors(data, length)
+    """Anchors, pairs and hashes of a block, the document each window starts in, and whether the window ends in it too."""
+    anchor, pair, hashed = anchors(data, length)
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(anchor)]
-    return anchor, hashed, owner, np.arange(len(anchor)) + length <= bounds[1:][owner]
+    return anchor, pair, hashed, owner, np.arange(len(anchor)) + length <= bounds[1:][owner]
+
+
+def _codes(pairs: np.ndarray, buckets: int) -> np.ndarray:
+    """Pairs as they travel: the bucket they meet in and 32 bits of theirs. Chance hits cost time, never results."""
+    return (pairs % np.uint64(buckets)) << np.uint64(32) | pairs >> np.uint64(32)
 
 
 def _by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
@@ -313,22 +357,22 @@ def _by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     return [(int(bucket[order[a]]), order[a:b]) for a, b in zip(heads, np.append(heads[1:], len(order)))]
 
 
-def _shared_anchors(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
-    """``block`` and ``keys``: the hashes of its anchors that another block has too, in pieces. A block names each
-    of its hashes once, however often it has it, and only hashes travel."""
+def _shared_pairs(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
+    """``block``, ``bucket`` and ``keys``: the pairs of its windows that another block has too, in pieces. A block names
+    each of its pairs once, however often it has it, and only four bytes of a pair travel."""
 
     def listed(batches):
         fresh_worker()
         for batch in batches:
             for name, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist()):
                 bounds, data = _unpack(blob, _BLOCK_KINDS, [2, 3])
-                anchor, hashed, _, inside = _cut(bounds, data, length)
-                keys = np.unique(hashed[anchor[_segments(inside, anchor)[0]]]) if len(anchor) else np.zeros(0, np.uint64)
-                parts = _by_bucket(keys, buckets)
+                _, pair, _, _, inside = _cut(bounds, data, length)
+                codes = np.unique(_codes(pair[_segments(inside, pair)[0]], buckets))
+                parts = _by_bucket(codes >> np.uint64(32), buckets)
                 yield _batch(
                     bucket=([k for k, _ in parts], pa.int32()),
                     block=([name] * len(parts), pa.string()),
-                    keys=([keys[own].tobytes() for _, own in parts], pa.binary()),
+                    keys=([codes[own].astype("<u4").tobytes() for _, own in parts], pa.binary()),
                 )
 
     def matched(batches):
@@ -337,12 +381,12 @@ def _shared_anchors(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
         for batch in batches:
             for bucket, block, keys in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "keys"))):
                 if bucket != current:
-                    yield from found(held)
+                    yield from found(current, held)
                     current, held = bucket, []
-                held.append((block, np.frombuffer(keys, "<u8")))
-        yield from found(held)
+                held.append((block, np.frombuffer(keys, "<u4")))
+        yield from found(current, held)
 
-    def found(held):
+    def found(bucket, held):
         if len(held) < 2:
             return
         ordered = np.sort(np.concatenate([keys for _, keys in held]))
@@ -352,11 +396,11 @@ def _shared_anchors(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
         for block, keys in held:
             both = keys[_among(keys, twice)]
             if len(both):
-                yield _batch(block=([block], pa.string()), keys=([both.tobytes()], pa.binary()))
+                yield _batch(block=([block], pa.string()), bucket=([bucket], pa.int32()), keys=([both.tobytes()], pa.binary()))
 
     sent = blocks.mapInArrow(listed, "bucket int, block string, keys binary")
     met = sent.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    return met.mapInArrow(matched, "block string, keys binary")
+    return met.mapInArrow(matched, "block string, bucket int, keys binary")
 
 
 def _among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -367,67 +411,74 @@ def _among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc``, ``tag`` and ``runs`` (pairs of first byte and end) of what repeats, in pieces, for the rows of
-    ``_tagged``.
-
-    1. Documents are joined to blocks, which are saved. Every window of ``length`` bytes has an anchor that depends on
-       its bytes alone, so strings can only be equal where anchors are. Blocks exchange the hashes of their anchors
-       and learn which of them another block has too.
-    2. Within a block the transform finds strings that an earlier document of the block has.
-    3. The other windows whose anchor another block has, cut where the anchor changes, go to the bucket of its hash;
-       equal strings meet there. Each block sends a string once, so a passage that a third of all documents share
+    """``doc``, ``tag`` and ``runs`` (pairs of first byte and end) of what repeats, for the rows of ``_tagged``.
+
+    1. Documents are joined to blocks, which are saved. Every window of ``length`` bytes has an anchor and a pair of
+       grams that depend on its bytes alone, so strings can only be equal where these are. Blocks exchange the hashes
+       of their pairs and learn which of them another block has too.
+    2. Within a block the transform finds strings that an earlier document of the block has, among the windows whose
+       pair another document of the block has.
+    3. The other windows whose pair another block has, cut where the anchor changes, go to the bucket of the anchor's
+       hash; equal strings meet there. Each block sends a string once, so a passage that a third of all documents share
        arrives once per block. In a bucket the transform finds the rest.
+    4. What is found goes to targets, each of which puts the runs of its documents together.
     """
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = _blocks(rows)
-    listing = max(4, -(-int(total * ANCHORS * 8) // BUCKET_BYTES))
-    shared = written(_shared_anchors(blocks, listing, length))
-    sent_bytes = (shared.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8 * SEGMENT
+    blocks, blocks_path = _blocks(rows)
+    listing = max(4, -(-int(total * PAIRS * 4) // BUCKET_BYTES))
+    shared_path = shared_folder(rows.sparkSession)
+    _shared_pairs(blocks, listing, length).write.parquet(shared_path)
+    shared = rows.sparkSession.read.schema("block string, bucket int, keys binary").parquet(shared_path)
+    sent_bytes = (shared.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 4 * SEGMENT
     buckets = max(8, -(-sent_bytes // BUCKET_BYTES))
+    targets = max(8, -(-int(total) // TARGET_BYTES))
 
     def by_blocks(batches):
         fresh_worker()
         for batch in batches:
-            for blob, keys in zip(batch.column("blob").to_pylist(), batch.column("keys").to_pylist()):
+            for blob, lists in zip(batch.column("blob").to_pylist(), batch.column("lists").to_pylist()):
                 docs, tags, bounds, data = _unpack(blob, _BLOCK_KINDS, range(4))
-                elsewhere = np.sort(np.frombuffer(b"".join(keys or ()), "<u8"))
+                codes = [np.uint64(e["bucket"]) << np.uint64(32) | np.frombuffer(e["keys"], "<u4").astype(np.uint64) for e in lists or ()]
+                elsewhere = np.sort(np.concatenate(codes)) if codes else np.zeros(0, np.uint64)
                 yield from block(data, bounds, docs, tags, elsewhere)
 
     def block(data, bounds, docs, tags, elsewhere):
-        anchor, hashed, owner, inside = _cut(bounds, data, length)
-        first, last = _segments(inside, anchor)
+        anchor, pair, hashed, owner, inside = _cut(bounds, data, length)
         # A segment never spans two documents: no window inside a document reaches the next one.
-        here = owner[first]
-        chosen = _in_several(hashed[anchor[first]], docs[here])
+        first, last = _segments(inside, pair)
+        codes = _codes(pair[first], listing)
+        several, away = _in_several(codes, docs[owner[first]]), _among(codes, elsewhere)
+
+        def windows(which):
+            out = np.zeros(len(anchor), bool)
+            out[spans(first[which], last[which] - first[which] + 1)] = True
+            return out
+
+        head, end = _segments(windows(several), anchor)
         gone = np.zeros(len(anchor), bool)
-        some = np.flatnonzero(chosen)
-        for group in _groups(hashed[anchor[first[some]]], last[some] - first[some] + length):
-            own = some[group]
-            gone[_marks(data, first[own], last[own] - first[own] + length, docs[here[own]], length)] = True
+        for own in _groups(hashed[anchor[head]], end - head + length):
+            gone[_marks(data, head[own], end[own] - head[own] + length, docs[owner[head[own]]], length)] = True
         marked = np.flatnonzero(gone)
-        if len(marked):
-            home = owner[marked]
-            yield _mark_rows(docs[home], tags[home], marked - bounds[:-1][home], buckets, length)
-        first, last = _segments(inside & ~gone, anchor)
-        away = _among(hashed[anchor[first]], elsewhere)
-        first, last = first[away], last[away]
-        if not len(first):
+        home = owner[marked]
+        yield from _mark_rows(docs[home], tags[home], marked - bounds[:-1][home], buckets, targets, length)
+        head, end = _segments(windows(away) & ~gone, anchor)
+        if not len(head):
             return
-        keys, here, sizes = hashed[anchor[first]], owner[first], last - first + length
+        keys, here, sizes = hashed[anchor[head]], owner[head], end - head + length
         numbers, blobs = [], []
         for bucket, own in _by_bucket(keys, buckets):
             there = bounds[:-1][here[own]]
-            blobs.append(_pack(keys[own], docs[here[own]], tags[here[own]], (first[own] - there).astype(np.int64), sizes[own].astype(np.int32), data[spans(first[own], sizes[own])]))
+            blobs.append(_pack(keys[own], docs[here[own]], tags[here[own]], (head[own] - there).astype(np.int64), sizes[own].astype(np.int32), data[spans(head[own], sizes[own])]))
             numbers.append(bucket)
-        yield _rows(numbers, [None] * len(blobs), [None] * len(blobs), blobs)
+        yield _rows(numbers, [None] * len(blobs), blobs)
 
     def by_bucket(batches):
         fresh_worker()
         current, blobs = None, []
         for batch in batches:
-            for bucket, doc, tag, blob in zip(*(batch.column(c).to_pylist() for c in _NAMES)):
-                if doc is not None:
-                    yield _rows([bucket], [doc], [tag], [blob])  # found within a block
+            for bucket, target, blob in zip(*(batch.column(c).to_pylist() for c in _NAMES)):
+                if target is not None:
+                    yield _rows([bucket], [target], [blob])  # found within a block
                     continue
                 if bucket != current:
                     yield from compare(blobs)
@@ -452,18 +503,35 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 data.append(_unpack(blob, _KINDS, [5])[0][spans((np.cumsum(lengths) - lengths)[own], lengths[own])])
         keys, docs, tags, firsts, sizes = keys[chosen], docs[chosen], tags[chosen], firsts[chosen], sizes[chosen].astype(np.int64)
         data, starts = np.concatenate(data), np.cumsum(sizes) - sizes
-        for own in _groups(keys, sizes):
-            marked = _marks(data, starts[own], sizes[own], docs[own], length)
-            if len(marked):
-                home = np.searchsorted(starts, marked, side="right") - 1
-                yield _mark_rows(docs[home], tags[home], firsts[home] + marked - starts[home], buckets, length)
+        marked = [_marks(data, starts[own], sizes[own], docs[own], length) for own in _groups(keys, sizes)]
+        marked = np.concatenate(marked)
+        home = np.searchsorted(starts, marked, side="right") - 1
+        yield from _mark_rows(docs[home], tags[home], firsts[home] + marked - starts[home], buckets, targets, length)
+
+    def by_target(batches):
+        fresh_worker()
+        current, blobs = None, []
+        for batch in batches:
+            for target, blob in zip(batch.column("target").to_pylist(), batch.column("blob").to_pylist()):
+                if target != current and blobs:
+                    yield from _merged_runs(blobs)
+                    blobs = []
+                current = target
+                blobs.append(blob)
+        if blobs:
+            yield from _merged_runs(blobs)
 
     pieces = max(4, -(-int(total) // (4 * BLOCK_BYTES)))  # some blocks to a task, whatever the cluster's settings
-    known = blocks.repartition(pieces, "block").join(shared.groupBy("block").agg(F.collect_list("keys").alias("keys")), "block", "left")
-    sent = known.select("blob", "keys").mapInArrow(by_blocks, "bucket int, doc long, tag long, blob binary")
+    lists = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "keys")).alias("lists"))
+    known = blocks.repartition(pieces, "block").join(lists, "block", "left")
+    sent = known.select("blob", "lists").mapInArrow(by_blocks, "bucket int, target int, blob binary")
     met = sent.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    found = met.mapInArrow(by_bucket, "bucket int, doc long, tag long, blob binary")
-    return written(found.select("doc", "tag", F.col("blob").alias("runs")))
+    found = met.mapInArrow(by_bucket, "bucket int, target int, blob binary").select("target", "blob")
+    dealt = found.repartitionById(targets, F.col("target")).sortWithinPartitions("target")
+    out = written(dealt.mapInArrow(by_target, "doc long, tag long, runs binary"))
+    for path in (blocks_path, shared_path):
+        removed_path(rows.sparkSession, path)
+    return out
 
 
 def _tagged(documents: DataFrame) -> DataFrame:
