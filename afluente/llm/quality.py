@@ -144,22 +144,26 @@ def held_out(doc_id):
 def train(documents: DataFrame, labels: DataFrame, most_documents: int = TRAIN_DOCUMENTS, most_chars: int = TRAIN_CHARS) -> QualityModel:
     """A model from a bounded sample of labelled documents that are not held out; whole texts.
 
-    Without any such document every score is a half.
+    A document with both labels is not learned from; equal labels count once, rows of one id and text too. Null ids and
+    null labels are left out, null texts are empty. The sample holds ``most_documents`` rows at most, and ``most_chars``
+    characters. Without a document of either label every score is a half; so it is for empty tables.
     """
     spark = documents.sparkSession
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality"))
-    known = known.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
-    rows = texts_of(documents)
-    sizes = rows.select("doc_id", F.length("text").alias("size")).join(known, "doc_id")
+    known = known.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_other"))
+    known = known.filter("quality = _other").drop("_other")
+    rows = texts_of(documents).withColumn("label", F.xxhash64("text"))
+    sizes = rows.select("doc_id", "label", F.length("text").alias("size")).join(known, "doc_id").distinct()
     chosen, chars = [], 0
-    for row in sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "size").limit(most_documents).collect():
+    for row in sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "size", "label").limit(most_documents).collect():
         if chars + row["size"] <= most_chars:
-            chosen.append((row["doc_id"], row["quality"]))
+            chosen.append((row["doc_id"], row["label"], row["quality"]))
             chars += row["size"]
-    if len({q for _, q in chosen}) < 2:
+    if len({q for _, _, q in chosen}) < 2:
         return QualityModel(np.zeros(BUCKETS), 0.0)
-    few = F.broadcast(spark.createDataFrame(sorted(set(chosen)), "doc_id long, quality int"))  # most_documents rows at most
-    sample = rows.join(few, "doc_id").collect()
+    few = F.broadcast(spark.createDataFrame(chosen, "doc_id long, label long, quality int"))  # most_documents rows at most
+    sample = rows.join(few, ["doc_id", "label"]).select("doc_id", "text", "quality").distinct().collect()
     sample.sort(key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"] for r in sample], [r["quality"] for r in sample])
 
