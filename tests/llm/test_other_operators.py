@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from afluente.llm import chat, decontaminate, digest, pii, quality, suffixes
@@ -38,7 +40,11 @@ def test_myers_distance_and_found_items(spark):
     assert decontaminate.contaminated(frame(spark, []), items).count() == 0
 
 
-def test_repeated_strings(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_repeated_strings(spark, monkeypatch, small):
+    if small:  # many groups, buckets and targets
+        for name, value in (("GROUP_BYTES", 1 << 10), ("BUCKET_BYTES", 1 << 11), ("TARGET_BYTES", 1 << 10), ("BLOCK_BYTES", 1 << 11)):
+            monkeypatch.setattr(suffixes, name, value)
     rnd = random.Random(2)
     pool = ["".join(rnd.choice("abé ") for _ in range(rnd.randint(20, 150))) for _ in range(6)]
     rows = [(k, "".join(rnd.choice(pool) for _ in range(rnd.randint(0, 5)))) for k in range(40)]
@@ -63,6 +69,30 @@ def test_repeated_strings(spark):
     assert suffixes.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_long_texts_of_personal_data_take_time_in_proportion(spark):
+    model = pii.train(frame(spark, [(k, f"call +1 {5550000000 + k} now or a{k}@b.co") for k in range(200)]))
+    times = []
+    for n in (2000, 16_000):
+        started = time.perf_counter()
+        found = pii.find_pii(frame(spark, [(1, "call 555-123-4567 x a@b.co " * n)]), model).select(F.size("base").alias("n"), F.size("spans").alias("m")).first()
+        times.append(time.perf_counter() - started)
+        assert found.n == n and found.m >= n
+    assert times[1] < 30
+
+
+def test_labels_that_contradict_each_other(spark):
+    folder = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    known = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()]
+    odd = known + [(d, 1 - q) for d, q in known[::3]] + known[1::3]
+    rnd, models = random.Random(4), []
+    for rows in (odd, odd[::-1], rnd.sample(odd, len(odd)), [k for n, k in enumerate(known) if n % 3]):
+        models.append(quality.train(documents, spark.createDataFrame(rows, "doc_id long, quality int")))
+    assert len({m.offset for m in models}) == 1 and all((m.weights == models[0].weights).all() for m in models)
+    again = quality.train(documents.unionAll(documents), spark.createDataFrame(odd, "doc_id long, quality int"))
+    assert again.offset == models[0].offset
+
+
 def test_personal_data(spark):
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
              "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
