@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from afluente import constants as C
 from afluente.functions.text import named
 from afluente.operators.profile import describe_groups
+from afluente.session import BROADCAST_LIMIT_BYTES
 
 MAPPING_COLUMNS = ("column", "path", "sheet", "final_name", "type", "include", "entry")
 
@@ -91,15 +92,36 @@ def merge_groups(members: DataFrame, groups: Sequence[str], merged_id: str, tier
     )
 
 
-def build_mapping(members: DataFrame, settings: DataFrame) -> DataFrame:
-    """One row per source column. A blank final name falls back to the suggested one."""
+def build_mapping(members: DataFrame, settings: DataFrame, broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """One row per source column. A blank final name falls back to the suggested one.
+
+    The settings go to every task while their measured size allows. Beyond that only those of hot groups do, such as a
+    name that every file has: no more groups than there are partitions can each hold a partition's share of the members.
+    The other members meet their settings by group.
+    """
     name = F.coalesce(F.nullif(F.trim("final_name"), F.lit("")), "suggested")
     chosen = settings.select("group_id", name.alias("final_name"), "type", "include", "display")
-    return members.join(chosen, "group_id").select(
+    size = settings.agg(F.sum(F.length("group_id") + F.length(F.coalesce(name, F.lit(""))) + 64).alias("bytes")).first()["bytes"]
+    if (size or 0) <= broadcast_limit:
+        joined = members.join(F.broadcast(chosen), "group_id")
+    else:
+        joined = _join_by_group(members, chosen)
+    return joined.select(
         "column", "path", "sheet", "final_name", "type", "include", F.struct("display", "lead", "position").alias("entry")
     )
 
 
+def _join_by_group(members: DataFrame, chosen: DataFrame) -> DataFrame:
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("_members"))
+    share = -(-(counts.agg(F.sum("_members")).first()[0] or 0) // parts)
+    hot = counts.where(F.col("_members") > share).select("group_id", F.lit(True).alias("_hot"))
+    marked = members.join(F.broadcast(hot), "group_id", "left")  # fewer groups than partitions
+    of_hot = chosen.join(F.broadcast(hot), "group_id")
+    met = marked.where(F.col("_hot")).drop("_hot").join(F.broadcast(of_hot.drop("_hot")), "group_id")
+    return met.unionByName(marked.where(F.col("_hot").isNull()).drop("_hot").join(chosen, "group_id"))
+
+
 def final_columns(mapping: DataFrame) -> DataFrame:
     """Distinct included final names with their type; the last included entry sets it."""
     return (

@@ -41,6 +41,7 @@ from afluente.plans.layout import (
 from afluente.session import BROADCAST_LIMIT_BYTES, removed_path, shared_folder
 from afluente.sources.delimited import SMALL_FILE_BYTES
 from afluente.sources.folder import Folder
+from afluente.sources.listing import folder_files
 from afluente.sources.sheets import SheetRule
 
 NO_DUPLICATE_RULE = DuplicateRule()
@@ -165,6 +166,7 @@ def consolidate(
     per source says where its header is and which cell goes to which final
     column. Files above ``small_file_bytes`` are cut into blocks of ``block_bytes``. Pass the ``layout`` of an earlier analysis to use the same headers.
     """
+    listed = None if layout is None else folder_files(folder)
     if layout is None:
         layout = read_layout(folder, sheets, small_file_bytes=small_file_bytes)
     projection = project_layout(layout, mapping)
@@ -194,7 +196,7 @@ def consolidate(
         *[named(c.name) for c in kept_names], F.col("__origin").alias(origin), *ROW_ORDER, passes.alias(_KEPT), _WIDE
     )
     source = {"__path": "path", "__sheet_no": "sheet_no"}
-    return _finish(rows, ROW_ORDER, duplicates, summary, audit_sources(projection, origin), compiled.ignored, source)
+    return _finish(rows, ROW_ORDER, duplicates, summary, audit_sources(projection, origin, listed), compiled.ignored, source)
 
 
 @dataclass(frozen=True)

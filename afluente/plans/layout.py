@@ -15,7 +15,8 @@ from afluente.operators.headers import detect_layout, widened
 from afluente.operators.mapping import final_columns, join_mapping
 from afluente.session import BROADCAST_LIMIT_BYTES, block_size, written
 from afluente.sources.delimited import SMALL_FILE_BYTES, delimited_grid, delimited_heads, delimited_widths
-from afluente.sources.folder import Folder, extension_rank, file_name, passed_over
+from afluente.sources.folder import Folder, extension_rank, file_name
+from afluente.sources.listing import unread_files
 from afluente.sources.sheetgrid import sheet_grid, sheet_heads, sheet_tables
 from afluente.sources.sheets import SheetRule, apply_sheet_rule, reconcile_sheets
 from afluente.sources.workbooks import workbook_files, workbook_grid, workbook_heads
@@ -57,13 +58,13 @@ def _book_grid(folder: Folder, sheets: SheetRule) -> DataFrame | None:
 
 
 def _unread_heads(folder: Folder) -> DataFrame | None:
-    """Heads without rows for empty files and hidden names, so that the audit knows them."""
-    odd = passed_over(folder)
-    if not odd:
+    """Heads without rows for the files that are not read, so that the audit knows them."""
+    odd = unread_files(folder)
+    if odd.isEmpty():
         return None
     path = plain_path(F.col("uri"))
     name = file_name(path)
-    return folder.spark.createDataFrame(odd, "uri string, length bigint, error string").select(
+    return odd.select(
         "uri",
         path.alias("path"),
         name.alias("file"),
@@ -72,7 +73,7 @@ def _unread_heads(folder: Folder) -> DataFrame | None:
         F.lit(0).alias("sheet_no"),
         "length",
         F.array().cast("array<array<string>>").alias("rows"),
-        "error",
+        F.col("detail").alias("error"),
     )
 
 
@@ -276,9 +277,17 @@ def present_columns(projection: Projection) -> dict[str, Column]:
     return {c.name: F.col(position_name(i, 0)).isNotNull() for i, c in enumerate(projection.columns)}
 
 
-def audit_sources(projection: Projection, origin: str = C.ORIGIN) -> DataFrame:
-    """What became of each source: processed, empty, skipped, unmatched or error; and whether its own origin column gave way."""
+def audit_sources(projection: Projection, origin: str = C.ORIGIN, listed: DataFrame | None = None) -> DataFrame:
+    """What became of each source: processed, empty, skipped, unmatched or error; and whether its own origin column gave way.
+
+    With the files ``listed`` now (path, length), sources of an older layout are ``stale`` where their file has changed
+    its length, and ``gone`` where it is no longer there.
+    """
     status = F.when(F.col("status") != "ok", F.col("status")).when(F.col("entries").isNull(), "unmatched").otherwise("processed")
     replaced = F.exists("entries", lambda e: e["final_name"] == origin)
     detail = F.coalesce("error", F.when(replaced, F.lit(C.ORIGIN_REPLACED)))
-    return projection.sources.select("origin", "path", "sheet_no", status.alias("status"), detail.alias("detail"))
+    sources = projection.sources
+    if listed is not None:
+        sources = sources.join(listed.select("path", F.col("length").alias("_now")), "path", "left")
+        status = F.when(F.col("_now").isNull(), "gone").when(F.col("_now") != F.col("length"), "stale").otherwise(status)
+    return sources.select("origin", "path", "sheet_no", status.alias("status"), detail.alias("detail"))

@@ -38,6 +38,22 @@ class Store:
     def remove(self, place: str) -> None:
         self._files.delete(self._path(place), True)
 
+    def read(self, place: str) -> str | None:
+        """A small text, or None where there is none."""
+        if not self.exists(place):
+            return None
+        source = self._files.open(self._path(place))
+        try:
+            return bytes(source.readAllBytes()).decode()
+        finally:
+            source.close()
+
+    def replace(self, place: str, text: str) -> None:
+        """A small text in place of an older one; a reader sees either, or for a moment none."""
+        self.put(f"{place}.new", text)
+        self._files.delete(self._path(place), False)
+        self.move(f"{place}.new", place)
+
     def put(self, place: str, text: str) -> None:
         out = self._files.create(self._path(place), True)
         try:

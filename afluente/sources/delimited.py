@@ -19,6 +19,7 @@ from afluente.functions.columns import computed
 from afluente.functions.text import blank_to_null, decode_latin1, plain_path, split_cells
 from afluente.session import block_size, one_block_per_task
 from afluente.sources.folder import Folder, extension_rank, file_name, files, load_matching
+from afluente.sources.listing import hidden_lines
 
 # Files up to this size are read whole; it equals Spark's own cost of opening a file.
 SMALL_FILE_BYTES = 4 << 20
@@ -59,10 +60,13 @@ def delimited_lines(
     folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES, bytes_per_block: int | None = None
 ) -> DataFrame | None:
     """Every non-blank line as (uri, block, line, value), in file order by (block, line)."""
+    bytes_per_block = bytes_per_block or block_size(folder.spark)
+    hidden = hidden_lines(folder, bytes_per_block)
+    hidden = None if hidden is None else hidden.select("uri", "block", "line", "value")
     whole = _small_files(folder, small_file_bytes)
-    blocks = _big_file_lines(folder, small_file_bytes, bytes_per_block or block_size(folder.spark))
+    blocks = _big_file_lines(folder, small_file_bytes, bytes_per_block)
     if whole is None or blocks is None:
-        return None
+        return hidden
     small = whole.select(
         "uri",
         F.lit(0).cast("bigint").alias("block"),
@@ -70,7 +74,8 @@ def delimited_lines(
     ).where(F.col("value") != "")
     numbered = blocks.withColumn("line", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_TASK)))
     big = numbered.select("uri", "block", "line", decode_latin1(F.col("value")))
-    return small.withColumn("line", F.col("line").cast("bigint")).unionAll(big)
+    listed = small.withColumn("line", F.col("line").cast("bigint")).unionAll(big)
+    return listed if hidden is None else listed.unionAll(hidden)
 
 
 def delimited_grid(
@@ -136,21 +141,18 @@ def delimited_heads(
     folder: Folder, small_file_bytes: int = SMALL_FILE_BYTES, head_rows: int = C.HEAD_ROWS
 ) -> DataFrame | None:
     """First lines of each file: (uri, path, file, rank, sheet, sheet_no, length, rows, error)."""
-    whole = _small_files(folder, small_file_bytes)
-    blocks = _big_file_lines(folder, small_file_bytes, _WHOLE_FILE)
-    if whole is None or blocks is None:
+    found = _listed_heads(folder, small_file_bytes, head_rows)
+    hidden = hidden_lines(folder, _WHOLE_FILE, head_rows)
+    if hidden is not None:
+        first = F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda r: r["value"])
+        hidden = hidden.groupBy("uri", "length").agg(first.alias("lines"))
+        found = hidden if found is None else found.unionAll(hidden)
+    if found is None:
         return None
-    lines = F.split(_text(F.col("content")), _LINE_ENDS, head_rows + 1)
-    visible = F.filter(F.slice(lines, 1, head_rows), lambda v: v != "")
-    small = whole.select("uri", "length", visible.alias("lines"))
-    # One task per big file: it stops after the first batch instead of reading the file.
-    big = blocks.select("uri", "length", decode_latin1(F.col("value")).alias("value")).mapInArrow(
-        _first_lines(head_rows), "uri string, length bigint, lines array<string>"
-    )
     path = plain_path(F.col("uri"))
     name = file_name(path)
     cells = F.transform("lines", lambda line: split_cells(line, folder.separator))
-    return rectangular(small.unionAll(big), cells).select(
+    return rectangular(found, cells).select(
         "uri",
         path.alias("path"),
         name.alias("file"),
@@ -161,3 +163,19 @@ def delimited_heads(
         "rows",
         F.lit(None).cast("string").alias("error"),
     )
+
+
+def _listed_heads(folder: Folder, small_file_bytes: int, head_rows: int) -> DataFrame | None:
+    """(uri, length, lines) of the first lines of the files that Spark's readers list."""
+    whole = _small_files(folder, small_file_bytes)
+    blocks = _big_file_lines(folder, small_file_bytes, _WHOLE_FILE)
+    if whole is None or blocks is None:
+        return None
+    lines = F.split(_text(F.col("content")), _LINE_ENDS, head_rows + 1)
+    visible = F.filter(F.slice(lines, 1, head_rows), lambda v: v != "")
+    small = whole.select("uri", "length", visible.alias("lines"))
+    # One task per big file: it stops after the first batch instead of reading the file.
+    big = blocks.select("uri", "length", decode_latin1(F.col("value")).alias("value")).mapInArrow(
+        _first_lines(head_rows), "uri string, length bigint, lines array<string>"
+    )
+    return small.unionAll(big)

@@ -125,25 +125,3 @@ def passed_over(folder: Folder) -> list[tuple[str, int, str | None]]:
             if (hidden or length == 0) and status.isFile():
                 found.append((place.toUri().toString(), length, C.HIDDEN_NAME if hidden else None))
     return found
-
-
-def list_sources(folder: Folder) -> DataFrame:
-    """Supported files with their kind and status; only names and sizes are read.
-
-    The status is ``listed``, ``empty`` for files of zero bytes, or ``skipped`` for hidden names.
-    """
-    odd = folder.spark.createDataFrame(passed_over(folder), "uri string, length bigint, detail string")
-    status = F.when(F.col("detail").isNull(), "empty").otherwise("skipped")
-    odd = odd.select("uri", "length", status.alias("status"))
-    found = files(folder, C.EXTENSIONS)
-    found = odd if found is None else found.select("uri", "length", F.lit("listed").alias("status")).unionAll(odd)
-    path = plain_path(F.col("uri"))
-    name = file_name(path)
-    return found.select(
-        path.alias("path"),
-        name.alias("file"),
-        extension_rank(name).alias("rank"),
-        route(name).alias("route"),
-        "length",
-        "status",
-    )

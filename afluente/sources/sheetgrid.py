@@ -26,6 +26,7 @@ from afluente.session import removed_path, shared_folder
 from afluente.sources import stores, workbooks
 from afluente.sources.delimited import rectangular
 from afluente.sources.folder import Folder, extension_rank, file_name, files, location_of
+from afluente.sources.listing import hidden_files
 from afluente.sources.sheets import SheetRule, apply_sheet_rule
 
 FORMAT = "afluente_sheets"
@@ -146,8 +147,12 @@ class SheetSource(DataSource):
 
 def sheet_inventory(folder: Folder) -> DataFrame | None:
     """One row per sheet of the folder's workbooks, or per workbook that cannot be opened; None without workbooks."""
-    found = files(folder, C.WORKBOOK_EXTENSIONS)
-    return None if found is None else found.select("uri", "length").mapInArrow(_list_parts, INVENTORY_SCHEMA)
+    found, hidden = files(folder, C.WORKBOOK_EXTENSIONS), hidden_files(folder, C.WORKBOOK_EXTENSIONS)
+    found = None if found is None else found.where(F.col("length") > 0).select("uri", "length")
+    if hidden is not None:
+        hidden = hidden.repartition(folder.spark.sparkContext.defaultParallelism, "uri")
+        found = hidden if found is None else found.unionAll(hidden)
+    return None if found is None else found.mapInArrow(_list_parts, INVENTORY_SCHEMA)
 
 
 def _registered(spark: SparkSession) -> str:

@@ -17,8 +17,9 @@ from afluente.operators.combine import keep_first
 from afluente.operators.outputs import chunk_rows
 from afluente.plans.consolidate import write_outputs
 from afluente.plans.layout import read_layout
+from afluente.sources import stores
 from afluente.sources.delimited import delimited_grid, delimited_lines
-from afluente.sources.folder import list_sources
+from afluente.sources.listing import list_sources
 from afluente.sources.sheets import SheetRule, distinct_sheets
 from afluente.sources.workbooks import list_sheets, workbook_files
 from workloads.workbook_bytes import workbook_bytes
@@ -397,16 +398,21 @@ def test_sheets_keep_columns_that_are_first_filled_late(spark, folder_of):
     assert [r["column_2"] for r in out.where("id = '28'").collect()] == ["tarde"]
 
 
-def test_hidden_and_empty_files_are_listed_and_audited(spark, folder_of):
+def test_hidden_and_empty_files_are_listed_and_audited(spark, folder_of, monkeypatch):
     good = "id;nome\n1;a\n2;b\n"
-    place = folder_of({"_vendas.csv": good, ".oculto.txt": good, "vazio.csv": "", "bom.csv": good, "_nota.pdf": b"q"})
+    place = folder_of({"_vendas.csv": good, ".oculto.txt": good, "_vazio.csv": "", "vazio.csv": "", "bom.csv": good, "_nota.pdf": b"q"})
     folder = open_folder(spark, place)
     listed = {r["file"]: r["status"] for r in list_sources(folder).collect()}
-    assert listed == {"_vendas.csv": "skipped", ".oculto.txt": "skipped", "vazio.csv": "empty", "bom.csv": "listed"}
+    assert listed == {"_vendas.csv": "listed", ".oculto.txt": "listed", "_vazio.csv": "skipped", "vazio.csv": "empty", "bom.csv": "listed"}
     out = consolidate(folder)
     audit = {r["origin"]: r["status"] for r in out.audit.collect()}
-    assert audit == {"_vendas.csv": "skipped", ".oculto.txt": "skipped", "vazio.csv": "empty", "bom.csv": "processed"}
-    assert out.consolidated.count() == 2
+    assert audit == {"_vendas.csv": "processed", ".oculto.txt": "processed", "_vazio.csv": "skipped", "vazio.csv": "empty", "bom.csv": "processed"}
+    assert out.consolidated.count() == 6
+    # in a store that tasks cannot open, hidden names are only known
+    monkeypatch.setattr(stores, "reachable", lambda *folders: False)
+    far = consolidate(open_folder(spark, place))
+    assert {r["origin"]: r["status"] for r in far.audit.collect()} == audit | {"_vendas.csv": "skipped", ".oculto.txt": "skipped"}
+    assert far.consolidated.count() == 2
 
 
 def test_accounting_of_a_run(spark, folder_of):

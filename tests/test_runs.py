@@ -19,16 +19,20 @@ from afluente import (
     consolidate_tables,
     open_folder,
     preview,
+    refresh_headers,
     write_run,
 )
 from afluente import constants as C
 from afluente.functions.text import normalize_name
+from afluente.operators.mapping import build_mapping, default_settings
 from afluente.operators.outputs import chunk_rows, row_index
 from afluente.plans import consolidate as runs
 from afluente.plans.layout import read_layout, source_heads
 from afluente.plans.publish import MANIFEST
 from afluente.sources import sheetgrid, stores
-from afluente.sources.folder import list_sources, narrowed
+from afluente.sources.delimited import delimited_lines
+from afluente.sources.folder import narrowed
+from afluente.sources.listing import is_hidden, list_sources
 from afluente.sources.sheets import SheetRule
 from afluente.sources.workbooks import workbook_files, workbook_grid, workbook_heads
 from tests.test_files import rows, with_bad_cell
@@ -271,3 +275,106 @@ def test_every_cyrillic_and_greek_letter_is_spelled(spark):
     letters = spark.createDataFrame([(a, b) for a in table for b in (a, a.upper())], "letter string, shown string")
     for r in letters.select("letter", normalize_name(F.col("shown")).alias("p")).collect():
         assert r["p"] == table[r["letter"]]
+
+
+@pytest.mark.parametrize("block", [7, 64, 1 << 20])
+def test_hidden_files_are_cut_into_blocks_as_others_are(spark, folder_of, monkeypatch, block):
+    rnd = random.Random(block)
+    ends = ["\n", "\r\n", "\r", "\n\n"]
+    text = "\xef\xbb\xbfid;nome\n" + "".join(f"{i};{'é' * rnd.randint(0, 9)}{rnd.choice(ends)}" for i in range(300)) + "fim;x"
+    place = folder_of({"_a.csv": text, "_b.TXT": "\n", "c.csv": "id;nome\n", ".d.xlsx": workbook_bytes({"A": sheet(4)})})
+    folder = open_folder(spark, place)
+    monkeypatch.setattr("afluente.sources.listing._READ_BYTES", 16)
+    found = delimited_lines(folder, bytes_per_block=block).where("uri like '%_a.csv'").orderBy("block", "line").collect()
+    assert [r["value"] for r in found] == [line for line in text.removeprefix("\xef\xbb\xbf").replace("\r", "\n").split("\n") if line]
+    heads = {r["file"]: (r["names"], r["status"]) for r in read_layout(folder).collect()}
+    assert heads == {"_a.csv": (["id", "nome"], "ok"), "c.csv": (["id", "nome"], "empty"), ".d.xlsx": (["id", "nome"], "ok")}
+    assert {is_hidden(n) for n in ("_x", ".x", "_n=1")} == {True, False}
+
+
+def test_odd_files_of_a_glob_are_listed_by_tasks(spark, folder_of):
+    place = folder_of({})
+    for n in range(5):
+        os.mkdir(f"{place}/n={n}")
+        for name, text in (("vazio é.csv", ""), (f"_h{n} %.csv", "id;v\n1;2\n3;4\n"), ("b.csv", "id;v\n5;6\n7;8\n")):
+            with open(f"{place}/n={n}/{name}", "w") as out:
+                out.write(text)
+    os.mkdir(f"{place}/n=1/_fake.csv")
+    folder = open_folder(spark, f"{place}/n=*")
+    found = {(r["path"].removeprefix(f"file:{place}"), r["status"]) for r in list_sources(folder).collect()}
+    assert found == {(f"/n={n}/{f}", s) for n in range(5) for f, s in (("vazio é.csv", "empty"), (f"_h{n} %.csv", "listed"), ("b.csv", "listed"))}
+    assert consolidate(folder).consolidated.count() == 20
+
+
+def test_places_and_uris():
+    for place in ("file:/a b/c+d [1] é%20.csv", "hdfs://host:9000/x y/z", "s3a://bucket/k#1"):
+        assert stores.unquote(stores.quoted(place)) == place
+    assert stores.quoted("file:/a b/é[") == stores.quoted("/a b/é[") == "file:/a%20b/é%5B"
+    assert {stores.store_of(f"{start}/a%20b/%2520")[1] for start in ("file:", "file://")} == {"/a b/%20"}
+
+
+def test_a_refresh_reads_only_what_changed(spark, folder_of, monkeypatch):
+    text = "id;nome\n1;a\n2;b\n"
+    place, kept = folder_of({"a.csv": text, "b.csv": text, "c.csv": text, "d.xlsx": workbook_bytes({"A": sheet(5)}), "e.csv": ""}), folder_of({})
+
+    def refresh(**options):
+        found = refresh_headers(open_folder(spark, place), f"{kept}/cache", **options)
+        return found.analysis, {(r["path"].rpartition("/")[2], r["change"]) for r in found.files.collect()}
+
+    def shown(analysis):
+        layout = sorted((r["file"], r["sheet"], r["names"], r["status"]) for r in analysis.layout.select("file", F.coalesce("sheet", F.lit("")).alias("sheet"), "names", "status").collect())
+        prints = sorted(str(r) for r in analysis.fingerprints.select("path", "sheet", "column", "type", "null_ratio").collect())
+        return layout, prints, sorted(str(r) for r in analysis.settings.collect())
+
+    first, changes = refresh()
+    assert changes == {(f, "new") for f in ("a.csv", "b.csv", "c.csv", "d.xlsx", "e.csv")}
+    assert refresh()[1] == set()
+    with open(f"{place}/b.csv", "a") as out:
+        out.write("3;c;tarde\n")
+    os.remove(f"{place}/c.csv")
+    with open(f"{place}/_f.csv", "w") as out:
+        out.write("x;y\n1;2\n3;4\n")
+    # an unchanged file is not opened again
+    before = os.stat(f"{place}/a.csv")
+    with open(f"{place}/a.csv", "r+") as out:
+        out.write("zz")
+    os.utime(f"{place}/a.csv", ns=(before.st_atime_ns, before.st_mtime_ns))
+    again, changes = refresh()
+    assert changes == {("b.csv", "changed"), ("c.csv", "gone"), ("_f.csv", "new")}
+    layout = {r["file"]: r["names"] for r in again.layout.collect()}
+    assert layout == {"a.csv": ["id", "nome"], "b.csv": ["id", "nome", "column_2"], "d.xlsx": ["id", "nome"], "_f.csv": ["x", "y"], "e.csv": []}
+    with open(f"{place}/a.csv", "r+") as out:
+        out.write("id")
+    os.utime(f"{place}/a.csv", ns=(before.st_atime_ns, before.st_mtime_ns))
+    assert shown(again) == shown(analyze_headers(open_folder(spark, place)))
+    assert len([f for f in os.listdir(f"{kept}/cache") if f.startswith("v-")]) == 1
+    assert consolidate(open_folder(spark, place), again.mapping(), layout=again.layout).consolidated.count() == 2 + 3 + 5 + 2
+    # other sheets, another start
+    assert len(refresh(sheets=SheetRule("exclude", {"A"}))[1]) == 5
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_settings_reach_hot_groups_without_a_hot_task(spark, limit):
+    members = spark.range(4000).select(
+        F.when(F.col("id") % 3 > 0, F.lit("cnpj:numeric")).otherwise(F.concat(F.lit("g"), (F.col("id") % 500).cast("string"))).alias("group_id"),
+        F.lit(0).alias("tier"), F.array().cast("array<int>").alias("lead"), F.lit("n").alias("normalized"), F.lit("numeric").alias("type_class"),
+        F.concat(F.lit("c"), "id").alias("column"), F.concat(F.lit("f"), "id").alias("path"), F.lit(None).cast("string").alias("sheet"),
+        F.struct(F.lit(0).alias("rank"), F.concat(F.lit("f"), "id").alias("path"), F.lit(0).alias("sheet_no"), F.lit(0).alias("column_no")).alias("position"),
+    )
+    settings = default_settings(members)
+    found = build_mapping(members, settings, broadcast_limit=limit)
+    names = {r["group_id"]: r["final_name"] for r in settings.collect()}
+    assert sorted((r["path"], r["final_name"]) for r in found.collect()) == sorted((r["path"], names[r["group_id"]]) for r in members.collect())
+    if limit:
+        assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert build_mapping(members.limit(0), settings.limit(0), broadcast_limit=limit).count() == 0
+
+
+def test_an_old_layout_is_in_the_audit(spark, folder_of):
+    place = folder_of({"a.csv": "id;v\n1;2\n3;4\n", "b.csv": "id;v\n1;2\n3;4\n", "c.csv": "id;v\n1;2\n3;4\n"})
+    layout = read_layout(open_folder(spark, place))
+    with open(f"{place}/a.csv", "a") as out:
+        out.write("5;6\n")
+    os.remove(f"{place}/b.csv")
+    audit = {r["origin"]: r["status"] for r in consolidate(open_folder(spark, place), layout=layout).audit.collect()}
+    assert audit == {"a.csv": "stale", "b.csv": "gone", "c.csv": "processed"}

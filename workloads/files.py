@@ -23,7 +23,8 @@ from afluente import (
 from afluente import constants as C
 from afluente.operators.mapping import build_mapping, override_mapping
 from afluente.sources.delimited import delimited_grid
-from afluente.sources.folder import list_sources, route
+from afluente.sources.folder import route
+from afluente.sources.listing import list_sources
 from afluente.session import shared_folder
 from afluente.sources import stores
 from afluente.sources.sheetgrid import sheet_grid, sheet_heads, sheet_tables
