@@ -18,6 +18,7 @@ from afluente import (
     consolidate,
     open_folder,
     preview,
+    refresh_headers,
     write_run,
 )
 from afluente import constants as C
@@ -433,6 +434,54 @@ def _(t):
     return preview(folder, path, rows=30).select(F.col("Chave").cast("bigint").alias("chave"), F.col("Nome").alias("nome"))
 
 
+def _write_hidden(t, place: str) -> None:
+    """Text files whose names begin with an underscore, one per 500 customers, each written by a task."""
+    rows = t.customer.select("c_custkey", "c_name", "c_acctbal", F.floor(F.col("c_custkey") / _CUSTOMERS_PER_BOOK).alias("book"))
+
+    def save(group: pd.DataFrame) -> pd.DataFrame:
+        store, folder = stores.store_of(place)
+        store.create_dir(folder, recursive=True)
+        lines = [f"{r.c_custkey};{r.c_name};{r.c_acctbal!r}" for r in group.sort_values("c_custkey").itertuples()]
+        with store.open_output_stream(f"{folder}/_{group['book'].iloc[0]}.csv") as out:
+            out.write("\r\n".join(["Chave;Nome;Saldo", *lines, ""]).encode("latin-1"))
+        return group[["book"]]
+
+    rows.groupBy("book").applyInPandas(save, "book bigint").write.format("noop").mode("overwrite").save()
+
+
+@query("hidden_sources", "SELECT c_custkey AS chave, c_name AS nome, c_acctbal AS saldo FROM customer")
+def _(t):
+    """Rows of files that Spark's readers pass over, each cut into several blocks."""
+    folder = open_folder(t.spark, t.written("ocultos", lambda p: _write_hidden(t, p)))
+    return consolidate(folder, small_file_bytes=0, block_bytes=4 << 10).consolidated.select(
+        F.col("Chave").cast("bigint").alias("chave"), F.col("Nome").alias("nome"), F.col("Saldo").cast("double").alias("saldo")
+    )
+
+
+@query(
+    "refresh_headers",
+    """SELECT DISTINCT c_nationkey AS n, 'customer' AS tabela, 'kept' AS mudanca, 3 AS colunas FROM customer
+       UNION ALL SELECT DISTINCT s_nationkey, 'supplier', 'new', 2 FROM supplier WHERE s_nationkey % 5 = 0""",
+)
+def _(t):
+    """An analysis after files of every fifth nation have joined the folder; only these are read."""
+    place = shared_folder(t.spark)
+    folder = open_folder(t.spark, f"{place}/entrada/n=*")
+
+    def save(rows: DataFrame, columns: str) -> None:
+        found = rows.selectExpr(*columns.split(", ")).repartition("n").write.mode("append").partitionBy("n")
+        found.option("sep", ";").option("header", True).csv(f"{place}/entrada")
+
+    save(t.customer, "c_custkey AS Chave, c_name AS Nome, c_mktsegment AS Segmento, c_nationkey AS n")
+    refresh_headers(folder, f"{place}/layout")
+    save(t.supplier.where("s_nationkey % 5 = 0"), "s_suppkey AS Codigo, s_name AS Fornecedor, s_nationkey AS n")
+    found = refresh_headers(open_folder(t.spark, folder.location), f"{place}/layout")
+    each = found.analysis.fingerprints.groupBy("path").agg(
+        F.max(F.when(F.col("column") == "Codigo", "supplier").otherwise("customer")).alias("tabela"), F.count(F.lit(1)).alias("colunas")
+    )
+    return each.join(found.files, "path", "left").select(_nation(), "tabela", F.coalesce("change", F.lit("kept")).alias("mudanca"), "colunas")
+
+
 def _inventory(t) -> DataFrame:
     """Sheets as found in many workbooks: a user is a workbook, a kind of event one of its sheets."""
     return t.events.select(F.concat(F.lit("u"), "user_id").alias("path"), F.col("event_type").alias("sheet")).distinct()
