@@ -53,7 +53,8 @@ _FOLDED_RANGES = (range(0xA0, 0x250), range(0x370, 0x530), range(0x1E00, 0x2000)
 
 def _plain(letter: str) -> str:
     """ASCII letters and digits that stand for a lower-case letter; accents are taken off first."""
-    known = {**SPECIAL_LETTERS, **CYRILLIC, **GREEK}
+    scripts = {**CYRILLIC, **GREEK} if ord(letter) >= 0x370 else {}  # the sign for micro is no letter
+    known = {**SPECIAL_LETTERS, **scripts}
     if letter in known:
         return known[letter]
     parts = unicodedata.normalize("NFKD", letter).lower()

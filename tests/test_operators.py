@@ -313,7 +313,7 @@ def test_tables_and_their_outputs(spark):
     assert [i.reason for i in out.ignored_rules] == ["column not found"]
 
     places = write_outputs(out, shared_folder(spark))
-    assert set(places) == {"consolidated", "removed", "summary"}
+    assert set(places) == {"consolidated", "removed", "summary", "accounting"}
     assert sorted(map(tuple, spark.read.parquet(places["summary"]).collect())) == [("x", 10), ("y\x07", 30)]
     assert spark.read.parquet(places["removed"]).count() == 2
 
