@@ -15,12 +15,12 @@ from afluente.llm.common import fresh_worker, slices, small_batches, spans, text
 from afluente.session import removed_path, session_like, shared_folder, written
 
 LENGTH = 50
-GRAM = 20  # bytes of the anchor that decides where a string is compared, a multiple of four
+GRAM = 12  # bytes of the anchor that decides where a string is compared, a multiple of four
 BLOCK_BYTES = 3 << 20  # text bytes of a map-side block
 BUCKET_BYTES = 8 << 20  # bytes of anchor hashes or of segments that a bucket should have
 GROUP_BYTES = 1 << 20  # segment bytes that are sorted at once; about 120 times as much memory is used
 TARGET_BYTES = 32 << 20  # text bytes of the documents whose runs one target puts together
-PAIRS = 0.14  # pairs per text byte: anchors change about every (LENGTH - GRAM + 2) / 2 bytes, at either end
+PAIRS = 0.12  # pairs per text byte: anchors change about every (LENGTH - GRAM + 2) / 2 bytes, at either end
 SEGMENT = 64  # bytes of a segment: its windows begin at about 15 places, the last brings LENGTH - 1 bytes more
 BLOB_ROWS = 32  # rows of an Arrow batch where a row may hold a whole block
 WIDE = 512  # intervals above this are extended symbol by symbol, others element by element
