@@ -1,8 +1,9 @@
-"""SimHash near-duplicates by exact comparison of tiles of fingerprints."""
+"""SimHash near-duplicates: exact comparison of tiles of fingerprints, and near pairs at a wide radius by sorted tables."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,9 @@ SEED = 42
 BITS = 64
 TILE = 4096  # fingerprints that one comparison takes from either side
 FULL_TILE = 2000  # fingerprints that a tile should have on average
+TABLES = 32  # orders of the bits under which fingerprints are sorted
+BUCKET = 16  # fingerprints of a table that should share their first bits
+WINDOW = 64  # fingerprints before it in its bucket that each one is compared with
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -39,11 +43,22 @@ def fingerprint(text: str) -> int:
         shingles = [" ".join(words)]
     else:
         shingles = list(map(" ".join, zip(*(words[k:] for k in range(SHINGLE_WORDS)))))
-    digest, counts = xxhash.xxh64_digest, np.zeros(BITS, np.int64)
-    for start in range(0, len(shingles), 1 << 16):
-        raw = b"".join([digest(s, SEED) for s in shingles[start : start + (1 << 16)]])
-        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(shingles)).tobytes(), "big")
+    digest = xxhash.xxh64_digest
+    return majority(b"".join([digest(s, SEED) for s in shingles[k : k + (1 << 16)]]) for k in range(0, len(shingles), 1 << 16))
+
+
+def majority(digests: Iterable[bytes]) -> int:
+    """Bit i is set where over half of the hashes have it; they come as their bytes, the highest first, block by block."""
+    n, counts = 0, np.zeros(BITS, np.int64)
+    for raw in digests:
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8), axis=1)
+        n, counts = n + len(bits), counts + bits.sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles that are hashed already; 0 without any."""
+    return majority(hashes[k : k + (1 << 16)].astype(">u8").tobytes() for k in range(0, len(hashes), 1 << 16))
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -167,6 +182,50 @@ def _join_near(some: np.ndarray, others: np.ndarray, radius: int, sets: LocalSet
                     sets.join(int(some[k + x]), int(block[y]))
 
 
+def near_pairs(prints: DataFrame, radius: int, tables: int = TABLES) -> DataFrame:
+    """Pairs ``a < b`` of different ids whose fingerprints differ in ``radius`` bits or fewer; for radii too wide for tiles.
+
+    ``prints`` has ``id`` and ``fingerprint`` (longs, one row per id). Each table puts the bits in another fixed order
+    and sorts by it; fingerprints with the same first bits are a bucket, and each is paired with the nearest of those
+    up to ``WINDOW`` places before it, so that a bucket of any size costs no square. Every pair given is within the
+    radius; pairs may be missed, the farther apart the likelier, so who needs all must look for the rest by other means.
+    """
+    lead = max(0, prints.count().bit_length() - BUCKET.bit_length())
+    orders = [np.random.default_rng(k).permutation(BITS) for k in range(tables)]
+
+    def deal(batches):
+        for batch in batches:
+            bits = np.unpackbits(batch.column("fingerprint").to_numpy().astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
+            for k, order in enumerate(orders):
+                place = np.frombuffer(np.packbits(bits[:, order], axis=1).tobytes(), ">u8").astype(np.uint64)
+                bucket = (place >> np.uint64(BITS - lead) if lead else np.zeros_like(place)) * np.uint64(tables) + np.uint64(k)
+                made = [pa.array(bucket.view(np.int64)), pa.array(place.view(np.int64)), batch.column("id")]
+                yield pa.RecordBatch.from_arrays(made, ["bucket", "place", "id"])
+
+    def compare(batches):
+        held = [np.zeros(0, np.int64)] * 3  # the last rows of the batch before
+        for batch in batches:
+            fresh = [batch.column(c).to_numpy() for c in ("bucket", "place", "id")]
+            old = len(held[0])
+            bucket, place, own = (np.concatenate(both) for both in zip(held, fresh))
+            least, nearest = np.full(len(own), radius + 1), np.zeros(len(own), np.int64)
+            for back in range(1, min(WINDOW, len(own) - 1) + 1):
+                same = bucket[back:] == bucket[:-back]
+                if not same.any():
+                    break
+                apart = np.where(same, np.bitwise_count((place[back:] ^ place[:-back]).view(np.uint64)), BITS)
+                better = np.flatnonzero(apart < least[back:])
+                least[back + better], nearest[back + better] = apart[better], own[better]
+            found = np.flatnonzero(least[old:] <= radius) + old
+            a, b = own[found], nearest[found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            held = [c[-WINDOW:] for c in (bucket, place, own)]
+
+    dealt = prints.select("id", "fingerprint").mapInArrow(deal, "bucket long, place long, id long")
+    together = dealt.repartition("bucket").sortWithinPartitions("bucket", "place", "id")
+    return together.mapInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Fingerprint (16 hexadecimal digits) and component of every document.
 

@@ -89,3 +89,19 @@ def test_stages_with_null_and_repeated_ids(spark, tmp_path, monkeypatch):
         want[g] = min(want.get(g, (True, 0)), (d is None, d or 0))
     dirty = {g for (_, t), g in zip(rows, groups) if item in (t or "")}
     assert Counter((r.doc_id is None, r.doc_id or 0) for r in found) == Counter(v for g, v in want.items() if g not in dirty)
+
+
+def test_near_fingerprints_lead_to_the_groups(spark, monkeypatch):
+    # Without the prefix filter, the stage has what the fingerprints find: here all the groups.
+    assert dict(corpus_pipeline.STAGES)["simhash near-dedup"] is corpus_pipeline.near_duplicate_stage
+    rnd = random.Random(6)
+    rows = []
+    for k in range(30):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(300)]
+        rows.append((2 * k, " ".join(base)))
+        base[rnd.randrange(300)] = "other"
+        rows.append((2 * k + 1, " ".join(base)))
+    monkeypatch.setattr(similar, "_hub_pairs", lambda shared: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(similar, "_other_pairs", lambda shared, marks, groups: spark.createDataFrame([], "a long, b long"))
+    found = corpus_pipeline.near_duplicate_stage(spark, _frame(spark, rows), "").collect()
+    assert sorted(r.doc_id for r in found) == list(range(0, 60, 2))

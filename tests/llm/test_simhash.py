@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from afluente.llm.components import smallest_reachable
-from afluente.llm.simhash import fingerprint, links, near_duplicates, parts_for, visits
+from afluente.llm.simhash import fingerprint, fingerprint_of, links, near_duplicates, near_pairs, parts_for, visits
 
 SCHEMA = "doc_id long, text string, fingerprint int, component_id string"
 
@@ -72,3 +72,24 @@ def test_cases(spark):
         (False, 3, 3), (False, 5, 3), (False, 7, 7), (False, 7, 7), (False, 9, 7), (False, 11, 11), (True, 0, 7)]
     assert {r.fingerprint for r in found if r.doc_id in (3, 5)} == {"0" * 16}
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_near_pairs_at_a_wide_radius(spark):
+    rnd = random.Random(9)
+    values = [rnd.getrandbits(64) for _ in range(300)]
+    for value in values[:100]:
+        values += [value ^ sum(1 << k for k in rnd.sample(range(64), n)) for n in (3, 8)]
+    values += [values[0]] * 200  # more equal ones than a window has
+    signed = np.array(values, np.uint64).view(np.int64).tolist()
+    found = {(r.a, r.b) for r in near_pairs(spark.createDataFrame(list(enumerate(signed)), "id long, fingerprint long"), 14).collect()}
+    assert all(a < b and (values[a] ^ values[b]).bit_count() <= 14 for a, b in found)
+    assert {b for a, b in found if values[a] == values[b] == values[0]} == set(range(500, 700))
+    near = {(a, b) for a in range(100) for b in (300 + 2 * a, 301 + 2 * a)}
+    touched = {x for pair in found for x in pair}
+    assert sum(b in touched for _, b in near) >= 190
+    assert near_pairs(spark.createDataFrame([], "id long, fingerprint long"), 14).count() == 0
+
+
+def test_fingerprint_of_hashes():
+    hashes = np.array([5, 7, 2**63 + 1], np.uint64)
+    assert fingerprint_of(hashes) == 5 and fingerprint_of(hashes[:0]) == 0 and fingerprint_of(hashes[2:]) == 2**63 + 1
