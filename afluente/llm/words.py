@@ -13,8 +13,8 @@ from afluente.llm.common import spans
 class ChunkIds:
     """Ids of chunks by their text; ``encode`` gives them for a list of new chunks.
 
-    The table is emptied when it holds more than ``limit`` chunks, which bounds its memory and changes no result.
-    With ``decimal`` it also keeps every chunk's ids as text.
+    When the table holds more than ``limit`` chunks, those met only once leave it, and the rarer others beyond half of
+    it, which bounds its memory and changes no result. With ``decimal`` it also keeps every chunk's ids as text.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[np.ndarray] | list[list[int]]], limit: int = 400_000, decimal: bool = False) -> None:
@@ -27,14 +27,31 @@ class ChunkIds:
         self.pool = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
+        self.times = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def shrink(self) -> None:
+        """Keep the chunks met more than once, at most half of ``limit``, the most frequent ones; halve their counts."""
+        count = len(self.index)
+        kept = np.flatnonzero(self.times[:count] > 1)
+        if len(kept) > self.limit // 2:
+            kept = np.sort(kept[np.argsort(-self.times[kept], kind="stable")[: self.limit // 2]])
+        chunks, pool, lengths, times = list(self.index), self.ids(kept), self.lengths[kept], self.times[kept] // 2
+        texts = self.texts
+        self.clear()
+        self.index = {chunks[k]: n for n, k in enumerate(kept.tolist())}
+        if self.decimal:
+            self.texts = [texts[k] for k in kept.tolist()]
+        self.used = len(pool)
+        self.pool = pool
+        self.starts, self.lengths, self.times = np.cumsum(lengths) - lengths, lengths, times
+
     def add(self, chunks: list[str]) -> None:
         encoded = self.encode(chunks)
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         first, total = len(self.index), int(sizes.sum())
         self.pool = _room(self.pool, self.used + total)
-        self.starts, self.lengths = _room(self.starts, first + len(chunks)), _room(self.lengths, first + len(chunks))
+        self.starts, self.lengths, self.times = (_room(a, first + len(chunks)) for a in (self.starts, self.lengths, self.times))
         if total:
             lists = isinstance(encoded[0], list)
             flat = np.fromiter(chain.from_iterable(encoded), np.int32, total) if lists else np.concatenate(encoded)
@@ -49,12 +66,13 @@ class ChunkIds:
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """The number of every chunk in the table, unknown chunks added first."""
         if len(self.index) > self.limit:
-            self.clear()
+            self.shrink()
         found = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
         unknown = np.flatnonzero(found < 0).tolist()
         if unknown:
             self.add(list(dict.fromkeys(chunks[k] for k in unknown)))
             found[unknown] = [self.index[chunks[k]] for k in unknown]
+        self.times[: len(self.index)] += np.bincount(found, minlength=len(self.index))
         return found
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:

@@ -68,3 +68,35 @@ def test_ids_must_fit_the_width(spark):
     rows = spark.createDataFrame([(1, "some words of a text", "", "", "")], SCHEMA)
     with pytest.raises(Exception, match="does not fit"):
         write_token_files(rows, PATH, 2, width=1)
+
+
+def test_recurring_words_stay_known():
+    from afluente.llm.words import ChunkIds
+
+    asked = []
+
+    def encode(chunks):
+        asked.extend(chunks)
+        return [np.array([len(c), *c.encode()], np.int32) for c in chunks]
+
+    table = ChunkIds(encode, limit=40, decimal=True)
+    rnd = random.Random(3)
+    for k in range(60):
+        words = ["often", "again", *(f"w{rnd.randrange(10**6)}" for _ in range(10)), "", "often"]
+        numbers = table.numbers(words)
+        assert table.ids(numbers).tolist() == [x for w in words for x in (len(w), *w.encode())]
+        assert [table.texts[n] for n in numbers] == [",".join(map(str, (len(w), *w.encode()))) for w in words]
+        assert len(table.index) <= 40 + len(words)
+    assert asked.count("often") == asked.count("again") == asked.count("") == 1
+    for k in range(50):  # more recurring words than may stay
+        table.numbers([f"r{k}"] * 3)
+    assert len(table.index) <= 41
+
+
+def test_encoder_stays_with_the_worker(library):
+    from afluente.llm.tokenfiles import worker_encoder
+
+    assert worker_encoder(PATH) is worker_encoder(PATH)
+    texts = _texts()
+    for _ in range(2):
+        assert [i.tolist() for i in worker_encoder(PATH).encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
