@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -230,6 +232,17 @@ class Aligner:
         }
 
 
+def worker_aligner(byte_vocabulary: str, piece_vocabulary: str) -> Aligner:
+    """The aligner that this Python worker keeps from task to task, with the words it knows; a bounded table."""
+    found = [os.stat(p) for p in (byte_vocabulary, piece_vocabulary)]
+    return _aligner(byte_vocabulary, piece_vocabulary, *(x for f in found for x in (f.st_mtime_ns, f.st_size)))
+
+
+@functools.lru_cache(maxsize=1)
+def _aligner(byte_vocabulary: str, piece_vocabulary: str, *version: int) -> Aligner:
+    return Aligner(byte_vocabulary, piece_vocabulary)
+
+
 def align_documents(documents: DataFrame, byte_vocabulary: str, piece_vocabulary: str) -> DataFrame:
     """Tokens of every whole text under both vocabularies, cut into groups where tokens of both end, one row per row.
 
@@ -244,9 +257,8 @@ def align_documents(documents: DataFrame, byte_vocabulary: str, piece_vocabulary
 
     def run(batches):
         fresh_worker()
-        aligner = None
         for batch in slices(batches, limit=SLICE):
-            aligner = aligner or Aligner(byte_vocabulary, piece_vocabulary)
+            aligner = worker_aligner(byte_vocabulary, piece_vocabulary)
             gc.disable()  # the lists of a slice hold no cycles, and looking through them takes a tenth of the time
             try:
                 found = aligner.rows(batch.column("text"))

@@ -239,3 +239,11 @@ def test_alignment_of_the_sample_table(spark):
     found = crosstokens.score_links(documents, *VOCABULARIES)
     assert key(tuple(r) for r in found.collect()) == key(alignment(rows))
     assert found.agg(F.sum("n_links")).first()[0] > 10_000
+
+
+def test_aligner_stays_with_the_worker():
+    texts = pa.array(["one two three", "", "one  two\nthree é"])
+    first = crosstokens.worker_aligner(*VOCABULARIES)
+    before = first.rows(texts)
+    assert crosstokens.worker_aligner(*VOCABULARIES) is first
+    assert all(before[k].equals(v) for k, v in first.rows(texts).items())
