@@ -189,7 +189,11 @@ def near_pairs(prints: DataFrame, radius: int, tables: int = TABLES) -> DataFram
     and sorts by it; fingerprints with the same first bits are a bucket, and each is paired with the nearest of those
     up to ``WINDOW`` places before it, so that a bucket of any size costs no square. Every pair given is within the
     radius; pairs may be missed, the farther apart the likelier, so who needs all must look for the rest by other means.
+
+    A second fingerprint in ``check`` drops pairs that differ in more than twice ``radius`` bits of both: at a wide radius
+    the pairs that are near by chance grow much faster than the rows.
     """
+    checked = ["check"] if "check" in prints.columns else []
     lead = max(0, prints.count().bit_length() - BUCKET.bit_length())
     orders = [np.random.default_rng(k).permutation(BITS) for k in range(tables)]
 
@@ -199,15 +203,15 @@ def near_pairs(prints: DataFrame, radius: int, tables: int = TABLES) -> DataFram
             for k, order in enumerate(orders):
                 place = np.frombuffer(np.packbits(bits[:, order], axis=1).tobytes(), ">u8").astype(np.uint64)
                 bucket = (place >> np.uint64(BITS - lead) if lead else np.zeros_like(place)) * np.uint64(tables) + np.uint64(k)
-                made = [pa.array(bucket.view(np.int64)), pa.array(place.view(np.int64)), batch.column("id")]
-                yield pa.RecordBatch.from_arrays(made, ["bucket", "place", "id"])
+                made = [pa.array(bucket.view(np.int64)), pa.array(place.view(np.int64)), *(batch.column(c) for c in ["id", *checked])]
+                yield pa.RecordBatch.from_arrays(made, ["bucket", "place", "id", *checked])
 
     def compare(batches):
-        held = [np.zeros(0, np.int64)] * 3  # the last rows of the batch before
+        held = [np.zeros(0, np.int64)] * (3 + len(checked))  # the last rows of the batch before
         for batch in batches:
-            fresh = [batch.column(c).to_numpy() for c in ("bucket", "place", "id")]
+            fresh = [batch.column(c).to_numpy() for c in ("bucket", "place", "id", *checked)]
             old = len(held[0])
-            bucket, place, own = (np.concatenate(both) for both in zip(held, fresh))
+            bucket, place, own, *check = both = [np.concatenate(pair) for pair in zip(held, fresh)]
             least, nearest = np.full(len(own), radius + 1), np.zeros(len(own), np.int64)
             for back in range(1, min(WINDOW, len(own) - 1) + 1):
                 same = bucket[back:] == bucket[:-back]
@@ -215,13 +219,17 @@ def near_pairs(prints: DataFrame, radius: int, tables: int = TABLES) -> DataFram
                     break
                 apart = np.where(same, np.bitwise_count((place[back:] ^ place[:-back]).view(np.uint64)), BITS)
                 better = np.flatnonzero(apart < least[back:])
-                least[back + better], nearest[back + better] = apart[better], own[better]
+                least[back + better], nearest[back + better] = apart[better], better
             found = np.flatnonzero(least[old:] <= radius) + old
-            a, b = own[found], nearest[found]
+            for second in check:
+                apart = np.bitwise_count((second[found] ^ second[nearest[found]]).view(np.uint64))
+                found = found[least[found] + apart <= 2 * radius]
+            a, b = own[found], own[nearest[found]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            held = [c[-WINDOW:] for c in (bucket, place, own)]
+            held = [c[-WINDOW:] for c in both]
 
-    dealt = prints.select("id", "fingerprint").mapInArrow(deal, "bucket long, place long, id long")
+    schema = ", ".join(f"{name} long" for name in ("bucket", "place", "id", *checked))
+    dealt = prints.select("id", "fingerprint", *checked).mapInArrow(deal, schema)
     together = dealt.repartition("bucket").sortWithinPartitions("bucket", "place", "id")
     return together.mapInArrow(compare, "a long, b long").distinct()
 

@@ -4,6 +4,9 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from afluente.llm import decontaminate, quality, similar
 
@@ -105,3 +108,50 @@ def test_near_fingerprints_lead_to_the_groups(spark, monkeypatch):
     monkeypatch.setattr(similar, "_other_pairs", lambda shared, marks, groups: spark.createDataFrame([], "a long, b long"))
     found = corpus_pipeline.near_duplicate_stage(spark, _frame(spark, rows), "").collect()
     assert sorted(r.doc_id for r in found) == list(range(0, 60, 2))
+
+
+def test_sketches_of_any_size_tell_chance_pairs():
+    rnd = np.random.default_rng(8)
+    for size in (1, 5, 60, 700, 20_000):
+        some, far = (np.unique(rnd.integers(0, 2**63, size).astype(np.uint64)) for _ in range(2))
+        near = np.sort(np.concatenate([some[: -(-9 * size // 10)], far[: size // 20]]))
+        sets = [some, near, far]
+        marks = similar._Sketches(pa.array([similar.sketch(h) for h in sets], pa.binary()))
+        for a, b in itertools.product(range(3), repeat=2):
+            apart = int(marks.apart(np.array([a]), marks, np.array([b]))[0])
+            assert apart <= len(np.setxor1d(sets[a], sets[b]))
+            likely = similar._near_sketches(len(sets[a]) + len(sets[b]), apart)
+            assert likely == (a == b or 2 not in (a, b)), (size, a, b)
+
+
+def test_chance_pairs_are_dropped_before_any_join(spark, monkeypatch):
+    # Different texts of few common phrases share shingles of their prefixes, and fingerprints are near by chance.
+    rnd = random.Random(11)
+    phrases = [" ".join(f"p{rnd.randrange(500)}" for _ in range(8)) for _ in range(150)]
+    rows = [(k, " ".join(rnd.choice(phrases) for _ in range(25))) for k in range(300)]
+    rows += [(1000 + k, f"{t} end") for k, t in rows[:40]]
+    tried = []
+    plain = similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda pairs, *rest: tried.append(pairs.count()) or plain(pairs, *rest))
+    found = similar.without_near_duplicates(_frame(spark, rows)).collect()
+    assert len(found) == len(set(_groups([t for _, t in rows]))) == 300
+    assert sum(tried) <= 80
+
+
+def test_all_pairs_of_large_and_small_shingles(spark):
+    rnd = random.Random(12)
+    rows, sets = [], {}
+    for k in range(200):
+        own, size = k + 1, rnd.choice([100, 120, 400])
+        sets[own] = np.unique(np.array([rnd.randrange(2**40) for _ in range(size)], np.uint64))
+        rows += [(1, own, size), (2 + k // 5, own, size)]  # one shingle in all, others in five each
+    marks = spark.createDataFrame([(i, similar.sketch(h)) for i, h in sets.items()], "id long, sketch binary")
+    groups = spark.createDataFrame([(i, i % 190) for i in sets], "id long, low long")
+    shared = spark.createDataFrame(rows, "shingle long, id long, size long")
+    sets_of = spark.createDataFrame([(i, similar.sketch(sets[1])) for i in sets], "id long, sketch binary")
+    sizes = {i: s for _, i, s in rows}
+    want = {(a, b) for a, b in itertools.combinations(sets, 2) if a % 190 != b % 190 and 5 * min(sizes[a], sizes[b]) >= 4 * max(sizes[a], sizes[b])}
+    assert {(r.a, r.b) for r in similar._other_pairs(shared, sets_of, groups).collect()} == want
+    hubs = similar._hub_pairs(similar._mixed(shared, sets_of, groups)).collect()
+    assert {(r.a, r.b) for r in hubs} < want and len(hubs) <= 3 * len(rows)
+    assert similar._other_pairs(shared, marks, groups).count() == 0
