@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from afluente.llm.components import smallest_reachable
 from afluente.llm.simhash import fingerprint, fingerprint_of, links, near_duplicates, near_pairs, parts_for, visits
@@ -50,6 +51,20 @@ def test_links_join_all_near_fingerprints(spark, parts):
     assert components == {v: lowest[t] for v, t in wanted.items()}
 
 
+def test_components_write_few_tables(spark, monkeypatch):
+    from afluente.llm import components
+
+    saved, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df: saved.append(df) or write(df))
+    nodes = spark.range(200).select(F.col("id").alias("fingerprint"), F.col("id").alias("low"))
+    chain = nodes.select(F.col("low").alias("a"), F.greatest("low", F.lit(1)).alias("b")).selectExpr("a", "b - 1 as b").coalesce(1)
+    for links, most in ((chain.limit(0), 1), (chain, 2)):
+        saved.clear()
+        found = {r.fingerprint: r.component for r in components.smallest_reachable(nodes, links).collect()}
+        assert found == {k: k if most == 1 else 0 for k in range(200)}
+        assert len(saved) <= most
+
+
 def test_visits_cover_all_changes_once():
     moves = set(visits(4))
     assert not any(tuple(-x for x in m) in moves for m in moves)
