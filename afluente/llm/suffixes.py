@@ -18,11 +18,12 @@ LENGTH = 50
 GRAM = 12  # bytes of the anchor that decides where a string is compared, a multiple of four
 BLOCK_BYTES = 3 << 20  # text bytes of a map-side block
 BUCKET_BYTES = 8 << 20  # bytes of anchor hashes or of segments that a bucket should have
-GROUP_BYTES = 1 << 20  # segment bytes that are sorted at once; about 120 times as much memory is used
+GROUP_BYTES = 1 << 18  # segment bytes that are sorted at once, in arrays that caches hold; about 120 times as much memory is used
 TARGET_BYTES = 32 << 20  # text bytes of the documents whose runs one target puts together
 PAIRS = 0.12  # pairs per text byte: anchors change about every (LENGTH - GRAM + 2) / 2 bytes, at either end
 SEGMENT = 64  # bytes of a segment: its windows begin at about 15 places, the last brings LENGTH - 1 bytes more
 BLOB_ROWS = 32  # rows of an Arrow batch where a row may hold a whole block
+CHUNK = 1 << 17  # bytes whose anchors are found at once
 WIDE = 512  # intervals above this are extended symbol by symbol, others element by element
 NOBODY = -(2**63)
 
@@ -153,6 +154,17 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     n = len(data) - GRAM + 1
     if n < length - GRAM + 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    windows = len(data) - length + 1
+    low, pair, hashed = np.empty(windows, np.int64), np.empty(windows, np.uint64), np.empty(n, np.uint64)
+    for start in range(0, windows, CHUNK):  # the arrays of all steps are small, whatever the size of the data
+        stop = min(start + CHUNK, windows)
+        at, found, grams = _anchors(data[start : stop + length - 1], length)
+        low[start:stop], pair[start:stop], hashed[start : start + len(grams)] = at + start, found, grams
+    return low, pair, hashed
+
+
+def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(data) - GRAM + 1
     one = data.astype(np.uint64)
     two = one[:-1] * np.uint64(257) + one[1:]
     four = two[:-2] * np.uint64(66_067) + two[2:]

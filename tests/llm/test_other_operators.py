@@ -69,6 +69,22 @@ def test_repeated_strings(spark, monkeypatch, small):
     assert suffixes.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_anchors_of_a_block_need_little_memory():
+    import tracemalloc
+
+    data = np.random.default_rng(5).integers(97, 101, suffixes.BLOCK_BYTES).astype(np.uint8)
+    tracemalloc.start()
+    anchor, pair, hashed = suffixes.anchors(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(data)  # 24 are returned
+    for start in (0, suffixes.CHUNK - 60, len(data) - 300):  # the same as those of a small piece, over bounds of chunks too
+        some = slice(start, start + 251)
+        own = suffixes.anchors(data[start : start + 300])
+        assert (own[0] + start == anchor[some]).all() and (own[1] == pair[some]).all()
+        assert (own[2] == hashed[start : start + len(own[2])]).all()
+
+
 def test_long_texts_of_personal_data_take_time_in_proportion(spark):
     model = pii.train(frame(spark, [(k, f"call +1 {5550000000 + k} now or a{k}@b.co") for k in range(200)]))
     times = []
