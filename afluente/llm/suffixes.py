@@ -18,115 +18,158 @@ LENGTH = 50
 GRAM = 12  # bytes of the anchor that decides where a string is compared, a multiple of four
 BLOCK_BYTES = 3 << 20  # text bytes of a map-side block
 BUCKET_BYTES = 8 << 20  # bytes of anchor hashes or of segments that a bucket should have
-GROUP_BYTES = 1 << 18  # segment bytes that are sorted at once, in arrays that caches hold; about 120 times as much memory is used
+GROUP_BYTES = 1 << 18  # segment bytes that are sorted at once, in arrays that caches hold; about 70 times as much memory is used
 TARGET_BYTES = 32 << 20  # text bytes of the documents whose runs one target puts together
 PAIRS = 0.12  # pairs per text byte: anchors change about every (LENGTH - GRAM + 2) / 2 bytes, at either end
 SEGMENT = 64  # bytes of a segment: its windows begin at about 15 places, the last brings LENGTH - 1 bytes more
 BLOB_ROWS = 32  # rows of an Arrow batch where a row may hold a whole block
-CHUNK = 1 << 17  # bytes whose anchors are found at once
-WIDE = 512  # intervals above this are extended symbol by symbol, others element by element
+CHUNK = 1 << 15  # bytes whose anchors are found at once, in arrays that caches hold
+SEED = 12  # symbols, at most, of the strings that the breadth-first extension begins with
+WIDE = 1 << 13  # intervals above this are extended symbol by symbol, others element by element
 NOBODY = -(2**63)
 
 
-def suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
-    """Rotations of ``symbols`` (0 to 256) sorted by at least their first ``length`` symbols."""
+def _first_symbols(symbols: np.ndarray, count: int, bits: int) -> np.ndarray:
+    """The first ``count`` symbols of every rotation as one number, joined by doubling."""
+    if count == 1:
+        return symbols.astype(np.int64)
+    half = _first_symbols(symbols, count // 2, bits)
+    key = half << bits * (count // 2) | np.roll(half, -(count // 2))
+    return key << bits | np.roll(symbols, 1 - count) if count % 2 else key
+
+
+def suffix_order(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Rotations of ``symbols`` sorted by at least their first ``length`` symbols.
+
+    Also, in that order, which rotations differ from the one before in their first few symbols, which of these do so in
+    the last of the few alone, and how many the few are: as many as fit one number.
+    """
     n = len(symbols)
-    key = np.zeros(n, np.int64)
-    for k in range(7):
-        key = key << 9 | np.roll(symbols, -k)
-    order = np.argsort(key)  # ties get one rank, whatever their order
-    known = 7
-    while True:
-        ordered = key[order]
-        fresh = np.empty(n, bool)
-        fresh[:1], fresh[1:] = True, ordered[1:] != ordered[:-1]
-        first = np.flatnonzero(fresh)
-        group = np.cumsum(fresh) - 1
-        rank = np.empty(n, np.int64)
-        rank[order] = first[group]
-        tied = ~fresh
-        tied[:-1] |= ~fresh[1:]
-        if known >= length or not tied.any():
-            return order
-        # Only members of groups above one are sorted again, by what follows them.
-        key = rank << 32 | np.roll(rank, -known)
+    bits = max(1, int(symbols.max()).bit_length())
+    few = known = min(63 // bits, SEED, length)
+    key = _first_symbols(symbols, few, bits)
+    order = np.argsort(key).astype(np.int32)  # ties get one rank, whatever their order
+    ordered = key[order]
+    fresh = np.ones(n, bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    ordered >>= bits
+    late = fresh.copy()
+    late[:1], late[1:] = False, fresh[1:] & (ordered[1:] == ordered[:-1])
+    changes = fresh
+    width = n.bit_length()
+    ranks = 63 // width  # that fit one number
+    while known < length:
+        tied = ~changes
+        tied[:-1] |= ~changes[1:]
         places = np.flatnonzero(tied)
+        if not len(places):
+            break
+        first = np.flatnonzero(changes).astype(np.int32)
+        rank = np.empty(n, np.int32)
+        rank[order] = np.repeat(first, np.diff(first, append=n))
+        # Only members of groups above one are sorted again, by what follows them.
         some = order[places]
-        order[places] = some[np.argsort(key[some])]
-        known *= 2
-
-
-def prefix_bounds(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+        again = rank[some].astype(np.int64)
+        taken = 1
+        while taken < ranks and known * taken < length:
+            after = some + np.int32(known * taken % n)
+            after[after >= n] -= n
+            again = again << width | rank[after]
+            taken += 1
+        turn = np.argsort(again)
+        order[places] = some[turn]
+        known *= taken
+        if known < length:
+            again = again[turn]
+            changes = changes.copy()
+            changes[places[1:]] |= again[1:] != again[:-1]
+    return order, fresh, late, few
+
+
+def prefix_bounds(symbols: np.ndarray, order: np.ndarray, fresh: np.ndarray, late: np.ndarray, few: int, length: int) -> np.ndarray:
     """Where, in sorted order, the common prefix with the rotation before is shorter than ``length``.
 
     Breadth first on the transform: all intervals of strings of one length are extended backward by one symbol at
     once. The end of an interval of a string of length l + 1 has a common prefix of l unless it was found before, so
-    values come in increasing order and the search ends below ``length``; what is left has at least that much.
+    values come in increasing order and the search ends below ``length``; what is left has at least that much. The
+    search begins at the strings of ``few`` symbols, whose intervals the order has shown.
     """
     n = len(symbols)
     bwt = symbols[order - 1]
-    back = np.argsort(bwt.astype(np.uint16), kind="stable")  # the k-th rotation in order extends the rotation at back[k]
-    forward = np.empty(n, np.int64)
-    forward[back] = np.arange(n)
-    counts = np.bincount(bwt, minlength=257)
+    back = np.argsort(bwt, kind="stable").astype(np.int32)  # the k-th rotation in order extends the rotation at back[k]
+    forward = np.empty(n, np.int32)
+    forward[back] = np.arange(n, dtype=np.int32)
+    counts = np.bincount(bwt)
     starts = np.cumsum(counts) - counts
     sorted_symbols = bwt[back]
-    before, after = np.full(n, -1, np.int64), np.full(n, n, np.int64)
-    same = np.flatnonzero(sorted_symbols[1:] == sorted_symbols[:-1])
-    before[back[same + 1]] = back[same]
-    after[back[same]] = back[same + 1]
-    found = np.zeros(n + 1, bool)
-    found[0] = found[n] = True
-    lows, highs = np.array([0]), np.array([n])
-    for _ in range(length):
-        wide = highs - lows > WIDE
+    before, after = np.full(n, -1, np.int32), np.full(n, n, np.int32)
+    same = sorted_symbols[1:] == sorted_symbols[:-1]
+    ahead, behind = back[:-1][same], back[1:][same]
+    before[behind], after[ahead] = ahead, behind
+    found = np.empty(n + 1, bool)
+    found[:n], found[n] = fresh, True
+    edges = np.flatnonzero(found).astype(np.int32)
+    chosen = np.append(late[edges[1:-1]], False)  # the end differs in the last symbol alone
+    lows, highs = edges[:-1][chosen], edges[1:][chosen]
+    for _ in range(few, length):
+        if not len(lows):
+            break
+        sizes = highs - lows
+        wide = sizes > WIDE
+        some = wide.any()
         new_lows, new_highs = [], []
-        for symbol in np.flatnonzero(counts) if wide.any() else ():
+        for symbol in np.flatnonzero(counts) if some else ():
             own = back[starts[symbol] : starts[symbol] + counts[symbol]]
             a, b = np.searchsorted(own, lows[wide]), np.searchsorted(own, highs[wide])
-            new_lows.append(starts[symbol] + a[b > a])
-            new_highs.append(starts[symbol] + b[b > a])
-        small_lows, small_highs = lows[~wide], highs[~wide]
-        if len(small_lows):
-            sizes = small_highs - small_lows
-            places = spans(small_lows, sizes)
-            first = before[places] < np.repeat(small_lows, sizes)
-            last = after[places] >= np.repeat(small_highs, sizes)
+            new_lows.append((starts[symbol] + a[b > a]).astype(np.int32))
+            new_highs.append((starts[symbol] + b[b > a]).astype(np.int32))
+        if some:
+            lows, highs, sizes = lows[~wide], highs[~wide], sizes[~wide]
+        if len(lows):
+            ends = np.cumsum(sizes, dtype=np.int32)
+            own_low, own_high = np.repeat(lows, sizes), np.repeat(highs, sizes)
+            places = np.repeat(lows - (ends - sizes), sizes)
+            places += np.arange(len(places), dtype=np.int32)
+            first = before[places] < own_low
+            last = after[places] >= own_high
             # In order of what they lead to, first and last elements of the same interval and symbol stand side by side.
             new_lows.append(np.sort(forward[places[first]]))
-            new_highs.append(np.sort(forward[places[last]]) + 1)
-        lows, highs = np.concatenate(new_lows), np.concatenate(new_highs)
+            new_highs.append(np.sort(forward[places[last]]) + np.int32(1))
+        lows, highs = (np.concatenate(new_lows), np.concatenate(new_highs)) if some else (new_lows[0], new_highs[0])
         open_ends = ~found[highs]
         lows, highs = lows[open_ends], highs[open_ends]
-        if not len(lows):
-            break
         found[highs] = True
-        turn = np.argsort(lows)
-        lows, highs = lows[turn], highs[turn]
+        if some:
+            turn = np.argsort(lows)
+            lows, highs = lows[turn], highs[turn]
     return found[:n]
 
 
 def repeated_windows(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """For every byte of the joined segments: whether the string of ``length`` bytes from there, within its segment,
     also starts in a segment of a smaller document."""
-    if not len(data):
-        return np.zeros(0, bool)
-    starts = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    symbols = np.zeros(len(data) + len(sizes), np.int64)  # zero ends a segment
-    place = np.arange(len(data)) + owner
-    symbols[place] = data.astype(np.int64) + 1
-    order = suffix_order(symbols, length)
-    group = np.cumsum(prefix_bounds(symbols, order, length)) - 1
-    inside = np.arange(len(data)) - starts[owner] + length <= sizes[owner]
-    holder = np.full(len(symbols), np.iinfo(np.int64).max, np.int64)
-    holder[place[inside]] = docs[owner[inside]]
-    heads = np.flatnonzero(np.diff(group, prepend=-1))
-    least = np.minimum.reduceat(holder[order], heads)
-    lowest = np.empty(len(symbols), np.int64)
-    lowest[order] = least[group]
     out = np.zeros(len(data), bool)
-    out[inside] = lowest[place[inside]] < docs[owner[inside]]
+    within = np.maximum(sizes - length + 1, 0)  # windows of each segment
+    if not within.any():
+        return out
+    # The bytes that there are, numbered from one without gaps; zero ends a segment.
+    there = np.bincount(data, minlength=256) > 0
+    numbers = np.cumsum(there).astype(np.uint8 if there.sum() < 256 else np.uint16)
+    starts = np.cumsum(sizes) - sizes
+    symbols = np.zeros(len(data) + len(sizes), numbers.dtype)
+    place = np.ones(len(symbols), bool)
+    place[np.cumsum(sizes) + np.arange(len(sizes))] = False
+    symbols[place] = numbers[data]
+    order, *start = suffix_order(symbols, length)
+    bounds = prefix_bounds(symbols, order, *start, length)
+    group = np.empty(len(symbols), np.int32)
+    group[order] = np.cumsum(bounds, dtype=np.int32)
+    windows = np.repeat(np.arange(len(sizes)), within)  # the segment of each
+    at = spans(starts, within)
+    group = group[at + windows]
+    least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, docs[windows])
+    out[at] = least[group] < docs[windows]
     return out
 
 
@@ -153,13 +196,14 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     """
     n = len(data) - GRAM + 1
     if n < length - GRAM + 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     windows = len(data) - length + 1
-    low, pair, hashed = np.empty(windows, np.int64), np.empty(windows, np.uint64), np.empty(n, np.uint64)
+    low, pair, hashed = np.empty(windows, np.int32), np.empty(windows, np.uint64), np.empty(n, np.uint64)
     for start in range(0, windows, CHUNK):  # the arrays of all steps are small, whatever the size of the data
         stop = min(start + CHUNK, windows)
         at, found, grams = _anchors(data[start : stop + length - 1], length)
-        low[start:stop], pair[start:stop], hashed[start : start + len(grams)] = at + start, found, grams
+        low[start:stop], pair[start:stop], hashed[start : start + len(grams)] = at, found, grams
+        low[start:stop] += start
     return low, pair, hashed
 
 
@@ -172,13 +216,21 @@ def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
     for k in range(4, GRAM, 4):
         hashed *= np.uint64(0x100000001B3)
         hashed += four[k : k + n]
-    hashed = (hashed ^ hashed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    hashed ^= hashed >> np.uint64(29)
+    hashed *= np.uint64(0xBF58476D1CE4E5B9)
     hashed ^= hashed >> np.uint64(32)
-    low, high = _extremes((hashed >> np.uint64(33)).astype(np.int64) << 32 | np.arange(n), length - GRAM + 1)
-    low, high = low & 0xFFFFFFFF, high & 0xFFFFFFFF
-    pair = (hashed[low] ^ hashed[high] * np.uint64(0x9E3779B97F4A7C15)) + (high - low).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    # First bits of the hash, the same number of them everywhere, and the place share 32 bits.
+    mask = np.uint32((1 << (CHUNK + length).bit_length()) - 1)
+    low, high = _extremes((hashed >> np.uint64(32)).astype(np.uint32) & ~mask | np.arange(n, dtype=np.uint32), length - GRAM + 1)
+    low, high = (low & mask).astype(np.int32), (high & mask).astype(np.int32)
+    change = np.ones(len(low), bool)
+    change[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    heads = np.flatnonzero(change)
+    a, b = low[heads], high[heads]
+    pair = (hashed[a] ^ hashed[b] * np.uint64(0x9E3779B97F4A7C15)) + (b - a).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     pair = (pair ^ pair >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-    return low, pair ^ pair >> np.uint64(29), hashed
+    pair ^= pair >> np.uint64(29)
+    return low, np.repeat(pair, np.diff(heads, append=len(low))), hashed
 
 
 def _segments(wanted: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,9 +295,10 @@ def _in_several(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Which rows have a key that rows of another document have too."""
     if not len(keys):
         return np.zeros(0, bool)
-    order = np.argsort(keys, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-    low, high = np.minimum.reduceat(docs[order], heads), np.maximum.reduceat(docs[order], heads)
+    order = np.argsort(keys)
+    ordered, docs = keys[order], docs[order]
+    heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    low, high = np.minimum.reduceat(docs, heads), np.maximum.reduceat(docs, heads)
     out = np.empty(len(keys), bool)
     out[order] = np.repeat(low != high, np.diff(np.append(heads, len(keys))))
     return out
@@ -352,8 +405,11 @@ def _blocks(rows: DataFrame) -> tuple[DataFrame, str]:
 def _cut(bounds: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Anchors, pairs and hashes of a block, the document each window starts in, and whether the window ends in it too."""
     anchor, pair, hashed = anchors(data, length)
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(anchor)]
-    return anchor, pair, hashed, owner, np.arange(len(anchor)) + length <= bounds[1:][owner]
+    owner = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))[: len(anchor)]
+    inside = np.ones(len(anchor), bool)
+    tails = np.maximum(bounds[1:] - length + 1, bounds[:-1])  # windows that begin here end beyond the document
+    inside[spans(tails, np.minimum(bounds[1:], len(anchor)) - np.minimum(tails, len(anchor)))] = False
+    return anchor, pair, hashed, owner, inside
 
 
 def _codes(pairs: np.ndarray, buckets: int) -> np.ndarray:
@@ -379,7 +435,8 @@ def _shared_pairs(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
             for name, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist()):
                 bounds, data = _unpack(blob, _BLOCK_KINDS, [2, 3])
                 _, pair, _, _, inside = _cut(bounds, data, length)
-                codes = np.unique(_codes(pair[_segments(inside, pair)[0]], buckets))
+                codes = np.sort(_codes(pair[_segments(inside, pair)[0]], buckets))
+                codes = codes[np.diff(codes, prepend=~codes[:1]) != 0]
                 parts = _by_bucket(codes >> np.uint64(32), buckets)
                 yield _batch(
                     bucket=([k for k, _ in parts], pa.int32()),

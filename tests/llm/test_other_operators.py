@@ -69,6 +69,31 @@ def test_repeated_strings(spark, monkeypatch, small):
     assert suffixes.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("signs", [1, 2, 26, 256])
+def test_transform_of_a_group(signs):
+    import tracemalloc
+
+    rnd = np.random.default_rng(signs)
+    pool = rnd.integers(256 - signs, 256, 1 << 13).astype(np.uint8)
+    sizes = rnd.integers(0, 90, 1500)
+    sizes[:4] = 0, 49, 50, 400
+    data = np.concatenate([pool[k : k + n] for k, n in zip(rnd.integers(0, len(pool) - 400, len(sizes)), sizes)])
+    docs = rnd.integers(0, 300, len(sizes)) + suffixes.NOBODY
+    places = [(e - n, e, d) for e, n, d in zip(np.cumsum(sizes).tolist(), sizes.tolist(), docs.tolist())]
+    raw, first = data.tobytes(), {}
+    for start, end, doc in places:
+        for p in range(start, end - 49):
+            first[raw[p : p + 50]] = min(first.get(raw[p : p + 50], doc), doc)
+    want = [p for start, end, doc in places for p in range(start, end - 49) if first[raw[p : p + 50]] < doc]
+    tracemalloc.start()
+    found = suffixes.repeated_windows(data, sizes, docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.flatnonzero(found).tolist() == want
+    assert peak < 80 * len(data)
+    assert not suffixes.repeated_windows(data[:30], np.array([30]), docs[:1]).any()
+
+
 def test_anchors_of_a_block_need_little_memory():
     import tracemalloc
 
