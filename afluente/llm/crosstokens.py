@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from afluente.llm.common import fresh_worker, slices, small_batches, spans, text_bytes, texts_of
 from afluente.llm.pieces import SPACE, load
-from afluente.llm.tokenfiles import ByteEncoder
+from afluente.llm.tokenfiles import ByteEncoder, as_one
 from afluente.llm.words import ChunkIds
 from afluente.session import written
 
@@ -34,15 +34,15 @@ class SpacedEncoder(ByteEncoder):
         self.table = ChunkIds(self._words, limit=WORDS)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [self._as_one(t) for t in texts]
-        parts = [[] if as_one else t.replace("\n", " \n").split(" ") for t, as_one in zip(texts, whole)]
+        whole = as_one(pa.array(texts, pa.string())).tolist()
+        parts = [[] if alone else t.replace("\n", " \n").split(" ") for t, alone in zip(texts, whole)]
         numbers = self.table.numbers([w for p in parts for w in p])
         flat = self.table.ids(numbers)
         ends = np.concatenate([[0], np.cumsum(self.table.lengths[numbers])])
-        others = iter(self._all([" " + t for t, as_one in zip(texts, whole) if as_one]))
+        others = iter(self._all([" " + t for t, alone in zip(texts, whole) if alone]))
         out, at = [], 0
-        for p, as_one in zip(parts, whole):
-            out.append(np.array(next(others), np.int32) if as_one else flat[ends[at] : ends[at + len(p)]])
+        for p, alone in zip(parts, whole):
+            out.append(np.array(next(others), np.int32) if alone else flat[ends[at] : ends[at + len(p)]])
             at += len(p)
         return out
 

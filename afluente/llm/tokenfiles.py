@@ -6,21 +6,22 @@ import functools
 import gc
 import hashlib
 import os
-import re
 import struct
 import uuid
 import zlib
 from dataclasses import dataclass
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from afluente.llm.common import fresh_worker, id_bounds, in_id_order, partitions_of, slices, small_batches, texts_of
-from afluente.llm.words import ChunkIds
+from afluente.llm.common import fresh_worker, id_bounds, in_id_order, partitions_of, slices, small_batches, text_bytes, texts_of
+from afluente.llm.words import ArrowChunkIds
 from afluente.session import shared_folder, written
 
 MAGIC = b"TIDF0001"
@@ -32,6 +33,24 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCUMENTS = 2000  # documents, and the characters of each, that the dictionary is trained on
 SAMPLE_CHARS = 8000
 LEVEL = 3
+PLAIN = 0x250  # code points that words of plain signs are made of are below this
+LINE_END, WORD_END = 4, 5
+BLOCK_WORDS = 4096  # new words that go to the model at once
+NO_SINGLE_BLANKS = (
+    r"[ \n][ \n]|\A[ \n]|[ \n]\z|\A\z"
+    r"|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+
+
+def _kind(sign: str) -> int:
+    """What the pattern takes a plain sign for: letter, digit or another sign. 0: left to the library."""
+    if sign in "\n\t":
+        return LINE_END if sign == "\n" else WORD_END
+    if sign.isalpha():
+        return 1
+    if not "!" <= sign <= "~" or sign == "'":
+        return 0
+    return 2 if sign.isdigit() else 3
 
 
 class ByteEncoder:
@@ -43,6 +62,7 @@ class ByteEncoder:
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
@@ -51,70 +71,100 @@ class ByteEncoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.signs = {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.space = self.signs[32]
-        self.blanks = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-        self.marks = {m: self._all([m])[0] for m in ".,"}
-        self.table = ChunkIds(self._words)
+        self.sign_of = np.array([ord(self.signs.get(b, chr(b))) for b in range(256)], "<u2")
+        self.sign_of[9] = 10  # a tab parts what the model takes; no sign is a line end
+        self.kinds = np.array([_kind(chr(c)) for c in range(PLAIN)] + [0], np.uint8)
+        if any(not t.special for t in self.library.get_added_tokens_decoder().values()):
+            self.kinds[:] = 0  # such tokens are found inside words, by the library alone
+        # The library's model without its pattern, for parts that are cut already.
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = CharDelimiterSplit("\n")
+        vocabulary = self.library.get_vocab()
+        self.first = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that a word begins with
+        self.first[[k for t, k in vocabulary.items() if t[:1] == self.signs[32]] + self.line_end] = True
+        self.table = ArrowChunkIds(self._words)
 
     def _all(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _stems(self, stems: list[str]) -> list[list[int]]:
-        """Ids of the stems. Plain letters are one part of the pattern, so the library's model can take them at once."""
-        out: list[list[int]] = []
-        others: list[int] = []
-        tokenize, signs, space = self.library.model.tokenize, self.signs, self.space
-        for k, stem in enumerate(stems):
-            if stem.isalpha() and (stem.isascii() or max(stem) < "ɐ"):
-                seen = stem if stem.isascii() else stem.encode().decode("latin-1").translate(signs)
-                out.append([t.id for t in tokenize(space + seen)])
-            else:
-                others.append(k)
-                out.append([])
-        for k, ids in zip(others, self._all([stems[k] if stems[k][0] == "\n" else " " + stems[k] for k in others])):
-            out[k] = ids
-        return out
-
-    def _words(self, words: list[str]) -> list[list[int]]:
-        """Words follow a space, or their own line end. A last point or comma after a plain letter is a part of its own."""
-        marks = self.marks
-        stems = [w[:-1] if w[-1] in marks and "A" <= w[-2:-1] < "ɐ" and w[-2].isalpha() else w for w in words]
-        index, table = self.table.index, self.table
-        new = [s for s in dict.fromkeys(stems) if s not in index]
-        ids = dict(zip(new, self._stems(new)))
-        out = []
-        for word, stem in zip(words, stems):
-            found = ids.get(stem)
-            if found is None:
-                k = index[stem]
-                found = table.pool[table.starts[k] : table.starts[k] + table.lengths[k]].tolist()
-            out.append(found if word is stem else found + marks[word[-1]])
-        return out
-
-    def _as_one(self, text: str) -> bool:
-        """Whether the text has blanks other than single spaces and line ends between signs."""
-        if not text or text[0].isspace() or text[-1].isspace():
-            return True
-        return "  " in text or " \n" in text or "\n " in text or "\n\n" in text or self.blanks.search(text) is not None
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        whole = [self._as_one(t) for t in texts]
-        words = [w for p, as_one in zip(parts, whole) if not as_one for w in p]
-        numbers = self.table.numbers(words)
+    def _words(self, words: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after the other, and how many each has. Words follow a space, or their own line end."""
+        blocks = [self._block(words[k : k + BLOCK_WORDS]) for k in range(0, len(words), BLOCK_WORDS)]
+        return np.concatenate([ids for ids, _ in blocks]), np.concatenate([sizes for _, sizes in blocks])
+
+    def _block(self, words: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = _tabbed(words) if isinstance(words, pa.Array) else "\t".join(words) + "\t"
+        codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kinds = self.kinds[np.minimum(codes, PLAIN)]
+        lengths = np.diff(np.flatnonzero(codes == 9), prepend=-1)
+        plain = np.logical_and.reduceat(kinds > 0, np.cumsum(lengths) - lengths)
+        ids = self._plain(codes, kinds, np.repeat(plain, lengths)) if plain.any() else np.zeros(0, np.int32)
+        heads = np.flatnonzero(self.first[ids])
+        if len(heads) != np.count_nonzero(plain):  # signs that the vocabulary lacks
+            plain[:], ids, heads = False, ids[:0], heads[:0]
+        sizes = np.empty(len(words), np.int64)
+        sizes[plain] = np.diff(heads, append=len(ids))
+        if plain.all():
+            return ids, sizes
+        others = list(compress(joined.split("\t"), ~plain))
+        found = self._all([w if w[:1] == "\n" else " " + w for w in others])
+        sizes[~plain] = list(map(len, found))
+        own, flat = np.repeat(plain, sizes), np.empty(int(sizes.sum()), np.int32)
+        flat[own], flat[~own] = ids, np.fromiter(chain.from_iterable(found), np.int32)
+        return flat, sizes
+
+    def _plain(self, codes: np.ndarray, kinds: np.ndarray, kept: np.ndarray) -> np.ndarray:
+        """Ids of words of plain signs. The pattern cuts these where the kind of sign changes, so the model can take the
+        parts at once."""
+        codes, kinds = codes[kept], kinds[kept]
+        new = np.ones(len(codes), bool)
+        new[1:] = kinds[:-1] == WORD_END
+        more = new & (kinds != LINE_END)  # a space before a word
+        more[1:] |= (kinds[1:] != kinds[:-1]) & (kinds[1:] != WORD_END) & ~new[1:]  # a tab between parts
+        at = np.arange(len(codes)) + np.cumsum(more)
+        text = np.empty(int(at[-1]) + 1, "<u4")
+        text[at] = codes
+        text[at[more] - 1] = np.where(new[more], 32, 9)
+        parts = np.frombuffer(text[:-1].tobytes().decode("utf-32-le").encode(), np.uint8)
+        signs = self.sign_of[parts].tobytes().decode("utf-16-le")
+        return np.array(self.model.encode_batch_fast([signs], add_special_tokens=False)[0].ids, np.int32)
+
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        whole = as_one(texts)
+        lined = pc.replace_substring(texts.filter(pa.array(~whole)), "\n", " \n")
+        parts = pc.split_pattern(pc.binary_join_element_wise("\n", lined, ""), " ")  # the line end before a text is taken off
+        numbers = self.table.numbers(parts.flatten())
         flat = self.table.ids(numbers)
         ends = np.concatenate([[0], np.cumsum(self.table.lengths[numbers])])
-        others = iter(self._all([t for t, as_one in zip(texts, whole) if as_one]))
-        out, at = [], 0
-        for p, as_one in zip(parts, whole):
-            if as_one:
+        bounds = parts.offsets.to_numpy()
+        pairs = zip(ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist())
+        others = iter(self._all(texts.filter(pa.array(whole)).to_pylist()))
+        skipped, out = len(self.line_end), []
+        for alone in whole.tolist():
+            if alone:
                 out.append(np.array(next(others), np.int32))
             else:
-                out.append(flat[ends[at] + len(self.line_end) : ends[at + len(p)]])
-                at += len(p)
+                start, end = next(pairs)
+                out.append(flat[start + skipped : end])
         return out
 
 
+def as_one(texts: pa.Array) -> np.ndarray:
+    """Which texts are empty or have blanks other than single spaces and line ends between signs."""
+    return pc.match_substring_regex(texts, NO_SINGLE_BLANKS).to_numpy(zero_copy_only=False)
+
+
+def _tabbed(words: pa.Array) -> str:
+    """The words with a tab after each."""
+    data, bounds = text_bytes(words)
+    out = np.full(len(data) + len(words), 9, np.uint8)
+    place = np.ones(len(out), bool)
+    place[bounds[1:] + np.arange(len(words))] = False
+    out[place] = data
+    return out.tobytes().decode()
+
+
 def worker_encoder(path: str) -> ByteEncoder:
     """The encoder that this Python worker keeps from task to task, with the words it knows; a bounded table."""
     found = os.stat(path)
@@ -185,23 +235,26 @@ def write_token_files(documents: DataFrame, tokenizer: str, end_id: int | None,
         out.write(raw)
     ending = np.array([] if end_id is None else [end_id], np.int32)
 
-    def compress(batches):
+    def squeezed(batches):
         fresh_worker()
         squeeze = None
         for batch in slices(batches, limit=2 << 20):
             squeeze = squeeze or zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
             gc.disable()  # the lists of a slice hold no cycles, and looking through them takes a sixth of the time
             try:
-                ids = [np.concatenate([i, ending]) for i in worker_encoder(tokenizer).encode(batch.column("text").to_pylist())]
-                frames = [squeeze.compress(fitted(i, width).tobytes()) for i in ids]
+                ids = worker_encoder(tokenizer).encode(batch.column("text"))
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) + len(ending)
+                data = memoryview(fitted(np.concatenate([i for own in ids for i in (own, ending)]), width).tobytes())
+                ends = (np.cumsum(sizes) * width).tolist()
+                frames = [squeeze.compress(data[a:b]) for a, b in zip([0, *ends], ends)]
             finally:
                 gc.enable()
-            made = [batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array(frames, pa.binary())]
+            made = [batch.column("doc_id"), pa.array(sizes), pa.array(frames, pa.binary())]
             yield pa.RecordBatch.from_arrays(made, ["doc_id", "n_ids", "frame"])
 
     rows = texts_of(documents)
     bounds = id_bounds(rows.select("doc_id"), partitions_of(spark))
-    ordered = in_id_order(rows, bounds, made=compress, schema="doc_id long, n_ids long, frame binary")
+    ordered = in_id_order(rows, bounds, made=squeezed, schema="doc_id long, n_ids long, frame binary")
 
     def write(batches):
         fresh_worker()

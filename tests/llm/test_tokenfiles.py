@@ -100,3 +100,60 @@ def test_encoder_stays_with_the_worker(library):
     texts = _texts()
     for _ in range(2):
         assert [i.tolist() for i in worker_encoder(PATH).encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_of_plain_signs_go_to_the_model_at_once(library, monkeypatch):
+    import pyarrow as pa
+
+    from afluente.llm import tokenfiles
+
+    monkeypatch.setattr(tokenfiles, "BLOCK_WORDS", 7)
+    rnd = random.Random(8)
+    signs = "abcXYZ0189éßñȣ.,;!?#$%&*|<>()-_=\"/@"
+    words = ["".join(rnd.choice(signs) for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    texts = ["left out", *("".join(w + rnd.choice([" ", " ", "\n"]) for w in words[k : k + 30])[:-1] for k in range(0, 3000, 30)), "<|endoftext|>", "a"]
+    want = [e.ids for e in library.encode_batch_fast(texts[1:], add_special_tokens=False)]
+    encoder, asked = ByteEncoder(PATH), []
+    whole = encoder._all
+    encoder._all = lambda some: asked.extend(some) or whole(some)
+    for _ in range(2):
+        assert [i.tolist() for i in encoder.encode(pa.array(texts)[1:])] == want
+    assert not asked
+    odd = ["it's we'll", "a\x00b c", "日本 “c” ½ ª×", "x ²", "'s\n't"]
+    assert [i.tolist() for i in encoder.encode(odd)] == [library.encode(t, add_special_tokens=False).ids for t in odd]
+    assert asked
+
+
+def test_blanks_that_leave_a_text_whole():
+    import pyarrow as pa
+
+    from afluente.llm.tokenfiles import as_one
+
+    signs = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    found = as_one(pa.array([f"a{c}b" for c in signs]))
+    assert [c for c, f in zip(signs, found) if f] == [c for c in signs if c.isspace() and c not in " \n"]
+    texts = ["", " a", "a ", "\na", "a\n", "a  b", "a \nb", "a\n b", "a\n\nb", "a", "a b\nc"]
+    assert as_one(pa.array(texts)).tolist() == [True] * 9 + [False] * 2
+
+
+def test_recurring_chunks_of_arrays_stay_known():
+    import pyarrow as pa
+
+    from afluente.llm.words import ArrowChunkIds
+
+    asked = []
+
+    def encode(chunks):
+        asked.extend(chunks.to_pylist())
+        ids = [[len(c), *c.encode()] for c in chunks.to_pylist()]
+        return np.array([x for i in ids for x in i], np.int32), np.array([len(i) for i in ids])
+
+    table = ArrowChunkIds(encode, limit=40)
+    rnd = random.Random(3)
+    for k in range(60):
+        words = ["often", "again", *(f"w{rnd.randrange(10**6)}" for _ in range(10)), "", "often"]
+        numbers = table.numbers(pa.array(["x", *words])[1:])
+        assert table.ids(numbers).tolist() == [x for w in words for x in (len(w), *w.encode())]
+        assert len(table.chunks) <= 40 + len(words)
+    assert asked.count("often") == asked.count("again") == asked.count("") == 1
+    assert table.numbers(pa.array([], pa.string())).tolist() == []
