@@ -155,3 +155,16 @@ def test_all_pairs_of_large_and_small_shingles(spark):
     hubs = similar._hub_pairs(similar._mixed(shared, sets_of, groups)).collect()
     assert {(r.a, r.b) for r in hubs} < want and len(hubs) <= 3 * len(rows)
     assert similar._other_pairs(shared, marks, groups).count() == 0
+
+
+def test_exact_search_finds_all_groups_from_tables_of_many_files(spark, monkeypatch):
+    monkeypatch.setattr(similar, "near_pairs", lambda *args: spark.createDataFrame([], "a long, b long"))
+    rows = _rows()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as in large tables, no exchange ends in one task
+    try:
+        found = corpus_pipeline.near_duplicate_stage(spark, _frame(spark, rows), "").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    groups = _groups([t for _, t in rows])
+    number = {t: g for (_, t), g in zip(rows, groups)}
+    assert Counter(number[r.text] for r in found) == Counter(set(groups))
